@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from dialoom.llm.common import WORD, materialize
 
-BUDGET, HISTORY, PER_TURN = 1024, 256, 4
+BUDGET, HISTORY, PER_TURN = 512, 128, 4
 OPEN, AGAIN, TEXT, CLOSE = "<turn ", "<again ", "<text>", "</turn>\n"
 
 

@@ -105,7 +105,7 @@ def mix(
         "doc_id",
         source_key().alias("skey"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
-        *([row_print(own).alias("print")] if fingerprint else []),
+        *([row_print(docs.columns).alias("print")] if fingerprint else []),
     )
     sized = materialize(sized, "mix-sizes")
     totals = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
@@ -154,8 +154,9 @@ def mix(
     return Mix(placed, sources, slots, draws, block_words)
 
 
-def row_print(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+def row_print(columns: list[str]) -> Column:
+    """Hash of a row; nulls count by their place."""
+    return F.xxhash64(*[c for n in columns for c in (F.col(f"`{n}`"), F.col(f"`{n}`").isNull())])
 
 
 def taken_words(planned: Mix) -> DataFrame:
@@ -177,7 +178,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spans = spans.withColumn("most", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("most"))).withColumn("least", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("least")))
     spans = spans.filter("most > 0").select("doc_id", "print", "parts", "least", "most")
     doc = F.col("_doc")
-    texts = docs.select(row_print(docs).alias("print"), F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    texts = docs.select(row_print(docs.columns).alias("print"), F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     repeated = planned.docs.groupBy("doc_id", "print").count().filter("count > 1").limit(1).count()
     if repeated:  # equal rows are interchangeable: one of them carries the passes of all
         texts = texts.dropDuplicates(["print"])
