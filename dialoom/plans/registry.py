@@ -1,9 +1,201 @@
 """Registered queries of the conversation engine and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dialoom.functions import lexicon as X
+from dialoom.functions import text as T
+from dialoom.operators import cleanup, phases, roles
+from dialoom.sources import segments as S
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.from_events(spark, sf_dir)
+
+
+def cleaned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleanup.annotate(S.from_events(spark, sf_dir))
+
+
+def phased_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phases.with_phases(cleaned_segments(spark, sf_dir))
+
+
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(spark, sf_dir).select("conv_id", "idx", T.normalize_text(F.col("text")).alias("text"))
+
+
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return segments(spark, sf_dir).select(
+        "conv_id", "idx", T.meaningful_count(t).alias("m"), T.v1_question_score(t).alias("v1_score"), T.is_acknowledgement(t).alias("ack"), T.question_strength(t).alias("strength"), T.format_timestamp(F.col("start")).alias("stamp")
+    )
+
+
+def cleanup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cleaned_segments(spark, sf_dir)
+    return out.select("conv_id", "idx", "m", "strength", F.array_join("reasons", "|").alias("reasons"), "valid")
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a conversation, by validity and reason: one partial-sum aggregate."""
+    out = cleaned_segments(spark, sf_dir)
+    n = lambda c: F.sum(c.cast("long"))
+    why = lambda r: n(F.array_contains("reasons", r))
+    return out.groupBy("conv_id").agg(
+        F.count("*").alias("segment_count"), n(F.col("valid")).alias("valid_count"), n(~F.col("valid")).alias("invalid_count"), n(F.col("speaker") == "speaker_unknown").alias("unknown_speaker_count"),
+        why("pure_or_repeated_punctuation").alias("n_punctuation"), why("repetitive_noise_transcription").alias("n_noise"), why("long_duration_low_text_density").alias("n_sparse"), why("long_duration_very_little_text").alias("n_little"),
+        F.max("end").alias("duration"), F.sum("m").cast("long").alias("meaningful_chars"),
+    )
+
+
+def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = segments(spark, sf_dir).select("conv_id", "idx", T.topic(F.col("text")).alias("t"))
+    return out.select("conv_id", "idx", F.col("t.label").alias("label"), F.array_join("t.keywords", "|").alias("keywords"))
+
+
+def v1_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.v1_roles(segments(spark, sf_dir))
+
+
+def v1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.v1_turns(segments(spark, sf_dir))
+
+
+def speaker_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.speaker_priors(cleaned_segments(spark, sf_dir))
+
+
+def phase_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phased_segments(spark, sf_dir).select("conv_id", "idx", "phase")
+
+
+def phase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phases.phase_spans(phased_segments(spark, sf_dir))
+
+
+def coding_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phases.coding_silences(phased_segments(spark, sf_dir))
+
+
+def role_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.with_roles(phased_segments(spark, sf_dir)).select("conv_id", "idx", "role", "role_confidence")
+
+
+def speaker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.speaker_summary(roles.with_roles(phased_segments(spark, sf_dir)))
+
+
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", *[c.alias(f"n_{k}") for k, c in T.redaction_counts(F.coalesce("text", F.lit(""))).items()])
+
+
+def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(spark, sf_dir).select("conv_id", "idx", F.substring(T.redacted(F.col("text")), 1, 2400).alias("text"))
+
+
+def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select("conv_id", "turn", T.markdown_escaped(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    parts = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))))
+    return rows.groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
+
+
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def rx(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {quote(pattern)})"
+
+
+POOL_SQL = ", ".join(f"({k}, {quote(s)}, {quote(t)})" for k, (s, t) in enumerate(S.POOL))
+SEG = f"""
+pool(k, spk, text) AS (VALUES {POOL_SQL}),
+e AS (SELECT user_id AS conv_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,
+        date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 6000000 AS start_ms,
+        CAST(floor(value * CASE WHEN event_type = 'error' THEN 120 ELSE 40 END) AS BIGINT) AS dur_ms, (event_id * 7 + user_id * 3) % 24 AS k FROM events),
+seg AS (SELECT e.conv_id, CAST(e.idx AS INT) AS idx, format('seg_{{:04d}}', e.idx) AS id, CAST(start_ms AS DOUBLE) / 1000 AS "start", CAST(start_ms + dur_ms AS DOUBLE) / 1000 AS "end",
+        CASE WHEN event_id % 37 = 0 THEN 'speaker_unknown' WHEN (spk = 'A') = (event_id % 11 <> 0) THEN 'speaker_0' ELSE 'speaker_1' END AS speaker, text
+        FROM e JOIN pool USING (k))"""
+START_RE2 = X.QUESTION_START.replace("哪(?!怕)", "哪([^怕]|$)")
+FEAT = f"""
+f0 AS (SELECT *, regexp_replace(text, '\\s+', '', 'g') AS bare FROM seg),
+f1 AS (SELECT *, CAST(len(regexp_extract_all(bare, '{X.MEANINGFUL}')) AS INT) AS m, {rx("bare", X.QUESTION_WORD)} AS word FROM f0),
+feat AS (SELECT *, CAST(CASE WHEN {rx("text", X.QUESTION_MARK)} THEN 2.0 ELSE 0 END + CASE WHEN {rx("text", X.INTERVIEWER_CONTROL)} THEN 2.0 ELSE 0 END
+        + CASE WHEN {rx("bare", START_RE2)} AND word THEN 1.5 ELSE 0 END + CASE WHEN {rx("bare", X.QUESTION_END)} THEN 1.5 ELSE 0 END
+        + CASE WHEN word THEN CASE WHEN m <= 30 THEN 1.0 ELSE 0.2 END ELSE 0 END AS DOUBLE) AS strength,
+        CAST({rx("text", X.QUESTION_MARK)} AS INT) + CAST({rx("text", X.V1_QUESTION)} AS INT) AS v1_score,
+        greatest(CAST(0 AS DOUBLE), "end" - "start") AS seconds FROM f1)"""
+CLEAN = f"""
+ch AS (SELECT conv_id, idx, unnest(regexp_extract_all(lower(text), '{X.MEANINGFUL}')) AS c FROM feat),
+dom AS (SELECT conv_id, idx, max(n) AS top FROM (SELECT conv_id, idx, c, count(*) AS n FROM ch GROUP BY ALL) GROUP BY ALL),
+pos AS (SELECT conv_id, idx, text, unnest(range(1, length(text) - 3)) AS i FROM feat WHERE length(text) >= 5),
+run AS (SELECT DISTINCT conv_id, idx FROM pos WHERE substr(text, i, 5) = repeat(substr(text, i, 1), 5) AND NOT regexp_matches(substr(text, i, 1), '[\\s，。！？、,.!?]')),
+c0 AS (SELECT feat.*, m / greatest(seconds, CAST(0.001 AS DOUBLE)) AS density, m >= 8 AND (run.idx IS NOT NULL OR top / m >= 0.68) AS noise, seconds <= 8 AND strength >= 2 AS short
+        FROM feat LEFT JOIN dom USING (conv_id, idx) LEFT JOIN run USING (conv_id, idx)),
+cl AS (SELECT *, concat_ws('|', CASE WHEN m = 0 THEN 'pure_or_repeated_punctuation' END, CASE WHEN m > 0 AND noise THEN 'repetitive_noise_transcription' END,
+        CASE WHEN m > 0 AND NOT short AND seconds >= 25 AND density < 0.5 THEN 'long_duration_low_text_density'
+             WHEN m > 0 AND NOT short AND seconds >= 12 AND m <= 5 THEN 'long_duration_very_little_text' END) AS reasons FROM c0),
+clean AS (SELECT *, reasons = '' AS valid FROM cl)"""
+
+
+def has(reason: str) -> str:
+    return f"CAST(count(*) FILTER (contains(reasons, '{reason}')) AS BIGINT)"
+
+
+TOPIC_ROWS = ", ".join(f"({k}, {j}, {quote(label)}, {quote(w)})" for k, (label, ws) in enumerate(X.TOPICS.items()) for j, w in enumerate(ws))
+ORACLES = {
+    "segments": f"WITH {SEG} SELECT * FROM seg",
+    "text_features": f"""WITH {SEG}, {FEAT} SELECT conv_id, idx, CAST(len(regexp_extract_all(text, '{X.MEANINGFUL}')) AS INT) AS m, v1_score,
+        bare IN ({", ".join(map(quote, X.ACKNOWLEDGEMENTS))}) OR {rx("bare", X.ACKNOWLEDGEMENT)} AS ack, strength,
+        format('{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS stamp
+        FROM (SELECT *, CAST("start" * 1000 AS BIGINT) AS ms FROM feat)""",
+    "cleanup": f"WITH {SEG}, {FEAT}, {CLEAN} SELECT conv_id, idx, m, strength, reasons, valid FROM clean",
+    "statistics": f"""WITH {SEG}, {FEAT}, {CLEAN} SELECT conv_id, count(*) AS segment_count, CAST(count(*) FILTER (valid) AS BIGINT) AS valid_count,
+        CAST(count(*) FILTER (NOT valid) AS BIGINT) AS invalid_count, CAST(count(*) FILTER (speaker = 'speaker_unknown') AS BIGINT) AS unknown_speaker_count,
+        {has("pure_or")} AS n_punctuation, {has("repetitive_noise")} AS n_noise, {has("low_text_density")} AS n_sparse, {has("very_little")} AS n_little,
+        max("end") AS duration, CAST(sum(m) AS BIGINT) AS meaningful_chars FROM clean GROUP BY conv_id""",
+    "topic_classify": f"""WITH {SEG}, dict(p, j, label, word) AS (VALUES {TOPIC_ROWS}),
+        hit AS (SELECT conv_id, idx, p, label, count(*) AS n, string_agg(word, '|' ORDER BY j) AS keywords FROM seg JOIN dict ON contains(lower(text), lower(word)) GROUP BY ALL),
+        best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id, idx ORDER BY n DESC, p) = 1)
+        SELECT conv_id, idx, coalesce(label, '{X.UNCLASSIFIED}') AS label, coalesce(keywords, '') AS keywords FROM seg LEFT JOIN best USING (conv_id, idx)""",
+    "v1_roles": f"""WITH {SEG}, {FEAT}, s AS (SELECT conv_id, speaker, CAST(sum(v1_score) AS BIGINT) AS score FROM feat WHERE speaker <> 'speaker_unknown' GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, speaker) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY speaker) AS a,
+        max(score) OVER (PARTITION BY conv_id) AS top, count(*) OVER (PARTITION BY conv_id) AS n FROM s)
+        SELECT conv_id, speaker, score, CASE WHEN (CASE WHEN top >= 1 OR n = 1 THEN b ELSE a END) = 1 THEN 'interviewer' ELSE 'candidate' END AS role FROM r""",
+    "v1_turns": f"""WITH {SEG}, a AS (SELECT *, coalesce(CAST(speaker <> lag(speaker) OVER w AS INT), 1) AS same FROM seg WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
+        b AS (SELECT *, sum(same) OVER (PARTITION BY conv_id ORDER BY idx) AS run FROM a),
+        c AS (SELECT *, coalesce(CAST("start" - max("end") OVER (PARTITION BY conv_id, run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > CAST(0.8 AS DOUBLE) AS INT), 1) AS fresh FROM b),
+        d AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY idx) AS BIGINT) AS turn_no FROM c)
+        SELECT conv_id, turn_no, any_value(speaker) AS speaker, arg_min("start", idx) AS "start", max("end") AS "end", string_agg(id, ',' ORDER BY idx) AS segment_ids, string_agg(text, '' ORDER BY idx) AS text FROM d GROUP BY conv_id, turn_no""",
+    "speaker_priors": f"""WITH {SEG}, {FEAT}, {CLEAN}, s AS (SELECT conv_id, speaker, sum(CASE WHEN strength >= 2.5 THEN CAST(round(least(strength, 5.0) * 10) AS BIGINT) ELSE 0 END) AS asked,
+        count(*) FILTER ({rx("text", X.INTERVIEWER_CONTROL)}) AS controls, sum(m) AS chars, count(*) FILTER ({rx("text", X.CANDIDATE_EVIDENCE)}) AS evidence, count(*) FILTER (m >= 60) AS lng
+        FROM clean WHERE valid GROUP BY ALL),
+        t AS (SELECT *, CAST(1.0 AS DOUBLE) + CAST(asked AS DOUBLE) * CAST(0.15 AS DOUBLE) + CAST(3.0 AS DOUBLE) * controls AS i0, CAST(1.0 AS DOUBLE) + CAST(chars AS DOUBLE) / CAST(45.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * evidence + CAST(2.0 AS DOUBLE) * lng AS c0 FROM s),
+        u AS (SELECT *, i0 / sum(i0) OVER (PARTITION BY conv_id) AS i, c0 / sum(c0) OVER (PARTITION BY conv_id) AS c FROM t),
+        v AS (SELECT *, i + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - c) AS si, c + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - i) AS sc FROM u)
+        SELECT conv_id, speaker, floor(si / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS interviewer, floor(sc / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS candidate FROM v""",
+    "markdown_escape": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\'),
+        '([`*_\[\]])', '\\\1', 'g'), '\r\n|\r|\n', '<br>', 'g') AS text FROM conversations""",
+    "ordered_concat": "SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+}
+
 
 def queries() -> dict:
-    return {}
+    own = [
+        segments, normalized_text, text_features, statistics, topic_classify, v1_roles, v1_turns, speaker_priors, phase_labels, phase_spans, coding_silence, role_fold,
+        speaker_summary, redaction_counts, redacted_text, markdown_escape, ordered_concat,
+    ]
+    return {f.__name__: f for f in own} | {"cleanup": cleanup_query}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
