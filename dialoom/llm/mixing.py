@@ -50,7 +50,8 @@ class Mix:
         start = F.greatest(F.col("block") * n, at)
         end = F.least((F.col("block") + 1) * n, at + size)
         cut = cut.withColumn("word_start", F.when(size > 0, start - at).otherwise(0)).withColumn("words", F.when(size > 0, end - start).otherwise(0))
-        return cut.join(self.draws, ["skey", "block"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        # Sizes of exploded rows are underestimated; draws grow with the corpus and must not be broadcast.
+        return cut.join(self.draws.hint("merge"), ["skey", "block"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
 
 
 def source_key(name: str = "source") -> Column:
