@@ -13,30 +13,23 @@ def components(links: DataFrame) -> DataFrame:
 
     A round sends each vertex to the neighbour (or itself) of least keyed hash, maps links
     through that and drops loops; the links shrink by a constant share a round, chains
-    included.  Minima are partial sums, and joins shuffle written tables on both sides, so
-    a hub is split.
+    included.  The rounds' maps are composed once, at the end.  Minima are partial sums,
+    and joins shuffle on both sides, so a hub is split.
     """
-    spark = links.sparkSession
     edges = materialize(links.select("a", "b").filter("a <> b").distinct(), "links")
-    labels = None
-    turn = 0
-    while edges.limit(1).count():
+    turns: list[DataFrame] = []
+    while not turns or not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(turns)), F.col(c)).alias("h"), F.col(c).alias("v"))
         moved = both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a"))).alias("to"))
-        moved = materialize(moved.select(F.col("a").alias("from"), F.col("to.v").alias("to")), "moves")
-        if labels is None:
-            labels = moved.select(F.col("from").alias("id"), F.col("to").alias("root"))
-        else:
-            step = moved.withColumnRenamed("from", "root")
-            labels = materialize(labels.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "labels")
-        by_a = moved.select(F.col("from").alias("a"), F.col("to").alias("ra"))
-        by_b = moved.select(F.col("from").alias("b"), F.col("to").alias("rb"))
-        halfway = materialize(edges.join(by_a, "a").select("ra", "b"), "links-half")
-        edges = halfway.join(by_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b")
-        edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        turn += 1
-    if labels is None:
-        kind = links.schema["a"].dataType
-        labels = spark.createDataFrame([], f"id {kind.simpleString()}, root {kind.simpleString()}")
-    return labels
+        moved = materialize(moved.select(F.col("a").alias("id"), F.col("to.v").alias("root")), "moves")
+        turns.append(moved)
+        for end in ("a", "b"):
+            edges = edges.join(moved.select(F.col("id").alias(end), F.col("root").alias("_root")), end).withColumn(end, F.col("_root")).drop("_root")
+        edges = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = materialize(edges.distinct(), "links")
+    labels = turns.pop()
+    while turns:  # from the last and smallest turn back to the first
+        step = labels.select(F.col("id").alias("root"), F.col("root").alias("_to"))
+        labels = turns.pop().join(step, "root", "left").select("id", F.coalesce("_to", "root").alias("root"))
+    return materialize(labels, "labels")

@@ -7,31 +7,32 @@
    its earliest arrival.  Arrivals later than a text's latest register stop early.  Two
    registers agree with the probability Jaccard similarity of the weighted texts.
 3. ``BANDS`` bands of ``ROWS`` registers give buckets.  A bucket picks its best connected
-   member as pivot and pairs it with the rest; members of other components stay for
-   further pivots.  Buckets that still span components after ``PIVOTS`` rounds pair the
-   members of different components directly, so a pair that shares a bucket is tested or
-   already joined.
+   member as pivot and pairs it with the rest; buckets that still span components do so
+   with ``PIVOTS`` random members.  What lies in different components even then is paired
+   directly, so a pair that shares a bucket is tested or already joined.
 4. Pairs whose registers agree too little for the threshold are dropped, the others are
    verified on their whole shingle sets (Jaccard of at least 0.8), and components of the
    verified links are the classes.
 
 Recall of banding at similarity 0.8 is 1 - (1 - 0.8^5)^24 = 0.9999 per pair.
 
-Shingling and verification are DataFrame code; the sketch runs in numpy on Arrow batches.
+Shingling and the sketch run in numpy on Arrow batches, all else is DataFrame code.
 Edge cases: null is an empty text; empty texts form one class; repeated rows share a
 class; ids need not be unique; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import SPACE, join_bounded, materialize, text_of, words_of
+from dialoom.llm.common import SPACE, join_bounded, materialize, text_of
 from dialoom.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -39,10 +40,11 @@ REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 #: least share of agreeing registers of a pair that is verified: four deviations below 0.8
 AGREE = 0.64
-PIVOTS = 3
-CHUNK = 400_000
+#: random pivots of a bucket in the second turn
+PIVOTS = 4
+CHUNK = 100_000
 
-SKETCH = "cid bigint, n_shingles int, bands array<bigint>, sig binary"
+SKETCH = "digest binary, n_shingles int, bands array<bigint>, sig binary"
 
 
 def digest_of(text: Column) -> Column:
@@ -50,19 +52,28 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.trim(F.regexp_replace(text, SPACE, " ")), 256))
 
 
-def shingles(words: Column) -> Column:
-    """Hashes of all shingles in order, repeats included; of under five words, one for all of them."""
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
-    return F.when(F.size(words) >= SHINGLE, many).otherwise(F.array(F.xxhash64(words)))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted hashes of all shingles, repeats included; of under five words, one for all of them."""
+    if not words:
+        return np.empty(0, np.uint64)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    width = min(SHINGLE, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        out += hashed[k : len(out) + k] * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF)
+    out = mixed(out)
+    out.sort()
+    return out
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
@@ -93,45 +104,63 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     return who.reshape(n, m)
 
 
+def words_by_row(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """Words of each row's text (column 1): bytes split at ASCII white space alone."""
+    for text in batch.column(1):
+        yield (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
+
+
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The row's id, digest and sketch; a text without words has no bands."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            begin, digests, lists, held = 0, [], [], 0
+            for i, words in enumerate(words_by_row(batch)):
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
+                lists.append(shingles(words))
+                held += len(lists[-1])
+                if held >= CHUNK or i + 1 == batch.num_rows:
+                    yield sketch_chunk(batch.column(0).slice(begin, len(lists)), digests, lists)
+                    begin, digests, lists, held = i + 1, [], [], 0
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and whole set of shingles of each row."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            ends = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values).view(np.uint64)
-            i = 0
-            while i < len(ids):
-                j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, "right")) - 1)
-                j = min(j, len(ids))
-                yield sketch_chunk(ids[i:j], flat[ends[i] : ends[j]], np.diff(ends[i : j + 1]))
-                i = j
-
-
-def sketch_chunk(ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            for words in words_by_row(batch):
+                held = np.unique(shingles(words)).view(np.int64)
+                cells = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))
+                yield pa.record_batch([pa.array([hashlib.sha256(b" ".join(words)).digest()], pa.binary()), cells], names=["digest", "set"])
+
+
+def sketch_chunk(ids: pa.Array, digests: list[bytes], lists: list[np.ndarray]) -> pa.RecordBatch:
     n = len(ids)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.lexsort((flat, owner))
-    f, o = flat[order], owner[order]
+    f = np.concatenate(lists)
+    o = np.repeat(np.arange(n), [len(x) for x in lists])
     new = np.ones(len(f), bool)
     new[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
     starts = np.flatnonzero(new)
     counts = np.diff(np.append(starts, len(f)))
     elements, owner = f[starts], o[starts]
-    who = prob_minhash(mixed(elements), 1.0 + np.log(counts), owner, n)
+    who = prob_minhash(elements, 1.0 + np.log(counts), owner, n)
     bands = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
         bands = mixed(bands * np.uint64(31) + who[:, r::ROWS] + np.uint64(r + 1))
     bands = mixed(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    offsets = pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32))
+    sizes = np.bincount(owner, minlength=n).astype(np.int32)
+    offsets = pa.array(np.concatenate(([0], np.cumsum((sizes > 0) * BANDS))).astype(np.int32))
+    bands = bands[sizes > 0]
     sig = (who & np.uint64(0xFFFF)).astype("<u2")
     return pa.record_batch(
         [
-            pa.array(ids, pa.int64()),
-            pa.array(np.bincount(owner, minlength=n).astype(np.int32)),
+            ids,
+            pa.array(digests, pa.binary()),
+            pa.array(sizes),
             pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())),
             pa.array([x.tobytes() for x in sig], pa.binary()),
         ],
-        names=["cid", "n_shingles", "bands", "sig"],
+        names=["doc_id", "digest", "n_shingles", "bands", "sig"],
     )
 
 
@@ -154,66 +183,100 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("shared") >= F.lit(THRESHOLD) * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
+def candidate_pairs(members: DataFrame, degrees: DataFrame, turn: str) -> DataFrame | None:
+    """Distinct pairs (a, b) to test in a turn, or None if no bucket spans components.
+
+    "best" pairs a bucket's best connected member with the rest, "random" pairs ``PIVOTS`` random members
+    with the rest, "rest" pairs what still lies in different components.
+    """
+    pivot = F.struct("cid", "root", "n_shingles")
+    if turn == "best":
+        ranked, orders = members.join(degrees, "cid"), [F.struct("degree", "cid")]
+    else:
+        ranked, orders = members, [F.struct(F.xxhash64(F.lit(k), "cid"), "cid") for k in range(PIVOTS)]
+    picked = [F.max_by(pivot, order).alias(f"p{k}") for k, order in enumerate(orders)]
+    spans = ranked.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *picked).filter("lo <> hi")
+    spans = materialize(spans.select("bucket", F.array_distinct(F.array(*[f"p{k}" for k in range(len(orders))])).alias("ps")), "near-spans")
+    if spans.isEmpty():
+        return None
+    alike = "root <> oroot and 10 * least(n_shingles, size_o) >= 8 * greatest(n_shingles, size_o)"
+    if turn == "rest":
+        left = materialize(members.join(spans.select("bucket"), "bucket", "left_semi"), "near-left")
+        other = left.select("bucket", F.col("cid").alias("oid"), F.col("root").alias("oroot"), F.col("n_shingles").alias("size_o"))
+        tried = left.join(other, "bucket").filter("cid < oid")
+    else:
+        tried = members.join(spans, "bucket").withColumn("p", F.explode("ps"))
+        tried = tried.select("cid", "root", "n_shingles", F.col("p.cid").alias("oid"), F.col("p.root").alias("oroot"), F.col("p.n_shingles").alias("size_o"))
+    pairs = tried.filter(alike).select(F.least("cid", "oid").alias("a"), F.greatest("cid", "oid").alias("b"))
+    return materialize(pairs.distinct(), "near-pairs")
+
+
+def likely_pairs(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs whose registers agree enough."""
+    both = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("ga")), "a")
+    both = both.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("gb")), "b")
+    return both.select("a", "b", "ga", "gb").mapInArrow(estimate, "a bigint, b bigint")
+
+
+def merged_roots(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(id, root) of all links so far: new links are contracted between the roots known before."""
+    if roots is None:
+        return components(found)
+    ends = found
+    for end in ("a", "b"):
+        known = roots.select(F.col("id").alias(end), F.col("root").alias("_root"))
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    merged = components(ends)
+    moved = roots.join(merged.select(F.col("id").alias("root"), F.col("root").alias("_to")), "root", "left")
+    moved = moved.select("id", F.coalesce("_to", "root").alias("root"))
+    return materialize(moved.unionByName(merged.join(roots, "id", "left_anti")), "near-roots")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, text_class, class_size, copies, n_links) per distinct (text, doc_id), copies
     counting repeated rows.  class_id is the least doc_id of the component."""
-    own = docs.select("doc_id", digest_of(text_of()).alias("digest"))
-    rows = materialize(own.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "near-rows")
+    read = docs.select("doc_id", text_of().cast("binary").alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    drawn = materialize(read.mapInArrow(sketches, f"doc_id {id_type}, {SKETCH}"), "near-sketches")
+    rows = materialize(drawn.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "near-rows")
     texts = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"].alias("rep"), F.sum("copies").alias("n"))
     texts = materialize(texts.withColumn("cid", F.xxhash64("digest")), "near-texts")
 
-    # One row a class goes through the sketch: the row of its representative.
-    first = docs.select("doc_id", text_of().alias("text")).withColumn("digest", digest_of(F.col("text")))
-    spare = materialize(rows.join(texts, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.xxhash64("doc_id", "digest").alias("_k")), "near-spare")
-    first = join_bounded(first.withColumn("_k", F.xxhash64("doc_id", "digest")), spare, ["_k"], "left_anti")
-    shingled = first.select(F.xxhash64("digest").alias("cid"), words_of(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
-    shingled = shingled.select("cid", shingles(F.col("_words")).alias("shingles"))
-    sketched = materialize(shingled.mapInArrow(sketches, SKETCH), "near-sketches")
-    if rows.filter("copies > 1").limit(1).count():
-        sketched = materialize(sketched.dropDuplicates(["cid"]), "near-sketches-once")
+    # One row a class goes on: the row of its representative.
+    heads = texts.select(F.col("digest").alias("_digest"), "rep", "cid")
+    sketched = drawn.filter("n_shingles > 0").join(heads, F.expr("digest = _digest and doc_id <=> rep")).select("cid", "rep", "n_shingles", "bands", "sig")
+    repeats = not rows.filter("copies > 1").isEmpty()
+    sketched = materialize(sketched.dropDuplicates(["cid"]) if repeats else sketched, "near-classes")
 
     spread = sketched.select("cid", "n_shingles", F.explode("bands").alias("bucket"))
     full = materialize(spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near-buckets")
-    members = materialize(spread.join(full, "bucket"), "near-members")
+    members = materialize(spread.join(full, "bucket").withColumn("root", F.col("cid")), "near-members")
     degrees = materialize(members.groupBy("cid").agg(F.sum("n").alias("degree")), "near-degrees")
-    members = materialize(members.join(degrees, "cid").withColumn("root", F.col("cid")), "near-ranked")
-
-    sig = sketched.select("cid", "sig").join(degrees.select("cid"), "cid", "left_semi")
-    sig = materialize(sig, "near-signatures")
-    sets = shingled.join(degrees.select("cid"), "cid", "left_semi").select("cid", F.array_distinct("shingles").alias("set"))
-    sets = materialize(sets.dropDuplicates(["cid"]) if rows.filter("copies > 1").limit(1).count() else sets, "near-sets")
-    links = None
-    for turn in range(PIVOTS + 1):
-        open_buckets = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        open_buckets = materialize(open_buckets, "near-open")
-        if not open_buckets.limit(1).count():
+    members = members.drop("n")
+    sig = sketched.select("cid", "sig")
+    wanted = sketched.join(degrees.select("cid"), "cid", "left_semi").select(F.xxhash64("rep").alias("_k"))
+    wanted = materialize(wanted.distinct(), "near-wanted")
+    sets = join_bounded(read.withColumn("_k", F.xxhash64("doc_id")), wanted, ["_k"], "left_semi")
+    sets = sets.select("doc_id", "text").mapInArrow(shingle_sets, "digest binary, set array<bigint>")
+    sets = sets.select(F.xxhash64("digest").alias("cid"), "set").join(degrees.select("cid"), "cid", "left_semi")
+    sets = materialize(sets.dropDuplicates(["cid"]) if repeats else sets, "near-sets")
+
+    links = roots = None
+    for turn in ("best", "random", "rest"):
+        pairs = candidate_pairs(members, degrees, turn)
+        if pairs is None:
             break
-        members = materialize(members.join(open_buckets, "bucket", "left_semi"), "near-left")
-        if turn < PIVOTS:
-            order = F.struct(F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "cid"), "cid")
-            pivot = members.groupBy("bucket").agg(F.max_by(F.struct("cid", "root", "n_shingles"), order).alias("p"))
-            pivot = materialize(pivot.select("bucket", F.col("p.cid").alias("pid"), F.col("p.root").alias("proot"), F.col("p.n_shingles").alias("pn")), "near-pivots")
-            tried = members.join(pivot, "bucket").filter("root <> proot and 10 * least(n_shingles, pn) >= 8 * greatest(n_shingles, pn)")
-            pairs = tried.select(F.least("cid", "pid").alias("a"), F.greatest("cid", "pid").alias("b"))
-        else:
-            other = members.select("bucket", F.col("cid").alias("oid"), F.col("root").alias("oroot"), F.col("n_shingles").alias("on"))
-            tried = members.join(other, "bucket").filter("cid < oid and root <> oroot and 10 * least(n_shingles, on) >= 8 * greatest(n_shingles, on)")
-            pairs = tried.select(F.col("cid").alias("a"), F.col("oid").alias("b"))
-        pairs = materialize(pairs.distinct(), "near-pairs")
-        with_sig = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("ga")), "a")
-        with_sig = materialize(with_sig, "near-half").join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("gb")), "b")
-        likely = materialize(with_sig.select("a", "b", "ga", "gb").mapInArrow(estimate, "a bigint, b bigint"), "near-likely")
-        found = materialize(verify(likely, sets), "near-links")
-        links = found if links is None else links.unionByName(found)
-        if not found.limit(1).count():
+        found = materialize(verify(materialize(likely_pairs(pairs, sig), "near-likely"), sets), "near-links")
+        if found.isEmpty():
             continue
-        roots = materialize(components(links), "near-roots")
-        members = members.drop("root").join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        members = materialize(members.select("bucket", "cid", "n_shingles", "n", "degree", "root"), "near-members")
+        links = found if links is None else links.unionByName(found)
+        roots = merged_roots(roots, found)
+        if turn != "rest":
+            members = members.drop("root").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
+            members = materialize(members.withColumn("root", F.coalesce("root", "cid")), "near-members")
 
     base = texts
     if links is not None:
-        roots = materialize(components(links), "near-roots")
         ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b")))
         counts = ends.groupBy("cid").agg(F.count("*").alias("n_links"))
         base = base.join(roots.withColumnRenamed("id", "cid"), "cid", "left").join(counts, "cid", "left")
@@ -242,6 +305,6 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_k", F.xxhash64("_id", "_digest"))
     goes = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.xxhash64("doc_id", "digest").alias("_k"), F.col("digest").alias("_digest"))
     out = join_bounded(rows, materialize(goes.distinct(), "near-goes"), ["_k", "_digest"], "left_anti")
-    if found.filter("copies > 1").limit(1).count():
+    if not found.filter("copies > 1").isEmpty():
         out = out.dropDuplicates(["_k"])
     return out.select("_doc.*")
