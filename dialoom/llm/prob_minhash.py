@@ -8,8 +8,9 @@
    registers agree with the probability Jaccard similarity of the weighted texts.
 3. ``BANDS`` bands of ``ROWS`` registers give buckets.  A bucket picks its best connected
    member as pivot and pairs it with the rest; buckets that still span components do so
-   with ``PIVOTS`` random members.  What lies in different components even then is paired
-   directly, so a pair that shares a bucket is tested or already joined.
+   with ``PIVOTS`` random members.  Texts of what still spans components are gathered into
+   clusters of overlapping buckets and held against their cluster's most central text, whole sets
+   against whole sets; ``beyond_pivot`` pairs just those that can still reach the threshold.
 4. Pairs whose registers agree too little for the threshold are dropped, the others are
    verified on their whole shingle sets (Jaccard of at least 0.8), and components of the
    verified links are the classes.
@@ -31,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from dialoom.llm.common import SPACE, join_bounded, materialize, text_of
 from dialoom.llm.components import components
@@ -41,7 +43,7 @@ THRESHOLD = 0.8
 #: least share of agreeing registers of a pair that is verified: four deviations below 0.8
 AGREE = 0.64
 #: random pivots of a bucket in the second turn
-PIVOTS = 4
+PIVOTS = 2
 CHUNK = 100_000
 
 SKETCH = "digest binary, n_shingles int, bands array<bigint>, sig binary"
@@ -183,32 +185,64 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("shared") >= F.lit(THRESHOLD) * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def candidate_pairs(members: DataFrame, degrees: DataFrame, turn: str) -> DataFrame | None:
-    """Distinct pairs (a, b) to test in a turn, or None if no bucket spans components.
+def spanning(members: DataFrame, picked: list[Column]) -> DataFrame | None:
+    """(bucket, ps) of the buckets that span components, or None; ps: the structs ``picked``."""
+    spans = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_distinct(F.array(*picked)).alias("ps")).filter("lo <> hi")
+    spans = materialize(spans.select("bucket", "ps"), "near-spans")
+    return None if spans.isEmpty() else spans
 
-    "best" pairs a bucket's best connected member with the rest, "random" pairs ``PIVOTS`` random members
-    with the rest, "rest" pairs what still lies in different components.
+
+def pivot_pairs(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's pivots and its members of other components."""
+    tried = members.join(spans, "bucket").withColumn("p", F.explode("ps"))
+    alike = "root <> p.root and 10 * least(n_shingles, p.n_shingles) >= 8 * greatest(n_shingles, p.n_shingles)"
+    return tried.filter(alike).select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
+
+
+def beyond_pivot(members: DataFrame, spans: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with pivots, further pairs to test) among buckets that span components.
+
+    Let P be the pivot of a cluster of overlapping buckets, k = |A & P| and u = A - P.  Texts
+    A and B are alike only if |A & B| >= 4/9 (|A| + |B|), and |A & B| <= min(k) + |uA & uB|.
+    So a pair shares at least ceil(0.8 |A|) - kA shingles outside P, for which prefixes of u
+    by rising frequency are enough, or both k reach 4/9 (|A| + |B|); the latter pairs are
+    alike to P, hence joined, or both smaller than P.  Nothing is left out by this.
     """
-    pivot = F.struct("cid", "root", "n_shingles")
-    if turn == "best":
-        ranked, orders = members.join(degrees, "cid"), [F.struct("degree", "cid")]
-    else:
-        ranked, orders = members, [F.struct(F.xxhash64(F.lit(k), "cid"), "cid") for k in range(PIVOTS)]
-    picked = [F.max_by(pivot, order).alias(f"p{k}") for k, order in enumerate(orders)]
-    spans = ranked.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *picked).filter("lo <> hi")
-    spans = materialize(spans.select("bucket", F.array_distinct(F.array(*[f"p{k}" for k in range(len(orders))])).alias("ps")), "near-spans")
-    if spans.isEmpty():
-        return None
-    alike = "root <> oroot and 10 * least(n_shingles, size_o) >= 8 * greatest(n_shingles, size_o)"
-    if turn == "rest":
-        left = materialize(members.join(spans.select("bucket"), "bucket", "left_semi"), "near-left")
-        other = left.select("bucket", F.col("cid").alias("oid"), F.col("root").alias("oroot"), F.col("n_shingles").alias("size_o"))
-        tried = left.join(other, "bucket").filter("cid < oid")
-    else:
-        tried = members.join(spans, "bucket").withColumn("p", F.explode("ps"))
-        tried = tried.select("cid", "root", "n_shingles", F.col("p.cid").alias("oid"), F.col("p.root").alias("oroot"), F.col("p.n_shingles").alias("size_o"))
-    pairs = tried.filter(alike).select(F.least("cid", "oid").alias("a"), F.greatest("cid", "oid").alias("b"))
-    return materialize(pairs.distinct(), "near-pairs")
+    left = members.join(spans, "bucket")
+    clusters = components(left.select(F.col("cid").alias("a"), F.col("ps")[0]["cid"].alias("b")).distinct())
+    clusters = clusters.select(F.col("id").alias("cid"), F.col("root").alias("cluster"))
+    texts = left.select("cid", "root", "n_shingles").distinct().join(clusters, "cid").join(sets, "cid")
+    texts = materialize(texts.withColumn("n_shingles", F.size("set")), "near-left")
+    # The shingles that half of a cluster's texts have are at most twice a mean text's; the pivot is the text closest to them.
+    frequent = texts.select("cluster", F.explode("set").alias("x")).groupBy("cluster", "x").agg(F.count("*").alias("df"))
+    sizes = texts.groupBy("cluster").agg(F.count("*").alias("c"))
+    frequent = frequent.join(sizes, "cluster").filter("2 * df >= c").groupBy("cluster").agg(F.collect_list("x").alias("center"))
+    central = texts.join(materialize(frequent, "near-centers"), "cluster", "left")
+    score = F.coalesce(2 * F.size(F.array_intersect("set", "center")) - F.col("n_shingles"), -F.col("n_shingles"))
+    best = materialize(central.select("cluster", "cid", score.alias("score")), "near-scores").groupBy("cluster").agg(F.max_by("cid", F.struct("score", "cid")).alias("pivot"))
+    pivots = texts.join(best.select(F.col("pivot").alias("cid")), "cid", "left_semi")
+    pivots = materialize(pivots.select("cluster", F.col("cid").alias("pivot"), F.col("root").alias("proot"), F.col("n_shingles").alias("p"), F.col("set").alias("pset")), "near-pivots")
+    held = texts.join(pivots, "cluster").withColumn("u", F.array_except("set", "pset"))
+    held = held.select("cluster", "cid", "root", "proot", "pivot", "p", "u", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.size("u")).alias("k"))
+    held = held.withColumn("near", F.expr(f"k >= {THRESHOLD} * (n + p - k)"))
+    held = materialize(held.withColumn("least", F.expr("greatest(1, cast(ceil((8 * n) / 10) as int) - k)")), "near-held")
+    links = held.filter("near and root <> proot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
+    held = held.withColumn("root", F.expr("if(near, proot, root)"))
+
+    each = held.filter("size(u) >= least").select("cluster", "cid", "root", "n", "least", F.explode("u").alias("x"))
+    live = each.groupBy("cluster", "x").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    ranked = each.join(live.select("cluster", "x", "df"), ["cluster", "x"])
+    ranked = ranked.withColumn("at", F.row_number().over(W.partitionBy("cid").orderBy("df", "x"))).withColumn("of", F.count("*").over(W.partitionBy("cid")))
+    prefix = materialize(ranked.filter("at <= of - least + 1").select("cluster", "x", "cid", "root", "n"), "near-prefix")
+    other = prefix.select("cluster", "x", F.col("cid").alias("oid"), F.col("root").alias("oroot"), F.col("n").alias("o"))
+    alike = "root <> oroot and 10 * least(n, o) >= 8 * greatest(n, o)"
+    shared = prefix.join(other, ["cluster", "x"]).filter(f"cid < oid and {alike}").select(F.col("cid").alias("a"), F.col("oid").alias("b"))
+
+    inner = held.filter("10 * k >= 8 * n").select("cluster", "cid", "root", "n", "k", "p", "near")
+    lone = inner.filter("not near").select("cluster", F.col("cid").alias("oid"), F.col("root").alias("oroot"), F.col("n").alias("o"), F.col("k").alias("ok"))
+    within = inner.filter("n < p").join(lone, "cluster").filter(f"cid <> oid and {alike} and 9 * least(k, ok) >= 4 * (n + o)")
+    within = within.select(F.least("cid", "oid").alias("a"), F.greatest("cid", "oid").alias("b"))
+    return links, shared.union(within).distinct()
 
 
 def likely_pairs(pairs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -262,11 +296,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(sets.dropDuplicates(["cid"]) if repeats else sets, "near-sets")
 
     links = roots = None
+    pivot = F.struct("cid", "root", "n_shingles")
     for turn in ("best", "random", "rest"):
-        pairs = candidate_pairs(members, degrees, turn)
-        if pairs is None:
+        ranked = members.join(degrees, "cid") if turn != "random" else members
+        orders = [F.struct("degree", "cid")] if turn != "random" else [F.struct(F.xxhash64(F.lit(k), "cid"), "cid") for k in range(PIVOTS)]
+        spans = spanning(ranked, [F.max_by(pivot, order) for order in orders])
+        if spans is None:
             break
-        found = materialize(verify(materialize(likely_pairs(pairs, sig), "near-likely"), sets), "near-links")
+        if turn == "rest":
+            sure, pairs = beyond_pivot(members, spans, sets)
+        else:
+            sure, pairs = None, pivot_pairs(members, spans)
+        found = verify(materialize(likely_pairs(materialize(pairs, "near-pairs"), sig), "near-likely"), sets)
+        found = materialize(found if sure is None else found.union(sure).distinct(), "near-links")
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
