@@ -7,8 +7,7 @@
    its earliest arrival.  Arrivals later than a text's latest register stop early.  Two
    registers agree with the probability Jaccard similarity of the weighted texts.
 3. ``BANDS`` bands of ``ROWS`` registers give buckets.  A bucket picks its best connected
-   member as pivot and pairs it with the rest; buckets that still span components do so
-   with ``PIVOTS`` random members.  Texts of what still spans components are gathered into
+   member as pivot and pairs it with the rest.  Texts of buckets that still span components are gathered into
    clusters of overlapping buckets and held against their cluster's most central text, whole sets
    against whole sets; ``beyond_pivot`` pairs just those that can still reach the threshold.
 4. Pairs whose registers agree too little for the threshold are dropped, the others are
@@ -42,8 +41,6 @@ REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 #: least share of agreeing registers of a pair that is verified: four deviations below 0.8
 AGREE = 0.64
-#: random pivots of a bucket in the second turn
-PIVOTS = 2
 CHUNK = 100_000
 
 SKETCH = "digest binary, n_shingles int, bands array<bigint>, sig binary"
@@ -185,18 +182,18 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("shared") >= F.lit(THRESHOLD) * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def spanning(members: DataFrame, picked: list[Column]) -> DataFrame | None:
-    """(bucket, ps) of the buckets that span components, or None; ps: the structs ``picked``."""
-    spans = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array_distinct(F.array(*picked)).alias("ps")).filter("lo <> hi")
-    spans = materialize(spans.select("bucket", "ps"), "near-spans")
+def spanning(members: DataFrame, degrees: DataFrame) -> DataFrame | None:
+    """(bucket, p) of the buckets that span components, or None; p: the best connected member."""
+    pivot = F.max_by(F.struct("cid", "root", "n_shingles"), F.struct("degree", "cid")).alias("p")
+    spans = members.join(degrees, "cid").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot).filter("lo <> hi")
+    spans = materialize(spans.select("bucket", "p"), "near-spans")
     return None if spans.isEmpty() else spans
 
 
 def pivot_pairs(members: DataFrame, spans: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket's pivots and its members of other components."""
-    tried = members.join(spans, "bucket").withColumn("p", F.explode("ps"))
+    """Distinct pairs (a, b) of a bucket's pivot and its members of other components."""
     alike = "root <> p.root and 10 * least(n_shingles, p.n_shingles) >= 8 * greatest(n_shingles, p.n_shingles)"
-    return tried.filter(alike).select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
+    return members.join(spans, "bucket").filter(alike).select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
 
 
 def beyond_pivot(members: DataFrame, spans: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +206,7 @@ def beyond_pivot(members: DataFrame, spans: DataFrame, sets: DataFrame) -> tuple
     alike to P, hence joined, or both smaller than P.  Nothing is left out by this.
     """
     left = members.join(spans, "bucket")
-    clusters = components(left.select(F.col("cid").alias("a"), F.col("ps")[0]["cid"].alias("b")).distinct())
+    clusters = components(left.select(F.col("cid").alias("a"), F.col("p.cid").alias("b")).distinct())
     clusters = clusters.select(F.col("id").alias("cid"), F.col("root").alias("cluster"))
     texts = left.select("cid", "root", "n_shingles").distinct().join(clusters, "cid").join(sets, "cid")
     texts = materialize(texts.withColumn("n_shingles", F.size("set")), "near-left")
@@ -296,11 +293,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(sets.dropDuplicates(["cid"]) if repeats else sets, "near-sets")
 
     links = roots = None
-    pivot = F.struct("cid", "root", "n_shingles")
-    for turn in ("best", "random", "rest"):
-        ranked = members.join(degrees, "cid") if turn != "random" else members
-        orders = [F.struct("degree", "cid")] if turn != "random" else [F.struct(F.xxhash64(F.lit(k), "cid"), "cid") for k in range(PIVOTS)]
-        spans = spanning(ranked, [F.max_by(pivot, order) for order in orders])
+    for turn in ("best", "rest"):
+        spans = spanning(members, degrees)
         if spans is None:
             break
         if turn == "rest":
