@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dialoom.llm import chat, exact_dedup, html_wrappers, licenses, mixing, packing, prob_minhash, quality, secret_scan, token_ids
 from dialoom.llm.components import components
@@ -258,6 +259,40 @@ def test_near_families(spark):
     assert out == {r[0]: e for r, e in zip(rows, expected, strict=True)}
 
 
+def test_beyond_pivot_loses_no_pair(spark):
+    """One bucket of all texts, none joined yet: the last turn alone must give every component."""
+    families = []
+    for _ in range(3):
+        base = prose(90).split()
+        for c in range(60):
+            t = list(base)
+            for _ in range(rng.randrange(8)):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[f"x{rng.randrange(9)}"], [], [t[at], "more"]])
+            families.append(" ".join(t[: rng.choice([len(t), len(t), rng.randrange(40, 90)])] + [f"tail{c % 7}-{k}" for k in range(rng.choice([0, 0, 6, 15]))]))
+    texts = [(i, t) for i, t in enumerate(dict.fromkeys(families))]
+    sets = [sets_of(t) for _, t in texts]
+    number = {x: n for n, x in enumerate(sorted(set().union(*sets)))}
+    held = spark.createDataFrame([(i, [number[x] for x in s]) for (i, _), s in zip(texts, sets, strict=True)], "cid bigint, set array<bigint>")
+    members = held.select(F.lit(1).cast("long").alias("bucket"), "cid", F.size("set").alias("n_shingles"), F.col("cid").alias("root"))
+    degrees = held.select("cid", F.lit(1).cast("long").alias("degree"))
+    links, pairs = prob_minhash.beyond_pivot(members, prob_minhash.spanning(members, degrees), held)
+    found = {(r["a"], r["b"]) for r in prob_minhash.verify(pairs.union(links), held).collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    sure = {(r["a"], r["b"]) for r in links.collect()}
+    assert sure <= near and found <= near
+
+    def classes(edges):
+        label = list(range(len(sets)))
+        for a, b in edges:
+            x, y = label[a], label[b]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+        return label
+
+    assert classes(found) == classes(near) and len(set(classes(near))) > 20
+    assert pairs.count() < len(sets) * (len(sets) - 1) // 2
+
+
 def test_prob_minhash_estimates():
     a, b = np.arange(1, 101, dtype=np.uint64), np.arange(21, 121, dtype=np.uint64)
     with np.errstate(over="ignore"):
