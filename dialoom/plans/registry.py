@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import lexicon as X
 from dialoom.functions import text as T
-from dialoom.operators import cleanup, phases, roles
+from dialoom.operators import cleanup, events, phases, roles
 from dialoom.sources import segments as S
 
 
@@ -80,6 +80,11 @@ def coding_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phases.coding_silences(phased_segments(spark, sf_dir))
 
 
+def events_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = events.merged_events(events.coding_events(phased_segments(spark, sf_dir)))
+    return out.withColumns({"segment_ids": F.array_join("segment_ids", ","), "reasons": F.array_join("reasons", "|")})
+
+
 def role_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.with_roles(phased_segments(spark, sf_dir)).select("conv_id", "idx", "role", "role_confidence")
 
@@ -191,7 +196,7 @@ ORACLES = {
 
 def queries() -> dict:
     own = [
-        segments, normalized_text, text_features, statistics, topic_classify, v1_roles, v1_turns, speaker_priors, phase_labels, phase_spans, coding_silence, role_fold,
+        segments, normalized_text, text_features, statistics, topic_classify, v1_roles, v1_turns, speaker_priors, phase_labels, phase_spans, coding_silence, events_merged, role_fold,
         speaker_summary, redaction_counts, redacted_text, markdown_escape, ordered_concat,
     ]
     return {f.__name__: f for f in own} | {"cleanup": cleanup_query}

@@ -146,3 +146,32 @@ def test_role_drift(spark, sf_dir):
     out = roles.with_roles(registry.phased_segments(spark, sf_dir)).collect()
     assert {r["role"] for r in out} == {"interviewer", "candidate", "unknown"}
     assert all((r["role"] == "unknown" and r["role_confidence"] == 0.0) or r["valid"] for r in out)
+
+
+def test_events_equal_a_plain_walk(spark, sf_dir):
+    phased = registry.phased_segments(spark, sf_dir)
+    talks = {}
+    for r in sorted(phased.collect(), key=lambda r: (r["conv_id"], r["idx"])):
+        talks.setdefault(r["conv_id"], []).append(r)
+    expected = []
+    for conv, rows in talks.items():
+        raw = []
+        for r in rows:
+            if r["phase"].startswith("CODING") and r["reasons"]:
+                kind = "coding_low_speech_density" if any("long_duration" in x for x in r["reasons"]) else "coding_noise"
+                raw.append([r["start"], r["end"], 0, kind, r["phase"], [r["id"]], set(r["reasons"])])
+        for a, b in zip(rows, rows[1:], strict=False):
+            if a["phase"].startswith("CODING") and b["phase"].startswith("CODING") and b["start"] - a["end"] >= 8.0:
+                raw.append([a["end"], b["start"], 1, "coding_silence", "CODING", [a["id"], b["id"]], {"gap_between_coding_segments"}])
+        out = []
+        for e in sorted(raw, key=lambda e: e[:3]):
+            if out and out[-1][3] == e[3] and e[0] <= out[-1][1] + 3.0:
+                out[-1][1] = max(out[-1][1], e[1])
+                out[-1][5] = out[-1][5] + e[5]
+                out[-1][6] = out[-1][6] | e[6]
+            else:
+                out.append(list(e))
+        expected += [(conv, f"event_{k:03d}", e[3], e[4], e[0], e[1], ",".join(e[5]), "|".join(sorted(e[6]))) for k, e in enumerate(out, 1)]
+    found = registry.events_merged(spark, sf_dir).collect()
+    assert expected and any("," in e[6] and e[2] != "coding_silence" for e in expected)
+    assert sorted(tuple(r[c] for c in ("conv_id", "id", "event_type", "phase", "start", "end", "segment_ids", "reasons")) for r in found) == sorted(expected)
