@@ -1,20 +1,22 @@
 """Operator 5: near-duplicates by ProbMinHash, banding and exact verification.
 
 1. Texts of equal word sequences become one class each; only classes go on.
-2. A class's shingles (five words; of a shorter text, all its words) are weighted by
-   1 + ln(count).  Each shingle is a Poisson process of rate equal to its weight; an
-   arrival at time t falls into a uniform register, and a register keeps the shingle of
-   its earliest arrival.  Arrivals later than a text's latest register stop early.  Two
-   registers agree with the probability Jaccard similarity of the weighted texts.
+2. A class's shingles (five words; of a shorter text, all its words) are a set, each of
+   weight one, as in the similarity that is verified: weights by count would make texts that
+   repeat a passage look less alike than their sets are.  Each shingle is a Poisson process
+   of rate equal to its weight; an arrival at time t falls into a uniform register, and a
+   register keeps the shingle of its earliest arrival.  Arrivals later than a text's latest
+   register stop early.  Two registers agree with the Jaccard similarity of the sets.
 3. ``BANDS`` bands of ``ROWS`` registers give buckets.  A bucket picks its best connected
    member as pivot and pairs it with the rest.  Texts of buckets that still span components are gathered into
    clusters of overlapping buckets and held against their cluster's most central text, whole sets
    against whole sets; ``beyond_pivot`` pairs just those that can still reach the threshold.
-4. Pairs whose registers agree too little for the threshold are dropped, the others are
-   verified on their whole shingle sets (Jaccard of at least 0.8), and components of the
-   verified links are the classes.
+4. Pairs are verified on their whole shingle sets (Jaccard of at least 0.8), and components
+   of the verified links are the classes.  Pairs with pivots whose registers agree too little
+   are put off: what they leave unjoined goes to the last turn, whose pairs are all verified.
 
-Recall of banding at similarity 0.8 is 1 - (1 - 0.8^5)^24 = 0.9999 per pair.
+Recall of banding at similarity 0.8 is 1 - (1 - 0.8^5)^24 = 0.9999 per pair, repeats or not;
+nothing after banding loses a class.
 
 Shingling and the sketch run in numpy on Arrow batches, all else is DataFrame code.
 Edge cases: null is an empty text; empty texts form one class; repeated rows share a
@@ -39,7 +41,7 @@ from dialoom.llm.components import components
 SHINGLE, BANDS, ROWS = 5, 24, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
-#: least share of agreeing registers of a pair that is verified: four deviations below 0.8
+#: least share of agreeing registers of a pair that is verified before the last turn: four deviations below 0.8
 AGREE = 0.64
 CHUNK = 100_000
 
@@ -139,10 +141,8 @@ def sketch_chunk(ids: pa.Array, digests: list[bytes], lists: list[np.ndarray]) -
     o = np.repeat(np.arange(n), [len(x) for x in lists])
     new = np.ones(len(f), bool)
     new[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
-    starts = np.flatnonzero(new)
-    counts = np.diff(np.append(starts, len(f)))
-    elements, owner = f[starts], o[starts]
-    who = prob_minhash(elements, 1.0 + np.log(counts), owner, n)
+    elements, owner = f[new], o[new]
+    who = prob_minhash(elements, np.ones(len(elements)), owner, n)
     bands = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
         bands = mixed(bands * np.uint64(31) + who[:, r::ROWS] + np.uint64(r + 1))
@@ -299,9 +299,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         if turn == "rest":
             sure, pairs = beyond_pivot(members, spans, sets)
+            pairs = materialize(pairs, "near-pairs")
         else:
-            sure, pairs = None, pivot_pairs(members, spans)
-        found = verify(materialize(likely_pairs(materialize(pairs, "near-pairs"), sig), "near-likely"), sets)
+            sure, pairs = None, materialize(pivot_pairs(members, spans), "near-pairs")
+            pairs = materialize(likely_pairs(pairs, sig), "near-likely")
+        found = verify(pairs, sets)
         found = materialize(found if sure is None else found.union(sure).distinct(), "near-links")
         if found.isEmpty():
             continue

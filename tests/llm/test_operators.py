@@ -259,6 +259,30 @@ def test_near_families(spark):
     assert out == {r[0]: e for r, e in zip(rows, expected, strict=True)}
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    """Weights by count would hide these: the sets' similarity is 0.82 to 0.84, whatever the repeats."""
+    own = random.Random(11)
+    fresh = lambda n: " ".join(f"w{own.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k in range(40):
+        base, passage = fresh(300), fresh(58)
+        rows += [(2 * k, base), (2 * k + 1, " ".join([base] + [passage] * (1, 5, 10, 30)[k % 4]))]
+    expected, n = brute_classes(rows)
+    assert n == 40 and expected[1] == 0
+    out = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {r[0]: e for r, e in zip(rows, expected, strict=True)}
+
+
+def test_register_estimate_drops_no_class(spark, monkeypatch):
+    """If the estimate drops every pair, the last turn still joins a chain of texts, those far from its pivot too."""
+    monkeypatch.setattr(prob_minhash, "likely_pairs", lambda pairs, sig: pairs.limit(0))
+    own = random.Random(12)
+    text = [f"w{own.randrange(10**9)}" for _ in range(400)]
+    rows = [(i, " ".join(text[18 * i : 18 * i + 200])) for i in range(9)]
+    out = prob_minhash.near_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert brute_classes(rows)[1] == 1 and {r["class_id"] for r in out} == {0}
+
+
 def test_beyond_pivot_loses_no_pair(spark):
     """One bucket of all texts, none joined yet: the last turn alone must give every component."""
     families = []
