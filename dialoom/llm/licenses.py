@@ -36,13 +36,25 @@ SENTENCES = {
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    # Standard notices break at : ; and v., so their pieces are sentences too.
+    "gpl-software": "this program is free software",
+    "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl3-version": "either version 3 of the license or at your option any later version",
+    "gpl2-version": "either version 2 of the license or at your option any later version",
+    "gpl-useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mpl-ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-form": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-version": "2 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by": "licensed under cc by 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
+GPL_HOPES = (["gpl-hope"], ["gpl-useful", "gpl-implied"])
 # Licence and the identifiers that must occur in order.
 RULES = [
     ("Apache-2.0", ["apache-ref"]),
@@ -52,10 +64,11 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-asis"]),
     ("BSD", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0", ["gpl3-ref"]),
-    ("GPL-3.0", ["gpl-free", "gpl-hope"]),
-    ("GPL-2.0", ["gpl2-free", "gpl-hope"]),
+    *[("GPL-3.0", free + hope) for free in (["gpl-free"], ["gpl-software", "gpl3-terms"], ["gpl-software", "gpl-terms", "gpl3-version"]) for hope in GPL_HOPES],
+    *[("GPL-2.0", free + hope) for free in (["gpl2-free"], ["gpl-software", "gpl2-terms"], ["gpl-software", "gpl-terms", "gpl2-version"]) for hope in GPL_HOPES],
     ("ISC", ["isc-grant"]),
     ("MPL-2.0", ["mpl-ref"]),
+    ("MPL-2.0", ["mpl-form", "mpl-version"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),
     ("CC-BY-4.0", ["cc-by"]),
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
@@ -64,6 +77,8 @@ RULES = [
 #: a sentence ends at . ! ? : ; before white space or the end, at a blank line, or at a list mark
 SENTENCE_END = r"[.!?:;]+(?=\s|$)|\n\s*\n|\n\s*(?:[*-]|\(?\d+[.)])\s|\n"
 PARAGRAPH_END = r"[.!?:;]+(?=\s|$)|\n\s*\n|\n\s*(?:[*-]|\(?\d+[.)])\s"
+#: in comments a line may begin with signs alone (*, //, #, ;;), which are no list mark and no sentence's end
+COMMENT_END = r"(?<=[\p{L}\p{N}\p{Pe}\p{Pf}\"'])[.!?:;]+(?=\s|$)|\n[^\p{L}\p{N}\n]*(?=\n)|\n[^\p{L}\p{N}\n]*\d+[.)]\s"
 MENTION = r"(?i)licen[cs]e|permission|redistribut|free software|warrant|public domain|without any|as is"
 
 
@@ -77,13 +92,13 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     spark = docs.sparkSession
     told = F.when(F.regexp_like("text", F.lit(MENTION)), F.col("text"))
     rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", told.alias("told"))
-    # Sentences that are lines of their own and sentences wrapped over lines are both tried.
-    ways = [F.transform(F.split("told", end, -1), normal) for end in (SENTENCE_END, PARAGRAPH_END)]
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), ways[0].alias("line"), ways[1].alias("wrapped"))
+    # Sentences that are lines of their own, wrapped over lines, and wrapped over lines of a comment are all tried.
+    ways = [F.transform(F.split("told", end, -1), normal) for end in (SENTENCE_END, PARAGRAPH_END, COMMENT_END)]
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), ways[0].alias("line"), ways[1].alias("wrapped"), ways[2].alias("comment"))
     rows = materialize(rows, "licence-rows")  # row numbers are fixed from here on
     table = spark.createDataFrame(list(sentences.items()), "id string, sentence string")
     way = lambda k, name: F.struct(F.lit(k).alias("way"), F.col(name).alias("list"))
-    exploded = rows.filter("line is not null").select("_row", F.explode(F.array(way(0, "line"), way(1, "wrapped"))).alias("x"))
+    exploded = rows.filter("line is not null").select("_row", F.explode(F.array(way(0, "line"), way(1, "wrapped"), way(2, "comment"))).alias("x"))
     exploded = exploded.select("_row", "x.way", F.posexplode("x.list").alias("pos", "sentence"))
     hits = exploded.join(F.broadcast(table), "sentence").select("_row", "way", "pos", "id")
     per_way = hits.groupBy("_row", "way").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))

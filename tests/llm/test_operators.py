@@ -367,6 +367,66 @@ def test_licences(docs, spark):
     assert found[2] == "" and found[3] == ""
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+NOTICES = [
+    ("GPL-3.0", GPL.format(":", ",", 3)), ("GPL-3.0", GPL.format(";", ";", 3)), ("GPL-2.0", GPL.format(";", ";", 2)), ("GPL-2.0", GPL.format(":", ",", 2)),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""),
+    ("BSD", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+
+def test_verbatim_notices(spark):
+    """Each notice as it is published, plain and in comments of several languages."""
+    commented = lambda t, lead: "\n".join((lead + x).rstrip() for x in ["Copyright (c) 2020 Somebody", "", *t.split("\n")])
+    shapes = [lambda t: t, lambda t: "/*\n" + commented(t, " * ") + "\n */\nint x;"] + [lambda t, k=k: commented(t, k) + "\n\ncode()" for k in ("# ", "// ", ";; ", "-- ")]
+    texts = [(i * 10 + k, shape(t)) for i, (_, t) in enumerate(NOTICES) for k, shape in enumerate(shapes)]
+    found = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert found == {d: NOTICES[d // 10][0] for d, _ in texts}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     e = Encoder(public_path(name))
