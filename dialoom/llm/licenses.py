@@ -1,10 +1,11 @@
 r"""Operator 7: licence scans by sentence rules.
 
 A text splits into sentences, which are normalised (lower case, letters and digits only,
-single spaces) and looked up among known licence sentences; each hit is an identifier.  A
+single spaces) and looked up among known licence sentences; each hit is an identifier.
+Texts are split in several ways, whose hits are merged by their place in the text.  A
 rule is an ordered list of identifiers; a licence is found where a rule's identifiers occur
-in order, other sentences between them allowed.  Sentences of all texts that mention any
-licence word are exploded and joined with the dictionary by hash (a table fixed in this
+in order, other sentences between them allowed.  Of all texts that mention any licence word,
+sentences that may be known are exploded and joined with the dictionary by hash (a table fixed in this
 file, so its broadcast is bounded), and only hits are grouped by row.
 
 Edge cases: null text is empty; a text without hits has an empty result; repeated rows are
@@ -82,27 +83,38 @@ COMMENT_END = r"(?<=[\p{L}\p{N}\p{Pe}\p{Pf}\"'])[.!?:;]+(?=\s|$)|\n[^\p{L}\p{N}\
 MENTION = r"(?i)licen[cs]e|permission|redistribut|free software|warrant|public domain|without any|as is"
 
 
+WAYS = {"line": SENTENCE_END, "wrapped": PARAGRAPH_END, "comment": COMMENT_END}
+#: set around ends, which stay pieces of their own, so that places can be counted
+MARK = "\u0001"
+
+
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def placed(pieces: Column, known: list[str]) -> Column:
+    """(at, sentence) of the known sentences among a text's pieces; at: letters and digits before it, alike in all ways."""
+    before = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(F.translate(x, " ", "")))
+    found = F.filter(F.transform(pieces, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].isin(known))
+    return F.transform(found, lambda p: F.struct(before(p["i"]).alias("at"), p["x"].alias("sentence")))
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """A row per document: doc_id, n_sentences (hits), sentence_ids in order, licences sorted."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     spark = docs.sparkSession
-    told = F.when(F.regexp_like("text", F.lit(MENTION)), F.col("text"))
+    told = F.when(F.regexp_like("text", F.lit(MENTION)), F.translate("text", MARK, " "))
     rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", told.alias("told"))
     # Sentences that are lines of their own, wrapped over lines, and wrapped over lines of a comment are all tried.
-    ways = [F.transform(F.split("told", end, -1), normal) for end in (SENTENCE_END, PARAGRAPH_END, COMMENT_END)]
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), ways[0].alias("line"), ways[1].alias("wrapped"), ways[2].alias("comment"))
+    for way, end in WAYS.items():
+        rows = rows.withColumn(way, F.transform(F.split(F.regexp_replace("told", f"({end})", f"{MARK}$1{MARK}"), MARK, -1), normal))
+    known = sorted(set(sentences.values()))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.array_distinct(F.concat(*[placed(F.col(way), known) for way in WAYS])).alias("known"))
     rows = materialize(rows, "licence-rows")  # row numbers are fixed from here on
     table = spark.createDataFrame(list(sentences.items()), "id string, sentence string")
-    way = lambda k, name: F.struct(F.lit(k).alias("way"), F.col(name).alias("list"))
-    exploded = rows.filter("line is not null").select("_row", F.explode(F.array(way(0, "line"), way(1, "wrapped"), way(2, "comment"))).alias("x"))
-    exploded = exploded.select("_row", "x.way", F.posexplode("x.list").alias("pos", "sentence"))
-    hits = exploded.join(F.broadcast(table), "sentence").select("_row", "way", "pos", "id")
-    per_way = hits.groupBy("_row", "way").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
-    per_row = per_way.groupBy("_row").agg(F.max_by("ids", F.struct(F.size("ids"), -F.col("way"))).alias("ids"))
+    exploded = rows.filter("size(known) > 0").select("_row", F.explode("known").alias("x")).select("_row", "x.at", "x.sentence")
+    hits = exploded.join(F.broadcast(table), "sentence").select("_row", "at", "id")
+    per_row = hits.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
     out = rows.select("doc_id", "_row").join(per_row, "_row", "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     code = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))

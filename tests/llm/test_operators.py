@@ -427,6 +427,18 @@ def test_verbatim_notices(spark):
     assert found == {d: NOTICES[d // 10][0] for d, _ in texts}
 
 
+def test_licences_of_both_splits(spark):
+    """A licence told on a line and another wrapped over lines, and a rule of which each split sees a part."""
+    line, mit = "Licensed under CC BY 4.0\nand more text without a full stop\n\n", next(t for name, t in NOTICES if name == "MIT")
+    bsd = [licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary")]
+    parts = f"Note\n{bsd[0]}\nsome line\n\n" + bsd[1].replace(" above ", "\nabove ") + ".\n" + bsd[2] + "\nend"
+    texts = [(1, line + mit), (2, mit + "\n\n" + line), (3, parts), (4, "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0")]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert [out[k]["licences"] for k in (1, 2, 3)] == ["CC-BY-4.0,MIT", "CC-BY-4.0,MIT", "BSD"]
+    assert out[1]["sentence_ids"] == "cc-by,mit-grant,mit-notice,mit-asis" and out[2]["sentence_ids"].endswith(",cc-by")
+    assert out[4]["sentence_ids"] == "cc-by,cc-by"
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     e = Encoder(public_path(name))
