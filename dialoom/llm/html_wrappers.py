@@ -10,8 +10,8 @@ is not page furniture, is the host's main region.
 
 A page's text is what lies in that region outside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments.  A page without the region falls
-back to all text outside furniture, less blocks that at least half of the host's pages
-(three or more) share.  Every page is aligned and every page is extracted; a group that is aligned at once has
+back to all text outside furniture, less blocks that at least half of the host's distinct
+texts (three or more) share; a text of such blocks alone is kept whole.  Every page is aligned and every page is extracted; a group that is aligned at once has
 at most ``FAN_IN`` streams, however many pages a host has.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own; repeated
@@ -237,13 +237,14 @@ def extract(pages: DataFrame) -> DataFrame:
     texts = materialize(texts, "page-texts")
     loose = texts.filter("not inside and text <> ''")
     if loose.limit(1).count():
-        # Blocks that most of a host's loose pages share are template text.
-        numbered = loose.select("host", F.xxhash64("page_id", "url", "text").alias("p"), F.explode(F.array_distinct(F.split("text", "\n\n"))).alias("b"))
-        seen = numbered.groupBy("host", F.xxhash64("b").alias("b")).agg(F.count("*").alias("n"))
-        pages_of = materialize(loose.groupBy("host").agg(F.count("*").alias("all")), "page-hosts")
+        # Blocks that most of a host's distinct loose texts share are template text; copies of a page tell nothing.
+        numbered = loose.select("host", F.xxhash64("text").alias("p"), F.explode(F.array_distinct(F.split("text", "\n\n"))).alias("b"))
+        seen = numbered.select("host", "p", F.xxhash64("b").alias("b")).distinct().groupBy("host", "b").agg(F.count("*").alias("n"))
+        pages_of = materialize(loose.select("host", F.xxhash64("text").alias("p")).distinct().groupBy("host").agg(F.count("*").alias("all")), "page-hosts")
         common = join_bounded(seen.filter("n >= 3"), pages_of, ["host"]).filter("2 * n >= all")
         common = materialize(common.groupBy("host").agg(F.collect_set("b").alias("common")), "page-template")
         texts = join_bounded(texts, common, ["host"], "left", WRAPPER_ROWS)
         less = F.array_join(F.filter(F.split("text", "\n\n"), lambda b: ~F.array_contains(F.col("common"), F.xxhash64(b))), "\n\n")
-        texts = texts.withColumn("text", F.when(F.col("inside") | F.col("common").isNull(), F.col("text")).otherwise(less))
+        texts = texts.withColumn("less", F.when(~F.col("inside") & F.col("common").isNotNull(), less))
+        texts = texts.withColumn("text", F.when(F.col("less") != "", F.col("less")).otherwise(F.col("text")))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

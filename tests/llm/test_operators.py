@@ -351,6 +351,18 @@ def test_html(spark):
     assert text[20] == "" and text[21] == "" and text[22] == "plain text < 3 & more"
 
 
+def test_template_of_copies(spark):
+    """Copies of a page are no template; blocks of most distinct pages are, unless a page has nothing else."""
+    page = lambda *blocks: "<body>" + "<hr>".join(blocks) + "</body>"
+    rows = [(i, None, page("Alpha text", "Beta text")) for i in range(4)] + [(4, None, page("Gamma")), (5, None, page("Delta"))]
+    rows += [(10 + i, "http://t/x", page("Shared", f"Own {i}")) for i in range(4)] + [(14, "http://t/y", page("Shared"))]
+    rows += [(20 + i, "http://copies/x", page("One", "Two")) for i in range(5)]
+    text = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [text[i] for i in range(6)] == ["Alpha text\n\nBeta text"] * 4 + ["Gamma", "Delta"]
+    assert [text[10 + i] for i in range(5)] == [f"Own {i}" for i in range(4)] + ["Shared"]
+    assert {text[20 + i] for i in range(5)} == {"One\n\nTwo"}
+
+
 def test_wrapper_alignment():
     fold = html_wrappers.folded
     assert fold(["a", "p", "#", "/p", "p", "#", "/p", "b"]) == ["a", "(p # /p)+", "b"]
