@@ -5,8 +5,8 @@ A page becomes a stream of tags and text slots, in which runs that repeat fold i
 a time, round by round: what matches stays, what only one side has becomes an optional
 group ``(...)?``, adjacent equal groups become repeated.  The result is a union-free
 regular expression per host, whose slots are grouped by the region (element below the
-body) that holds them; the region named article or main, or else the one of most slots that
-is not page furniture, is the host's main region.
+body) that holds them; the region named article or main, or else the one that holds most
+characters outside page furniture over all pages of the host, is the host's main region.
 
 A page's text is what lies in that region outside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments.  A page without the region falls
@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -169,18 +170,24 @@ def aligned(a: list[str], b: list[str]) -> list[str]:
     return folded(out, 2)
 
 
-def main_region(pattern: list[str]) -> str:
+def main_region(pattern: list[str], heaviest: str) -> str:
     slots = re.findall(r"#(!?)([^\s()]*)", " ".join(pattern))
-    good = [r for off, r in slots if not off]
-    for name in MAIN:
-        if name in good:
-            return name
-    return max(sorted(set(good)), key=good.count, default="")
+    good = {r for off, r in slots if not off}
+    return next((name for name in MAIN if name in good), heaviest)
 
 
 def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, pattern, null, 1) for each page and (host, null, region, characters outside furniture)."""
     for batch in batches:
-        yield pd.DataFrame({"host": batch["host"], "pattern": [json.dumps(folded(Reader(x).stream)) for x in batch["html"]]})
+        rows, held = [], Counter()
+        for host, page in zip(batch["host"], batch["html"], strict=True):
+            read = Reader(page)
+            rows.append((host, json.dumps(folded(read.stream)), None, 1))
+            for region, off, text in read.blocks:
+                if not off:
+                    held[host, region] += len(text)
+        rows += [(host, None, region, n) for (host, region), n in held.items()]
+        yield pd.DataFrame(rows, columns=["host", "pattern", "region", "n"])
 
 
 def merged(group: pd.DataFrame) -> pd.DataFrame:
@@ -192,14 +199,17 @@ def merged(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pattern, pages): a wrapper per host from all its pages (host, html)."""
-    found = pages.mapInPandas(streams, "host string, pattern string").groupBy("host", "pattern").agg(F.count("*").alias("pages"))
-    found = materialize(found, "wrapper-streams")
+    """(host, pattern, heaviest): a wrapper per host from all its pages (host, html), and its region of most text."""
+    told = pages.mapInPandas(streams, "host string, pattern string, region string, n bigint").groupBy("host", "pattern", "region").agg(F.sum("n").alias("n"))
+    told = materialize(told, "wrapper-streams")
+    heaviest = told.filter("region is not null").groupBy("host").agg(F.max_by("region", F.struct("n", "region")).alias("heaviest"))
+    heaviest = materialize(heaviest, "wrapper-regions")
+    found = told.filter("pattern is not null").select("host", "pattern", F.col("n").alias("pages"))
     while True:
         sizes = found.groupBy("host").agg(F.count("*").alias("n")).filter("n > 1")
         sizes = materialize(sizes, "wrapper-sizes")
         if not sizes.limit(1).count():
-            return found
+            return join_bounded(found, heaviest, ["host"], "left", WRAPPER_ROWS).select("host", "pattern", F.coalesce("heaviest", F.lit("")).alias("heaviest"))
         todo = join_bounded(found, sizes, ["host"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
         groups = F.greatest(F.ceil(F.col("n") / F.lit(FAN_IN / 2)), F.lit(1))
         todo = todo.withColumn("part", F.when(F.col("n") <= FAN_IN, 0).otherwise(F.pmod(F.xxhash64("pattern"), groups)))
@@ -222,7 +232,7 @@ def extracted(page: str, region: str) -> tuple[str, bool]:
 
 def extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        regions = [main_region(json.loads(p)) if isinstance(p, str) else "" for p in batch["pattern"]]
+        regions = [main_region(json.loads(p), h) if isinstance(p, str) else "" for p, h in zip(batch["pattern"], batch["heaviest"], strict=True)]
         found = [extracted(h, r) for h, r in zip(batch["html"], regions, strict=True)]
         yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "host": batch["host"], "text": [t for t, _ in found], "inside": [i for _, i in found]})
 
@@ -232,8 +242,8 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     wrappers = infer_wrappers(own.select("host", "html"))
-    paired = join_bounded(own, wrappers.select("host", "pattern"), ["host"], "left", WRAPPER_ROWS)
-    texts = paired.select("page_id", "url", "host", "html", "pattern").mapInPandas(extract_batches, "page_id bigint, url string, host string, text string, inside boolean")
+    paired = join_bounded(own, materialize(wrappers, "wrappers"), ["host"], "left", WRAPPER_ROWS)
+    texts = paired.select("page_id", "url", "host", "html", "pattern", "heaviest").mapInPandas(extract_batches, "page_id bigint, url string, host string, text string, inside boolean")
     texts = materialize(texts, "page-texts")
     loose = texts.filter("not inside and text <> ''")
     if loose.limit(1).count():

@@ -363,6 +363,16 @@ def test_template_of_copies(spark):
     assert {text[20 + i] for i in range(5)} == {"One\n\nTwo"}
 
 
+def test_main_region_by_text(spark):
+    """Without article or main, a div of many paragraphs beats one of a few differently tagged links."""
+    body = lambda i, n: [f"Paragraph {k} of page {i}." for k in range(n)]
+    links = "<div class=tools><h2>Up</h2><p>Back</p><section>Next</section></div>"
+    page = lambda i, n: f"<body>{links}<div class=text>{''.join(f'<p>{x}</p>' for x in body(i, n))}</div></body>"
+    rows = [(i, f"http://plain/{i}", page(i, 20 - i)) for i in range(5)]
+    text = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert text == {i: "\n\n".join(body(i, 20 - i)) for i in range(5)}
+
+
 def test_wrapper_alignment():
     fold = html_wrappers.folded
     assert fold(["a", "p", "#", "/p", "p", "#", "/p", "b"]) == ["a", "(p # /p)+", "b"]
