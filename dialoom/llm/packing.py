@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,6 @@ from dialoom.llm.tokenizing import encoder, public_path
 
 WINDOW, GRANULE, DEPTH, END = 4096, 32, 3, 2
 KINDS = WINDOW // GRANULE
-#: ids of a text in one batch's output at most, before it is handed on
-BATCH_BYTES = 8 << 20
 
 
 def combinations() -> np.ndarray:
@@ -117,20 +116,13 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids, n, wide, start, held = [], [], [], 0, 0
-            for k, text in enumerate(batch.column(1)):
-                raw = coder.encode(text.as_py()) + end
-                values = np.frombuffer(raw, "<u4")
-                big = bool(values.max() > 0xFFFF)
-                ids.append(raw if big else values.astype("<u2").tobytes())
-                n.append(len(values))
-                wide.append(big)
-                held += len(ids[-1])
-                if held > BATCH_BYTES or k == batch.num_rows - 1:
-                    yield pa.record_batch([batch.column(0).slice(start, len(n)), pa.array(n, pa.int64()), pa.array(wide), pa.array(ids, pa.binary())], names=["doc_id", "doc_tokens", "wide", "ids"])
-                    ids, n, wide, start, held = [], [], [], k + 1, 0
+            for first, ids, places in coder.encode_batch(batch.column(1), END):
+                n = len(places) - 1
+                wide = bool(len(ids) and ids.max() > 0xFFFF)
+                raw = ids if wide else ids.astype("<u2")
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(places * raw.itemsize), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.record_batch([batch.column(0).slice(first, n), pa.array(np.diff(places)), pa.array(np.full(n, wide)), cells], names=["doc_id", "doc_tokens", "wide", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", text_of().alias("text")).mapInArrow(encode, f"doc_id {kind}, doc_tokens bigint, wide boolean, ids binary")
@@ -204,16 +196,19 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
-            out: list[tuple] = []
-            doc_ids, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, (wide, raw, parts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), strict=True)):
+            parts = batch.column(4)
+            per_row = pc.list_value_length(parts).to_numpy().astype(np.int64)
+            start, length, sequence, offset = (x.to_numpy() for x in parts.flatten().flatten())
+            row = np.repeat(np.arange(batch.num_rows), per_row)
+            crc = np.zeros(len(row), np.int64)
+            at = 0
+            for wide, raw, n in zip(batch.column(2).to_pylist(), batch.column(3), per_row.tolist(), strict=True):
                 ids32 = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2").astype("<u4")
-                for p in parts:
-                    crc = zlib.crc32(ids32[p["start"] : p["start"] + p["length"]].tobytes())
-                    out.append((doc_ids[k], p["start"], p["length"], crc, counts[k], p["sequence_id"], p["offset"]))
-            kinds = [batch.schema.field(0).type, *[pa.int64()] * 6]
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                for k in range(at, at + n):
+                    crc[k] = zlib.crc32(ids32[start[k] : start[k] + length[k]])
+                at += n
+            columns = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc), batch.column(1).take(pa.array(row)), pa.array(sequence), pa.array(offset)]
+            yield pa.record_batch(columns, names=names)
 
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return ids.join(per_row, "row").select("doc_id", "doc_tokens", "wide", "ids", "pieces").mapInArrow(slices, schema)

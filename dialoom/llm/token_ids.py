@@ -8,8 +8,11 @@ fingerprint, the first row and the number of rows of its key.  A lookup is two h
 one comparison, whatever the shard's size.  Shards are Parquet rows, written and read
 through Spark alone.
 
-Edge cases: null text is empty; a null doc_id sorts first and is kept under the least long;
-repeated doc_ids lie side by side, in text order, under one key; no rows give no rows.
+Edge cases: null text is empty; a null doc_id sorts first and is kept under the least long,
+which itself reads back as null; repeated doc_ids lie side by side, in text order, under one
+key of each shard they reach, so ties are settled by text and equal rows are interchangeable;
+a text longer than a shard is a shard of its own; columns other than doc_id and text are not
+read, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -29,70 +32,72 @@ from dialoom.llm.tokenizing import encoder, public_path
 SHARD_BYTES = 2 << 20
 END = 2
 NONE = -(1 << 63)
-PER_BUCKET = 4
-MASK = (1 << 64) - 1
+PER_BUCKET = 3
 SHARD = "part int, shard int, width int, n_ids bigint, payload binary, row_ends array<bigint>, row_keys array<bigint>, moves array<int>, prints array<bigint>, first_rows array<int>, row_counts array<int>"
 
 
-def hashed(key: int, seed: int) -> int:
-    x = (key + 0x9E3779B97F4A7C15 * (seed + 1)) & MASK
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
-    return x ^ (x >> 31)
+def hashed(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit hashes of signed 64-bit keys; ``seed`` is one number or one a key."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(seed).astype(np.uint64) + np.uint64(1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def build_index(keys: list[int]) -> tuple[list[int], list[int]]:
+def prints_of(keys: np.ndarray) -> np.ndarray:
+    return (hashed(keys, -1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(displacement of each bucket, slot of each key); keys are distinct, slots 0..n-1.
 
-    A displacement of -s-1 names slot s outright: for buckets of one key, placed last.
+    Buckets are placed by size, largest first, each with its least displacement that sends its
+    keys to free, distinct slots.  A displacement of -s-1 names slot s outright: for buckets of
+    one key.
     """
     n = len(keys)
-    buckets: list[list[int]] = [[] for _ in range(max(1, -(-n // PER_BUCKET)))]
-    for k, key in enumerate(keys):
-        buckets[hashed(key, 0) % len(buckets)].append(k)
-    moves, slots, taken = [0] * len(buckets), [-1] * n, [False] * n
-    order = sorted(range(len(buckets)), key=lambda b: -len(buckets[b]))
-    for b in order:
-        if len(buckets[b]) < 2:
-            break
-        move = 1
+    buckets = max(1, -(-n // PER_BUCKET))
+    home = (hashed(keys, 0) % np.uint64(buckets)).astype(np.int64)
+    held = np.bincount(home, minlength=buckets)
+    moves, slots, taken = np.zeros(buckets, np.int64), np.full(n, -1, np.int64), np.zeros(n, bool)
+    order = np.argsort(home, kind="stable")  # a bucket's keys side by side
+    ends = np.cumsum(held)
+    for b in np.argsort(-held, kind="stable")[: int((held > 1).sum())].tolist():
+        mine = order[ends[b] - held[b] : ends[b]]
+        move, tries = 1, 16
         while True:
-            want = [hashed(keys[k], move) % n for k in buckets[b]]
-            if len(set(want)) == len(want) and not any(taken[s] for s in want):
+            want = (hashed(keys[mine], np.arange(move, move + tries)[:, None]) % np.uint64(n)).astype(np.int64)
+            good = ~taken[want].any(axis=1) & (np.diff(np.sort(want, axis=1), axis=1) > 0).all(axis=1)
+            if good.any():
                 break
-            move += 1
-        moves[b] = move
-        for k, s in zip(buckets[b], want, strict=True):
-            slots[k], taken[s] = s, True
-    free = (s for s in range(n) if not taken[s])
-    for b in order:
-        if len(buckets[b]) == 1:
-            s = next(free)
-            moves[b], slots[buckets[b][0]] = -s - 1, s
+            move, tries = move + tries, 2 * tries
+        k = int(np.argmax(good))
+        moves[b], slots[mine], taken[want[k]] = move + k, want[k], True
+    lone = order[held[home[order]] == 1]
+    slots[lone] = np.flatnonzero(~taken)[: len(lone)]
+    moves[home[lone]] = -slots[lone] - 1
     return moves, slots
 
 
-def slot_of(key: int, moves, n: int) -> int:
-    move = moves[hashed(key, 0) % len(moves)]
-    return -move - 1 if move < 0 else hashed(key, move) % n
+def slots_of(keys: np.ndarray, moves: np.ndarray, n: int) -> np.ndarray:
+    """The only slot where each key can be."""
+    move = moves[(hashed(keys, 0) % np.uint64(len(moves))).astype(np.int64)]
+    return np.where(move < 0, -move - 1, (hashed(keys, np.maximum(move, 0)) % np.uint64(n)).astype(np.int64))
 
 
-def shard_row(part: int, shard: int, keys: list[int], raw: list[bytes]) -> dict:
-    """One shard of rows in key order; ``raw``: unsigned 32-bit ids of each row."""
-    values = np.frombuffer(b"".join(raw), "<u4")
-    width = 4 if values.max() > 0xFFFF else 2
-    distinct = list(dict.fromkeys(keys))
+def shard_batch(part: int, shard: int, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One shard of rows in key order: their ids end to end and how many each has."""
+    width = 4 if ids.max() > 0xFFFF else 2
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    distinct, n = keys[first], len(first)
     moves, slots = build_index(distinct)
-    n = len(distinct)
-    prints, first, count = [0] * n, [0] * n, [0] * n
-    at = {k: s for k, s in zip(distinct, slots, strict=True)}
-    for r, key in enumerate(keys):
-        s = at[key]
-        if not count[s]:
-            prints[s], first[s] = hashed(key, MASK) & 0xFFFFFFFF, r
-        count[s] += 1
-    ends = np.cumsum([len(x) // 4 for x in raw]).tolist()
-    return {"part": part, "shard": shard, "width": width, "n_ids": len(values), "payload": values.astype(f"<u{width}").tobytes(), "row_ends": ends, "row_keys": distinct, "moves": moves, "prints": prints, "first_rows": first, "row_counts": count}
+    prints, rows, held = (np.zeros(n, np.int64) for _ in range(3))
+    prints[slots], rows[slots], held[slots] = prints_of(distinct), first, np.diff(np.append(first, len(keys)))
+    one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
+    i64, i32 = pa.int64(), pa.int32()
+    columns = [pa.array([part], i32), pa.array([shard], i32), pa.array([width], i32), pa.array([len(ids)], i64), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()), one(np.cumsum(counts), i64), one(distinct, i64), one(moves, i32), one(prints, i64), one(rows, i32), one(held, i32)]
+    return pa.record_batch(columns, names=[x.split()[0] for x in SHARD.split(", ")])
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -103,27 +108,24 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_bytes: int
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        coder, end = encoder(path), np.array([END], "<u4").tobytes()
-        keys: list[int] = []
-        raw: list[bytes] = []
-        held = 0
-        pack = lambda: pa.RecordBatch.from_pylist([shard_row(part, shard, keys, raw)], schema=arrow)
+        coder = encoder(path)
+        keys, ids, counts = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int64)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key = NONE if key is None else key
-                if held >= shard_bytes and key != keys[-1]:
-                    yield pack()
-                    keys, raw, held, shard = [], [], 0, shard + 1
-                ids = coder.encode(text.as_py()) + end
-                keys.append(key)
-                raw.append(ids)
-                held += len(ids)
-        if keys:
-            yield pack()
+            for first, more, places in coder.encode_batch(batch.column(1), END):
+                keys = np.append(keys, batch.column(0).slice(first, len(places) - 1).fill_null(NONE).to_numpy())
+                ids, counts = np.append(ids, more), np.append(counts, np.diff(places))
+                # A shard ends behind the row at which it is full; rows of one key may lie in several.
+                while True:
+                    starts = np.concatenate(([0], np.cumsum(counts)))
+                    full = np.flatnonzero(starts[1:-1] * 4 >= shard_bytes)
+                    if not len(full):
+                        break
+                    k = int(full[0]) + 1
+                    yield shard_batch(part, shard, keys[:k], ids[: starts[k]], counts[:k])
+                    keys, ids, counts, shard = keys[k:], ids[starts[k] :], counts[k:], shard + 1
+        if len(keys):
+            yield shard_batch(part, shard, keys, ids, counts)
 
-    i64, i32 = pa.int64(), pa.int32()
-    kinds = [i32, i32, i32, i64, pa.binary(), pa.list_(i64), pa.list_(i64), pa.list_(i32), pa.list_(i64), pa.list_(i32), pa.list_(i32)]
-    arrow = pa.schema(list(zip([x.split()[0] for x in SHARD.split(", ")], kinds, strict=True)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInArrow(encode, SHARD), "token-shards")
@@ -147,23 +149,24 @@ FOUND = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 def _reader(with_ids: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["payload"], f"<u{row['width']}")
-                ends, moves, n = row["row_ends"], row["moves"], len(row["prints"])
-                out: list[tuple] = []
-                for key in row["keys"]:
-                    s = slot_of(key, moves, n)
-                    if row["prints"][s] != hashed(key, MASK) & 0xFFFFFFFF:
-                        continue  # the shard doesn't hold this key
-                    first = row["first_rows"][s]
-                    for r in range(first, first + row["row_counts"][s]):
-                        a = ends[r - 1] if r else 0
-                        own = ids[a : ends[r]].astype("<u4").tobytes()
-                        out.append((None if key == NONE else key, row["start"] + a, ends[r] - a, own if with_ids else zlib.crc32(own)))
-                names = ["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_ids else pa.int64()]
-                columns = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            listed = lambda name, r: column[name][r].values.to_numpy()
+            for r in range(batch.num_rows):
+                width = column["width"][r].as_py()
+                ids = np.frombuffer(column["payload"][r].as_buffer(), f"<u{width}").astype("<u4")
+                ends = np.concatenate(([0], listed("row_ends", r)))
+                keys, prints = listed("keys", r), listed("prints", r)
+                slots = slots_of(keys, listed("moves", r).astype(np.int64), len(prints))
+                here = prints[slots] == prints_of(keys)  # the shard holds these keys
+                keys, slots = keys[here], slots[here]
+                n = listed("row_counts", r)[slots].astype(np.int64)
+                rows = np.repeat(listed("first_rows", r)[slots] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                begin, end = ends[rows], ends[rows + 1]
+                own = [ids[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                told = pa.array([x.tobytes() for x in own], pa.binary()) if with_ids else pa.array([zlib.crc32(x) for x in own], pa.int64())
+                found = np.repeat(keys, n)
+                columns = [pa.array(found, mask=found == NONE), pa.array(begin + column["start"][r].as_py()), pa.array(end - begin), told]
+                yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"])
 
     return read
 

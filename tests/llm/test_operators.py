@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -520,9 +521,19 @@ def test_token_ids(spark, docs, rows):
 
 
 def test_minimal_perfect_hash():
-    keys = random.Random(1).sample(range(-(10**12), 10**12), 5000)
-    moves, slots = token_ids.build_index(keys)
-    assert sorted(slots) == list(range(5000)) and [token_ids.slot_of(k, moves, 5000) for k in keys] == slots
+    for n in (1, 2, 3, 7, 60, 5000):
+        keys = np.array(random.Random(n).sample(range(-(10**12), 10**12), n))
+        moves, slots = token_ids.build_index(keys)
+        assert sorted(slots.tolist()) == list(range(n)) and token_ids.slots_of(keys, moves, n).tolist() == slots.tolist()
+
+
+def test_chunked_ids_equal_the_library():
+    alpha = "abÉéİßñ .,!'\n  sS\t&%#9$-ÀŻⅡǅtre中"
+    fuzz = ["".join(rng.choice(alpha) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", " ", "<|endoftext|> a", "x" * 5000, "a, b. " * 3000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(public_path(name))
+        ids = [v[a:b].tolist() for _, v, at in e.encode_batch(pa.array(fuzz), 2) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert ids == [e.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in fuzz]
 
 
 def test_chat(spark):
