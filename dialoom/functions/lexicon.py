@@ -25,6 +25,17 @@ DIRECT_ADDRESS = (
     r"你.*(?:为什么|怎么|如何)|(?:区别|优劣|流程|原理|转移方程).*是什么|(?:区)?别是什么|优劣是.?什么|转移方程.*为什么|那在.*是不是|是不是也有|"
     r"是什么呢|项目.*部署|那最后.*项目|那.*(?:decoder only|内存|显存)|出现.*(?:case|错误|偏离).*(?:需要|处理|解决)|需要.*(?:处理|解决).*还[，。！？?]*$"
 )
+FOLLOW_UP = r"^(那|那么|所以|具体|为什么|怎么|如果|刚才|进一步|还有|继续|这个|然后呢|复杂度)|你刚才|刚刚提到|展开(?:讲|说)|细说|什么意思"
+CLARIFICATION = r"什么意思|你是说|也就是说|换句话说|没听清|再说一遍|确认一下|我理解的是|能看到吗|能听到吗"
+NEW_TOPIC = r"下一个问题|换一个问题|再问一个|接下来|另外一个方向|最后一个问题|再聊(?:一下)?|下面问"
+ADMIN = r"能听到|听得到|摄像头|麦克风|共享屏幕|屏幕共享|网络问题|刷新(?:一下)?|编辑器加载|会议.*重启|看得到吗|能看到吗|能看见|看得见"
+INVITATION = r"你还有什么.*(?:想问|问题)|你有没有什么.*问题|你这边有什么.*问题|我这边.*没有什么.*(?:问题|你)|还有什么想了解"
+NO_MORE_QUESTIONS = r"(?:我)?(?:这)?边(?:没|没有)什么(?:问题)?"
+PROMPT_MARKER = r"那你|那如果|那这个|我想问|你刚才|刚才你|你们会|会不会|能详细|能否|能不能|请你|介绍一下|讲一讲|讲一下|说一下|复杂度呢|为什么|是怎么|是什么样|怎么样去"
+PRECISE_MARKER = r"那你|那如果|我想问|你刚才|刚才你|你们会|会不会|能详细|能否|能不能|请你|介绍一下|讲一讲|讲一下|说一下|复杂度呢"
+RESPONSE_START = r"^(好的|好|是的|对|嗯|你好|我叫|我(?:当时|负责|参与|做|会|先|的)|我们|首先|因为|可以用|我的)"
+EXAMPLE_CUE = r"比如(?:说)?|例如|举个例子"
+IMPERATIVE_START = r"^(请|介绍|说说|讲讲)"
 PROJECT = r"项目|实习|经历|负责|业务|公司|团队|工作里|工作中|做的.*(?:系统|平台|Agent|agent)"
 PROJECT_PROMPT = r"展开.*(?:经历|项目)|讲讲.*(?:项目|经历)|介绍.*(?:项目|经历)|你在.*(?:负责|做)|具体负责|挑战.*地方"
 PROJECT_ADDRESSED = r"你.*(?:项目|实习|经历|负责|做|迭代)|(?:项目|实习|经历).*你"
@@ -40,6 +51,8 @@ CANDIDATE_QUESTION_CUE = r"我想问(?:一下)?"
 CANDIDATE_QUESTION_TOPIC = r"岗位|团队|业务|工作内容|这个组|方向|场景"
 END = r"今天面试先到|面试.*(?:结束|到这里)|拜拜|谢谢你.*拜|那今天就这样"
 V1_QUESTION = r"(什么|为什么|怎么|如何|哪些|区别|原理|介绍一下|说一下|讲一下|能否|可不可以|有没有|是否|请你|你会)"
+V1_FOLLOW_UPS = ("那", "那么", "继续", "具体", "为什么", "如果", "刚才", "进一步", "还有", "追问")
+V1_NEW_TOPICS = ("下一个问题", "换一个问题", "再问一个", "接下来", "另外一个方向", "最后一个问题")
 REPEATED_CHARACTER = r"([^\s，。！？、,.!?])\1{4,}"
 MEANINGFUL = r"[A-Za-z0-9一-鿿]"
 

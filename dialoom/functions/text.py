@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.functions import lexicon as X
@@ -52,11 +52,10 @@ def v1_question_score(text: Column) -> Column:
     return matches(text, X.QUESTION_MARK).cast("int") + matches(text, X.V1_QUESTION).cast("int")
 
 
-def dominant_ratio(text: Column) -> Column:
-    """Share of the commonest meaningful character, case folded."""
-    chars = F.transform(F.regexp_extract_all(text, F.lit(X.MEANINGFUL), F.lit(0)), F.lower)
-    most = F.array_max(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c))))
-    return F.when(F.size(chars) > 0, most / F.size(chars))
+def dominant_count(chars: Column) -> Column:
+    """How often the commonest character occurs in ``chars``, which should be a column of its own."""
+    each = F.array_distinct(F.split(chars, ""))
+    return F.array_max(F.transform(each, lambda c: F.length(chars) - F.length(F.replace(chars, c, F.lit("")))))
 
 
 def normalize_text(text: Column, replacements: dict[str, str] | None = None) -> Column:
@@ -66,7 +65,7 @@ def normalize_text(text: Column, replacements: dict[str, str] | None = None) ->
         value = (replacements or X.REPLACEMENTS)[key].replace("\\", "\\\\").replace("$", "\\$")
         quoted = "\\Q" + key + "\\E"
         out = F.regexp_replace(out, f"(?i)(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])" if key.isascii() else quoted, value)
-    return stripped(F.regexp_replace(out, r"(?U)\s+([，。！？、,.!?])", "$1"))
+    return stripped(F.regexp_replace(out, r"(?U)\s+([，。！？；：、,.!?;:])", "$1"))
 
 
 def format_timestamp(seconds: Column) -> Column:
@@ -75,12 +74,12 @@ def format_timestamp(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d.%03d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60, ms % 1000)
 
 
-def topic(text: Column) -> Column:
+def topic(text: Column, topics: dict[str, list[str]] | None = None) -> Column:
     """(label, keywords): the label of most substring hits, first of the dictionary on ties."""
     low = F.lower(text)
     hits = [
         F.struct(F.lit(label).alias("label"), F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, F.lower(w))).alias("keywords"), F.lit(-k).alias("pos"))
-        for k, (label, words) in enumerate(X.TOPICS.items())
+        for k, (label, words) in enumerate((topics or X.TOPICS).items())
     ]
     found = F.filter(F.array(*hits), lambda h: F.size(h["keywords"]) > 0)
     best = F.array_max(F.transform(found, lambda h: F.struct(F.size(h["keywords"]).alias("n"), h["pos"].alias("pos"), h["label"].alias("label"), h["keywords"].alias("keywords"))))
@@ -93,14 +92,18 @@ def keyword_similarity(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.size(F.array_intersect(left, right)) / union)
 
 
-def redaction_counts(text: Column) -> dict[str, Column]:
-    """Matches of each kind of personal data, later kinds counted in what earlier ones left."""
-    out, left = {}, text
-    for name, pattern in X.PERSONAL:
-        p = "(?U)" + pattern
-        out[name] = F.regexp_count(left, F.lit(p)).cast("long")
-        left = F.regexp_replace(left, p, f"[REDACTED_{name.upper()}]")
-    return out
+def with_redactions(df: DataFrame, name: str, terms: list[str] | None = None) -> DataFrame:
+    """Adds n_<kind> for each kind of personal data (and n_custom), and redacts ``name`` in place.
+
+    A kind is counted in what earlier kinds left; custom terms come last, longest first.  Each
+    step is a projection of its own, so no expression is evaluated again for a later kind."""
+    custom = sorted({t.strip() for t in terms or [] if t and t.strip()}, key=lambda t: (-len(t), t))
+    kinds = [(k, "(?U)" + p) for k, p in X.PERSONAL] + ([("custom", "|".join(re.escape(t) for t in custom))] if custom else [])
+    for kind, pattern in kinds:
+        parts = F.split(F.col(name), pattern, -1)
+        df = df.withColumn("_parts", parts).withColumn(f"n_{kind}", (F.size("_parts") - 1).cast("long"))
+        df = df.withColumn(name, F.array_join("_parts", f"[REDACTED_{kind.upper()}]")).drop("_parts")
+    return df
 
 
 def redacted(text: Column, terms: list[str] | None = None) -> Column:
@@ -111,8 +114,36 @@ def redacted(text: Column, terms: list[str] | None = None) -> Column:
     return F.regexp_replace(text, "|".join(re.escape(t) for t in terms), "[REDACTED_CUSTOM]") if terms else text
 
 
-def markdown_escaped(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\\", "\\\\")):
+def distinct_strings(values: Column) -> Column:
+    """First occurrences, in order, of strings that are not empty."""
+    return F.array_distinct(F.filter(values, lambda v: v != ""))
+
+
+def html_escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def inline_code(text: Column) -> Column:
+    return F.translate(F.replace(html_escaped(text), F.lit("`"), F.lit("&#96;")), "\r\n", "  ")
+
+
+def safe_stem(name: Column) -> Column:
+    """Letters, digits and . _ - of a name, other runs as one dash, 64 characters at most."""
+    bare = F.regexp_replace(name, r"[^A-Za-z0-9._一-鿿-]+", "-")
+    stem = F.substring(F.regexp_replace(bare, r"^[-._]+|[-._]+$", ""), 1, 64)
+    return F.when(stem == "", "interview").otherwise(stem)
+
+
+def session_id(path: Column) -> Column:
+    """Safe stem of a path's last part and eight digits of the path's digest."""
+    name = F.element_at(F.split(path, "/"), -1)
+    stem = F.when(F.regexp_like(name, F.lit(r".\.[^.]*$")), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    return F.concat(safe_stem(stem), F.lit("-"), F.substring(F.sha2(path, 256), 1, 8))
+
+
+def markdown_escaped(text: Column) -> Column:
+    text = F.replace(html_escaped(text), F.lit("\\"), F.lit("\\\\"))
     text = F.regexp_replace(text, r"([`*_\[\]])", r"\\$1")
     return F.regexp_replace(text, r"\r\n|\r|\n", "<br>")

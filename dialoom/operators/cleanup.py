@@ -11,6 +11,20 @@ from dialoom.functions import lexicon as X
 from dialoom.functions import text as T
 
 
+def has(pattern: str):
+    return lambda text: T.matches(text, pattern)
+
+
+#: flag: what it tests in a segment's text
+FLAGS = {
+    "marked": has(X.QUESTION_MARK), "word": has(X.QUESTION_WORD), "control": has(X.INTERVIEWER_CONTROL), "evidence": has(X.CANDIDATE_EVIDENCE), "direct": has(X.DIRECT_ADDRESS),
+    "affirmative": has(X.AFFIRMATIVE_START), "response": has(X.RESPONSE_START), "marker": has(X.PROMPT_MARKER), "precise": has(X.PRECISE_MARKER), "example": has(X.EXAMPLE_CUE),
+    "ack": T.is_acknowledgement, "admin": has(X.ADMIN), "invitation": has(X.INVITATION), "no_more": lambda text: T.matches(T.compact(text), X.NO_MORE_QUESTIONS),
+    "project_prompt": has(X.PROJECT_PROMPT), "coding_strong": has(X.CODING_STRONG), "coding_talk": has(X.CODING_DISCUSSION), "asks_first": has(X.CANDIDATE_QUESTION_START),
+    "closing": has(X.END), "behavioral": has(X.BEHAVIORAL), "tech": has(X.TECH), "v1_score": T.v1_question_score,
+}
+
+
 @dataclass(frozen=True)
 class CleanupConfig:
     long_seconds: float = 12.0
@@ -19,10 +33,15 @@ class CleanupConfig:
 
 
 def annotate(segments: DataFrame, config: CleanupConfig = CleanupConfig()) -> DataFrame:
-    """Adds m (meaningful characters), strength, seconds, density, reasons, valid.  A map: no exchange."""
+    """Adds m (meaningful characters), strength, seconds, density, reasons, valid and the flags.
+    A map: no exchange.  Put it below the numbering of segments, so that no later filter or
+    window makes Catalyst repeat its expressions; flags that nobody reads are pruned."""
     out = segments.withColumn("bare", T.stripped(F.col("text")))
-    out = out.withColumns({"m": T.meaningful_count(F.col("bare")), "strength": T.question_strength(F.col("bare")), "seconds": F.greatest(F.lit(0.0), F.col("end") - F.col("start"))})
-    out = out.withColumns({"density": F.col("m") / F.greatest(F.col("seconds"), F.lit(0.001)), "noise": F.when(F.col("m") >= 8, T.matches(F.col("bare"), X.REPEATED_CHARACTER) | (T.dominant_ratio(F.col("bare")) >= 0.68))})
+    chars = F.lower(F.regexp_replace("bare", f"[^{X.MEANINGFUL[1:]}", ""))
+    out = out.withColumns({"chars": chars, "strength": T.question_strength(F.col("bare")), "seconds": F.greatest(F.lit(0.0), F.col("end") - F.col("start"))})
+    out = out.withColumns({"m": F.length("chars"), **{name: flag(F.col("bare")) for name, flag in FLAGS.items()}})
+    dominant = F.when(F.col("m") >= 8, T.dominant_count(F.col("chars")) / F.col("m"))
+    out = out.withColumns({"density": F.col("m") / F.greatest(F.col("seconds"), F.lit(0.001)), "noise": F.when(F.col("m") >= 8, (dominant >= 0.68) | T.matches(F.col("bare"), X.REPEATED_CHARACTER))})
     short_question = (F.col("seconds") <= 8.0) & (F.col("strength") >= 2.0)
     sparse = (F.col("seconds") >= config.extreme_seconds) & (F.col("density") < config.least_density)
     little = ~sparse & (F.col("seconds") >= config.long_seconds) & (F.col("m") <= 5)
@@ -35,4 +54,4 @@ def annotate(segments: DataFrame, config: CleanupConfig = CleanupConfig()) -> Da
             F.when(some & ~short_question & little, "long_duration_very_little_text"),
         )
     )
-    return out.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0).drop("bare", "noise")
+    return out.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0).drop("bare", "noise", "chars")

@@ -10,15 +10,17 @@ from dialoom.operators import phases
 
 
 def coding_events(phased: DataFrame, least_silence: float = 8.0) -> DataFrame:
-    """An event per invalid row of the coding phases and per silence between two of their rows."""
+    """An event per invalid row of the coding phases and per silence between two of their rows.
+    A row gives at most one of each: both are built in one pass and exploded."""
+    after = F.lead(F.struct("start", "phase", "id")).over(phases.in_order())
+    rows = phased.withColumns({"after": after, "coding": F.col("phase").startswith("CODING")})
     sparse = F.exists("reasons", lambda r: r.startswith("long_duration"))
-    invalid = phased.filter(F.col("phase").startswith("CODING") & ~F.col("valid")).select(
-        "conv_id", "idx", F.when(sparse, "coding_low_speech_density").otherwise("coding_noise").alias("event_type"), "phase", "start", "end", F.array("id").alias("segment_ids"), "reasons"
-    )
-    silent = phases.coding_silences(phased, least_silence).select(
-        "conv_id", "idx", F.lit("coding_silence").alias("event_type"), F.lit("CODING").alias("phase"), "start", "end", F.split("segment_ids", ",").alias("segment_ids"), F.array(F.lit("gap_between_coding_segments")).alias("reasons")
-    )
-    return invalid.unionByName(silent)
+    kind = F.when(sparse, "coding_low_speech_density").otherwise("coding_noise")
+    invalid = F.when(F.col("coding") & ~F.col("valid"), F.struct(kind.alias("event_type"), "phase", "start", "end", F.array("id").alias("segment_ids"), "reasons"))
+    quiet = F.col("coding") & F.col("after.phase").startswith("CODING") & (F.col("after.start") - F.col("end") >= least_silence)
+    why = F.array(F.lit("gap_between_coding_segments"))
+    silent = F.when(quiet, F.struct(F.lit("coding_silence").alias("event_type"), F.lit("CODING").alias("phase"), F.col("end").alias("start"), F.col("after.start").alias("end"), F.array("id", "after.id").alias("segment_ids"), why.alias("reasons")))
+    return rows.select("conv_id", "idx", F.explode(F.array_compact(F.array(invalid, silent))).alias("e")).select("conv_id", "idx", "e.*")
 
 
 def merged_events(events: DataFrame, gap: float = 3.0) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 from dialoom.functions import lexicon as X
 from dialoom.functions import text as T
 
+FAR = 1 << 30
+
 
 def by_conv():
     return W.partitionBy("conv_id")
@@ -18,61 +20,75 @@ def in_order():
     return by_conv().orderBy("idx")
 
 
-def first_where(condition: Column) -> Column:
-    return F.min(F.when(condition, F.col("idx"))).over(by_conv())
+def so_far(last: int = 0):
+    return in_order().rowsBetween(W.unboundedPreceding, last)
+
+
+def family(phase: Column) -> Column:
+    """Phases between which a question goes on."""
+    return F.when(phase.startswith("CODING"), "CODING").when(phase.isin("PROJECT", "TECH_QA"), "INTERVIEW_QA").otherwise(phase)
+
+
+def first_where(condition: Column, value: str = "idx") -> Column:
+    """``value`` of the conversation's first row that meets the condition."""
+    return F.min(F.when(condition, F.struct("idx", F.col(value).alias("v")))).over(by_conv())["v"]
 
 
-def window_start(rows: Column, seconds: float) -> Column:
-    """First idx of the unbroken run back from this row whose starts lie within ``seconds`` of its end."""
-    far = F.filter(rows, lambda r: (r["idx"] < F.col("idx")) & (F.col("end") - r["start"] > seconds))
-    return F.coalesce(F.array_max(F.transform(far, lambda r: r["idx"])) + 1, F.lit(1))
+def with_position(rows: DataFrame) -> DataFrame:
+    """Adds pos, 1 and up without holes in order of idx."""
+    return rows.withColumn("pos", F.row_number().over(in_order()))
 
 
-def backtracked(anchor: Column, rows: Column, seconds: float) -> Column:
-    at = F.element_at(F.filter(rows, lambda r: r["idx"] == anchor), 1)["start"]
-    early = F.filter(rows, lambda r: (r["idx"] < anchor) & (r["start"] < at - seconds))
-    return F.when(anchor.isNotNull(), F.coalesce(F.array_max(F.transform(early, lambda r: r["idx"])) + 1, F.lit(1)))
+def look_back(seconds: float) -> tuple[Column, Column]:
+    """(first pos, joined text) of the unbroken run back from a row whose starts lie within
+    ``seconds`` of its end.  Reads ``near``."""
+    far = F.filter("near", lambda r: F.col("end") - r["start"] > seconds)
+    begin = F.coalesce(F.array_max(F.transform(far, lambda r: r["pos"])) + 1, F.get("near", F.lit(0))["pos"])
+    begin = F.least(begin, F.col("pos"))
+    return begin, F.concat(F.array_join(F.transform(F.filter("near", lambda r: r["pos"] >= begin), lambda r: r["text"]), ""), F.col("text"))
 
 
 def with_phases(cleaned: DataFrame) -> DataFrame:
-    """Adds ``phase`` to cleaned segments (conv_id, idx from 1 without holes, start, end, text, valid, strength)."""
-    t = F.col("text")
-    duration = F.max("end").over(by_conv())
-    # Only rows that can decide anything pay for their look back; it spans at most 45 s.
-    near = W.partitionBy("conv_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    rows = cleaned.withColumns({"duration": duration, "before": F.collect_list(F.struct("idx", "start", "text")).over(near)})
-    late, half = F.col("valid") & (F.col("start") >= 120.0), F.col("valid") & (F.col("start") >= F.col("duration") * 0.5)
-    rows = rows.withColumns({"from45": F.when(late, window_start(F.col("before"), 45.0)), "from20": F.when(half, window_start(F.col("before"), 20.0))})
-    joined = lambda c: F.array_join(F.transform(F.filter("before", lambda r: r["idx"] >= F.col(c)), lambda r: r["text"]), "")
-    rows = rows.withColumns({"text45": joined("from45"), "text20": joined("from20")}).drop("before")
+    """Adds ``pos`` and ``phase`` to cleaned segments (idx may have holes, starts may go back)."""
+    valid, pos = F.col("valid"), F.col("pos")
+    rows = with_position(cleaned).withColumn("duration", F.max("end").over(by_conv()))
+    # The least start from a row on never falls along the conversation, and an unbroken run back
+    # within 45 s stays within 45 s of it: a range frame holds the run, and few rows more.
+    rows = rows.withColumn("onward", F.min(F.rint(F.col("start") * 1000).cast("long")).over(in_order().rowsBetween(0, W.unboundedFollowing)))
+    frame = by_conv().orderBy("onward").rangeBetween(-45_002, 0)
+    rows = rows.withColumn("near", F.collect_list(F.struct("pos", "start", "text")).over(frame))
+    rows = rows.withColumn("near", F.array_sort(F.filter("near", lambda r: r["pos"] < pos)))
+    late, half = valid & (F.col("start") >= 120.0), valid & (F.col("start") >= F.col("duration") * 0.5)
+    for name, seconds, asked in (("45", 45.0, late), ("20", 20.0, half)):
+        begin, text = look_back(seconds)
+        rows = rows.withColumns({f"from{name}": F.when(asked, begin), f"text{name}": F.when(asked, text)})
+    rows = rows.drop("near", "onward")
     contextual = T.matches(F.col("text45"), X.PROJECT) & T.matches(F.col("text45"), X.PROJECT_ADDRESSED) & (T.question_strength(F.col("text45")) >= 2.0)
     asking = T.matches(F.col("text20"), X.CANDIDATE_QUESTION_CUE) & T.matches(F.col("text20"), X.CANDIDATE_QUESTION_TOPIC)
-    first_with = lambda c, v: F.min(F.when(c, F.struct("idx", v))).over(by_conv())[v]
-    valid = F.col("valid")
+    rows = rows.withColumns({"from45": F.when(contextual, F.col("from45")), "from20": F.when(asking, F.col("from20"))}).drop("text45", "text20")
     rows = rows.withColumns(
         {
-            "p0": F.least(first_where(valid & (F.col("start") >= 45.0) & T.matches(t, X.PROJECT_PROMPT)), first_with(contextual, "from45")),
-            "c0": first_where(valid & (F.col("start") >= 120.0) & T.matches(t, X.CODING_STRONG)),
-            "q0": F.coalesce(first_where(half & T.matches(t, X.CANDIDATE_QUESTION_START)), first_with(asking, "from20")),
-            "e0": first_where(valid & (F.col("start") >= F.col("duration") * 0.65) & T.matches(t, X.END)),
+            "p0": F.least(first_where(valid & (F.col("start") >= 45.0) & F.col("project_prompt"), "pos"), first_where(F.col("from45").isNotNull(), "from45")),
+            "c0": first_where(valid & (F.col("start") >= 120.0) & F.col("coding_strong"), "pos"),
+            "q0": F.coalesce(first_where(half & F.col("asks_first"), "pos"), first_where(F.col("from20").isNotNull(), "from20")),
+            "e0": first_where(valid & (F.col("start") >= F.col("duration") * 0.65) & F.col("closing"), "pos"),
         }
-    ).drop("from45", "from20", "text45", "text20")
-    # Backtracking needs starts only: the last row too early before an anchor ends the walk.
+    ).drop("from45", "from20")
+    # A phase begins up to ten seconds before its cue: behind the last row too early for that.
     for name in ("p0", "c0"):
-        at = F.max(F.when(F.col("idx") == F.col(name), F.col("start"))).over(by_conv())
-        rows = rows.withColumn("at", at)
-        stop = F.max(F.when((F.col("idx") < F.col(name)) & (F.col("start") < F.col("at") - 10.0), F.col("idx"))).over(by_conv())
-        rows = rows.withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce(stop + 1, F.lit(1))))
-    idx, far = F.col("idx"), F.lit(1 << 30)
-    behavioural, prompt = T.matches(t, X.BEHAVIORAL), T.matches(t, X.PROJECT_PROMPT)
-    sticky = idx < F.least(F.coalesce("c0", far), F.coalesce("q0", far), F.coalesce("e0", far))
-    leave = F.least(F.coalesce("p0", far), F.coalesce(first_where(sticky & (behavioural | prompt)), far))
+        rows = rows.withColumn("at", F.max(F.when(pos == F.col(name), F.col("start"))).over(by_conv()))
+        early = F.max(F.when((pos < F.col(name)) & (F.col("start") < F.col("at") - 10.0), pos)).over(by_conv())
+        rows = rows.withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce(early + 1, F.lit(1))))
+    sticky = pos < F.least(*[F.coalesce(c, F.lit(FAR)) for c in ("c0", "q0", "e0")])
+    rows = rows.withColumn("sticky", sticky)
+    leave = F.least(F.coalesce("p0", F.lit(FAR)), F.coalesce(first_where(F.col("sticky") & (F.col("behavioral") | F.col("project_prompt")), "pos"), F.lit(FAR)))
     rows = rows.withColumn("leave", leave)
-    event = F.when(sticky & behavioural, "BEHAVIORAL").when(sticky & prompt, "PROJECT").when(sticky & T.matches(t, X.TECH) & (F.col("strength") >= 2.5) & (idx >= F.col("leave")), "TECH_QA").when(sticky & (idx == F.col("leave")), "PROJECT")
-    active = F.coalesce(F.last(event, ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, 0)), F.lit("INTRO"))
-    coding = F.when(T.matches(t, X.CODING_DISCUSSION) & (F.col("strength") >= 2.0), "CODING_DISCUSSION").otherwise("CODING")
-    phase = F.when(idx >= F.col("e0"), "END").when(idx >= F.col("q0"), "CANDIDATE_QUESTIONS").when(idx >= F.col("c0"), coding).otherwise(active)
-    return rows.withColumn("phase", phase).drop("p0", "c0", "q0", "e0", "at", "leave", "duration")
+    tech = F.col("tech") & (F.col("strength") >= 2.5) & (pos >= F.col("leave"))
+    event = F.when(F.col("behavioral"), "BEHAVIORAL").when(F.col("project_prompt"), "PROJECT").when(tech, "TECH_QA").when(pos == F.col("leave"), "PROJECT")
+    active = F.coalesce(F.last(F.when(F.col("sticky"), event), ignorenulls=True).over(so_far()), F.lit("INTRO"))
+    coding = F.when(F.col("coding_talk") & (F.col("strength") >= 2.0), "CODING_DISCUSSION").otherwise("CODING")
+    phase = F.when(pos >= F.col("e0"), "END").when(pos >= F.col("q0"), "CANDIDATE_QUESTIONS").when(pos >= F.col("c0"), coding).otherwise(active)
+    return rows.withColumn("phase", phase).drop("p0", "c0", "q0", "e0", "at", "leave", "sticky", "duration")
 
 
 def islands(df: DataFrame, start_new: Column, name: str) -> DataFrame:
@@ -81,15 +97,14 @@ def islands(df: DataFrame, start_new: Column, name: str) -> DataFrame:
 
 
 def phase_spans(phased: DataFrame) -> DataFrame:
+    """conv_id, span_no, phase, start, end (of the last row), segment_ids of runs of one phase."""
     runs = islands(phased, F.col("phase") != F.lag("phase").over(in_order()), "span_no")
-    return runs.groupBy("conv_id", "span_no").agg(
-        F.first("phase").alias("phase"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "id"))), lambda x: x["id"]), ",").alias("segment_ids")
-    )
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id"))), lambda x: x["id"])
+    return runs.groupBy("conv_id", "span_no").agg(F.first("phase").alias("phase"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"), ids.alias("segment_ids"))
 
 
 def coding_silences(phased: DataFrame, least: float = 8.0) -> DataFrame:
     """Gaps of ``least`` seconds or more between adjacent rows of the coding phases."""
-    nxt = phased.withColumns({"next_start": F.lead("start").over(in_order()), "next_phase": F.lead("phase").over(in_order()), "next_id": F.lead("id").over(in_order())})
-    coding = F.col("phase").startswith("CODING") & F.col("next_phase").startswith("CODING")
-    gap = F.col("next_start") - F.col("end")
-    return nxt.filter(coding & (gap >= least)).select("conv_id", "idx", "phase", F.col("end").alias("start"), F.col("next_start").alias("end"), F.concat_ws(",", "id", "next_id").alias("segment_ids"))
+    after = F.lead(F.struct("start", "phase", "id")).over(in_order())
+    pairs = phased.withColumn("after", after).filter(F.col("phase").startswith("CODING") & F.col("after.phase").startswith("CODING") & (F.col("after.start") - F.col("end") >= least))
+    return pairs.select("conv_id", "idx", "phase", F.col("end").alias("start"), F.col("after.start").alias("end"), F.array("id", "after.id").alias("segment_ids"))

@@ -1,23 +1,26 @@
-"""Speaker roles: first-version election, priors, and the role fold of a conversation."""
+"""Speaker roles: first-version election, priors, the role of each segment, and summaries.
+
+All of it works within conversations, on the one exchange that numbered them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from dialoom.functions import lexicon as X
-from dialoom.functions import text as T
-from dialoom.operators import role_fold
+from dialoom.operators.phases import by_conv, in_order
+
+ROLES = ("interviewer", "candidate")
 
 
-def by_conv():
-    return W.partitionBy("conv_id")
+def by_speaker():
+    return W.partitionBy("conv_id", "speaker")
 
 
-def v1_roles(segments: DataFrame, least_score: int = 1) -> DataFrame:
+def v1_roles(cleaned: DataFrame, least_score: int = 1) -> DataFrame:
     """conv_id, speaker, score, role: the speaker who asks most interviews; the first by name if none asks enough."""
-    scores = segments.filter("speaker <> 'speaker_unknown'").groupBy("conv_id", "speaker").agg(F.sum(T.v1_question_score(F.col("text"))).cast("long").alias("score"))
+    scores = cleaned.filter("speaker <> 'speaker_unknown'").groupBy("conv_id", "speaker").agg(F.sum("v1_score").cast("long").alias("score"))
     best = F.row_number().over(by_conv().orderBy(F.col("score").desc(), "speaker"))
     first = F.row_number().over(by_conv().orderBy("speaker"))
     scores = scores.withColumns({"best": best, "first": first, "top": F.max("score").over(by_conv()), "n": F.count("*").over(by_conv())})
@@ -25,57 +28,136 @@ def v1_roles(segments: DataFrame, least_score: int = 1) -> DataFrame:
     return scores.select("conv_id", "speaker", "score", F.when(F.when(asked, F.col("best")).otherwise(F.col("first")) == 1, "interviewer").otherwise("candidate").alias("role"))
 
 
+def with_v1_roles(cleaned: DataFrame, least_score: int = 1) -> DataFrame:
+    """Adds v1_role to each segment, by the same election over windows of the conversation."""
+    known = F.col("speaker") != "speaker_unknown"
+    rows = cleaned.withColumn("_score", F.sum("v1_score").over(by_speaker()))
+    best = F.min(F.when(known, F.struct((-F.col("_score")).alias("less"), F.col("speaker")))).over(by_conv())
+    rows = rows.withColumns({"_best": best, "_first": F.min(F.when(known, F.col("speaker"))).over(by_conv())})
+    elected = F.when(-F.col("_best.less") >= least_score, F.col("_best.speaker")).otherwise(F.col("_first"))
+    role = F.when(~known, "unknown").when(F.col("speaker") == elected, "interviewer").otherwise("candidate")
+    return rows.withColumn("v1_role", role).drop("_score", "_best", "_first")
+
+
+def rounded(c: Column, places: int) -> Column:
+    return F.floor(c * 10**places + 0.5) / float(10**places)
+
+
+def with_priors(cleaned: DataFrame) -> DataFrame:
+    """Adds p_interviewer and p_candidate of the row's speaker, from the speaker's valid rows
+    (null without any), rounded half up to four places; sums are of whole numbers."""
+    s, one = F.col("strength"), lambda c: F.when(c, 1).otherwise(0)
+    sums = {
+        "_asked": F.when(s >= 2.5, F.round(F.least(s, F.lit(5.0)) * 10).cast("long")).otherwise(0), "_controls": one(F.col("control")), "_chars": F.col("m"),
+        "_evidence": one(F.col("evidence")), "_long": one(F.col("m") >= 60),
+    }
+    rows = cleaned.withColumns({k: F.sum(F.when(F.col("valid"), v)).over(by_speaker()) for k, v in sums.items()})
+    rows = rows.withColumn("_head", F.col("valid") & (F.row_number().over(by_speaker().orderBy(F.col("valid").desc(), "idx")) == 1))
+    rows = rows.withColumns({"_i": 1.0 + F.col("_asked") * 0.15 + 3.0 * F.col("_controls"), "_c": 1.0 + F.col("_chars") / 45.0 + 3.0 * F.col("_evidence") + 2.0 * F.col("_long")})
+    # One row a speaker counts in the conversation's totals.
+    rows = rows.withColumns({k: F.col(k) / F.sum(F.when(F.col("_head"), F.col(k))).over(by_conv()) for k in ("_i", "_c")})
+    rows = rows.withColumns({"_si": F.col("_i") + F.greatest(F.lit(0.0), 0.5 - F.col("_c")), "_sc": F.col("_c") + F.greatest(F.lit(0.0), 0.5 - F.col("_i"))})
+    total = F.col("_si") + F.col("_sc")
+    return rows.withColumns({"p_interviewer": rounded(F.col("_si") / total, 4), "p_candidate": rounded(F.col("_sc") / total, 4)}).drop(*sums, "_i", "_c", "_si", "_sc")
+
+
 def speaker_priors(cleaned: DataFrame) -> DataFrame:
-    """conv_id, speaker, interviewer, candidate: unrounded shares from valid rows; sums are of whole numbers."""
-    t, s = F.col("text"), F.col("strength")
-    tenths = F.when(s >= 2.5, F.round(F.least(s, F.lit(5.0)) * 10).cast("long")).otherwise(0)
-    sums = cleaned.filter("valid").groupBy("conv_id", "speaker").agg(
-        F.sum(tenths).alias("asked"), F.sum(T.matches(t, X.INTERVIEWER_CONTROL).cast("long")).alias("controls"), F.sum("m").alias("chars"),
-        F.sum(T.matches(t, X.CANDIDATE_EVIDENCE).cast("long")).alias("evidence"), F.sum((F.col("m") >= 60).cast("long")).alias("long"),
-    )
-    sums = sums.withColumns({"i": 1.0 + F.col("asked") * 0.15 + 3.0 * F.col("controls"), "c": 1.0 + F.col("chars") / 45.0 + 3.0 * F.col("evidence") + 2.0 * F.col("long")})
-    sums = sums.withColumns({"i": F.col("i") / F.sum("i").over(by_conv()), "c": F.col("c") / F.sum("c").over(by_conv())})
-    sums = sums.withColumns({"si": F.col("i") + F.greatest(F.lit(0.0), 0.5 - F.col("c")), "sc": F.col("c") + F.greatest(F.lit(0.0), 0.5 - F.col("i"))})
-    total = F.col("si") + F.col("sc")
-    four = lambda c: F.floor(c * 10000 + 0.5) / 10000
-    return sums.select("conv_id", "speaker", four(F.col("si") / total).alias("interviewer"), four(F.col("sc") / total).alias("candidate"))
+    """conv_id, speaker, interviewer, candidate of speakers with valid rows."""
+    return with_priors(cleaned).filter("_head").select("conv_id", "speaker", F.col("p_interviewer").alias("interviewer"), F.col("p_candidate").alias("candidate"))
 
 
-def lexical_scores(cleaned: DataFrame) -> DataFrame:
-    """Adds lex_interviewer and lex_candidate."""
-    t, s = F.col("text"), F.col("strength")
+def with_evidence(phased: DataFrame) -> DataFrame:
+    """Adds what a segment alone says: ``base``, twice its speaker's prior and its cues for either
+    role; ``asks``; and what each state that the conversation can be in would add to either role."""
+    s = F.col("strength")
     one = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
-    asking = F.when(s >= 2.5, s).otherwise(0.0) + one(T.matches(t, X.INTERVIEWER_CONTROL) & (s >= 2.5), 1.5)
-    telling = one(T.matches(t, X.CANDIDATE_EVIDENCE), 3.0) + one(F.col("m") >= 30, 1.0) + one(F.col("m") >= 80, 1.0) + one(T.matches(t, X.AFFIRMATIVE_START), 1.0)
-    return cleaned.withColumns({"lex_interviewer": asking, "lex_candidate": telling})
+    rows = with_priors(phased).drop("_head").withColumns({c: F.coalesce(c, F.lit(0.5)) for c in ("p_interviewer", "p_candidate")})
+    asks, own = s >= 2.5, F.col("phase") == "CANDIDATE_QUESTIONS"
+    rows = rows.withColumns(
+        {
+            "base_i": one(asks, 0.0) + F.when(asks, s + one(F.col("control"), 1.5)).otherwise(0.0) + 2.0 * F.col("p_interviewer"),
+            "base_c": one(F.col("evidence"), 3.0) + one(F.col("m") >= 30, 1.0) + one(F.col("m") >= 80, 1.0) + one(F.col("affirmative"), 1.0) + 2.0 * F.col("p_candidate"),
+            "asks": asks, "own": own,
+            # A question without mark or address, where an answer is expected, may be part of the answer.
+            "echo": one(asks & ~F.col("marked") & ~F.col("direct"), 2.0),
+            "answers": F.col("evidence") | (F.col("m") >= 35),
+            "prior_gap": F.abs(F.col("p_interviewer") - F.col("p_candidate")),
+        }
+    )
+    before = F.lag(F.struct("speaker", "end")).over(W.partitionBy("conv_id", "valid").orderBy("idx"))
+    return rows.withColumn("goes_on", F.coalesce((F.col("speaker") == before["speaker"]) & (F.col("start") - before["end"] <= 1.0), F.lit(False)))
 
 
 def with_roles(phased: DataFrame) -> DataFrame:
-    """Adds role and role_confidence.  Only narrow numbers and flags of a conversation reach Python."""
-    t = F.col("text")
-    priors = speaker_priors(phased).select("conv_id", "speaker", F.col("interviewer").alias("p_interviewer"), F.col("candidate").alias("p_candidate"))
-    rows = lexical_scores(phased).withColumns({"marked": T.matches(t, X.QUESTION_MARK), "direct": T.matches(t, X.DIRECT_ADDRESS), "evidence": T.matches(t, X.CANDIDATE_EVIDENCE)})
-    rows = rows.join(priors, ["conv_id", "speaker"], "left").withColumns({c: F.coalesce(c, F.lit(0.5)) for c in ("p_interviewer", "p_candidate")})
-    narrow = rows.select("conv_id", "idx", "speaker", "start", "end", "phase", "valid", "m", "strength", "lex_interviewer", "lex_candidate", "marked", "direct", "evidence", "p_interviewer", "p_candidate")
-    roles = narrow.groupBy("conv_id").applyInPandas(role_fold.ordered, "conv_id bigint, idx int, role string, role_confidence double")
-    return phased.join(roles, ["conv_id", "idx"])
+    """Adds role and role_confidence.
+
+    A segment's role depends on three things decided before it: who is expected to answer, who
+    asked last, and the role before.  Everything else is a column; only that state is folded, over
+    a conversation's array of small structs.  Rows come back by position, without a join."""
+    rows = with_evidence(phased)
+    kept = [c for c in phased.columns if c != "conv_id"]
+    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.struct("speaker", "valid", "base_i", "base_c", "asks", "own", "echo", "answers", "prior_gap", "goes_on").alias("e"), F.struct(*kept).alias("r")))).alias("rows"))
+    begin = F.struct(
+        F.lit("").alias("expected"), F.lit("").alias("asker"), F.lit("").alias("last"), F.array().cast("array<struct<role:string,sure:double>>").alias("out")
+    )
+
+    def step(state: Column, row: Column) -> Column:
+        e = row["e"]
+        waiting = state["expected"]
+        # What the state adds to (interviewer, candidate).
+        owed = (waiting != "") & ~e["asks"] & ((e["speaker"] != state["asker"]) | e["answers"]) & ~(e["own"] & e["asks"])
+        gain = lambda role: F.when(owed & (waiting == role), 1.25).otherwise(0.0) + F.when(e["goes_on"] & (state["last"] == role), 0.4).otherwise(0.0)
+        own_question = e["own"] & e["asks"]
+        i = e["base_i"] - F.when(own_question, 1.0).otherwise(0.0) + gain("interviewer")
+        c = e["base_c"] + F.when(waiting == "candidate", e["echo"]).otherwise(0.0) + F.when(own_question, 4.0).otherwise(0.0) + gain("candidate")
+        return decide(state, e, i, c)
+
+    def decide(state: Column, e: Column, i: Column, c: Column) -> Column:
+        scored = F.array(F.struct(i.alias("i"), c.alias("c")))  # bound once, read below
+
+        def from_scores(s: Column) -> Column:
+            apart = F.abs(s["i"] - s["c"])
+            unsure = (F.greatest(s["i"], s["c"]) < 0.75) | ((apart < 0.2) & (e["prior_gap"] < 0.08))
+            sure = F.least(F.lit(0.98), 0.54 + apart * 0.09 + e["prior_gap"] * 0.15)
+            role = F.when(unsure, "unknown").when(s["i"] > s["c"], "interviewer").otherwise("candidate")
+            return F.struct(role.alias("role"), F.when(unsure, 0.45).otherwise(rounded(sure, 2)).alias("sure"))
+
+        def onward(found: Column) -> Column:
+            role = found["role"]
+            asked = e["asks"] & ((role == "interviewer") | ((role == "candidate") & e["own"]))
+            expected = F.when(~asked, state["expected"]).when(role == "interviewer", "candidate").otherwise("interviewer")
+            return F.struct(expected.alias("expected"), F.when(asked, e["speaker"]).otherwise(state["asker"]).alias("asker"), role.alias("last"), F.array_append(state["out"], found).alias("out"))
+
+        unknown = F.struct(F.lit("unknown").alias("role"), F.lit(0.0).alias("sure"))
+        skipped = F.struct(state["expected"].alias("expected"), state["asker"].alias("asker"), state["last"].alias("last"), F.array_append(state["out"], unknown).alias("out"))
+        return F.when(e["valid"], F.transform(F.transform(scored, from_scores), onward)[0]).otherwise(skipped)
+
+    talks = talks.withColumn("found", F.aggregate("rows", begin, step)["out"])
+    pairs = F.transform("rows", lambda row, k: F.struct(row["r"].alias("r"), F.get(F.col("found"), k).alias("f")))
+    out = talks.select("conv_id", F.explode(pairs).alias("p"))
+    return out.select("conv_id", "p.r.*", F.col("p.f.role").alias("role"), F.col("p.f.sure").alias("role_confidence"))
 
 
 def v1_turns(segments: DataFrame, gap: float = 0.8) -> DataFrame:
     """Runs of one speaker whose gaps stay within ``gap`` of the run's latest end."""
-    in_order = by_conv().orderBy("idx")
-    rows = segments.withColumn("same", F.coalesce((F.col("speaker") != F.lag("speaker").over(in_order)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("same").over(in_order))
+    rows = segments.withColumn("same", F.coalesce((F.col("speaker") != F.lag("speaker").over(in_order())).cast("int"), F.lit(1)))
+    rows = rows.withColumn("run", F.sum("same").over(in_order()))
     before = F.max("end").over(W.partitionBy("conv_id", "run").orderBy("idx").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.coalesce((F.col("start") - before > gap).cast("int"), F.lit(1))).withColumn("turn_no", F.sum("new").over(in_order))
+    rows = rows.withColumn("new", F.coalesce((F.col("start") - before > gap).cast("int"), F.lit(1))).withColumn("turn_no", F.sum("new").over(in_order()))
     parts = F.sort_array(F.collect_list(F.struct("idx", "id", "text")))
-    out = rows.groupBy("conv_id", "turn_no").agg(F.first("speaker").alias("speaker"), F.min_by("start", "idx").alias("start"), F.max("end").alias("end"), parts.alias("p"))
-    return out.select("conv_id", "turn_no", "speaker", "start", "end", F.array_join(F.transform("p", lambda x: x["id"]), ",").alias("segment_ids"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    more = [F.first("v1_role").alias("role")] if "v1_role" in segments.columns else []
+    out = rows.groupBy("conv_id", "turn_no").agg(F.first("speaker").alias("speaker"), *more, F.min_by("start", "idx").alias("start"), F.max("end").alias("end"), parts.alias("p"))
+    named = ["role"] if more else []
+    return out.select("conv_id", "turn_no", "speaker", *named, "start", "end", F.transform("p", lambda x: x["id"]).alias("segment_ids"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
 
 def speaker_summary(roled: DataFrame) -> DataFrame:
-    """conv_id, speaker, n_segments, counts of roles over valid rows, dominant role (interviewer on ties)."""
+    """conv_id, speaker, dominant_role (the larger prior, interviewer on ties), role_confidence (that
+    prior to two places; 0 and unknown without valid rows), counts of roles over valid rows."""
     n = lambda role: F.sum((F.col("valid") & (F.col("role") == role)).cast("long"))
-    out = roled.groupBy("conv_id", "speaker").agg(F.count("*").alias("n_segments"), n("interviewer").alias("n_interviewer"), n("candidate").alias("n_candidate"), n("unknown").alias("n_unknown"))
-    none = F.col("n_interviewer") + F.col("n_candidate") + F.col("n_unknown") == 0
-    return out.withColumn("role", F.when(none, "unknown").when(F.col("n_interviewer") >= F.col("n_candidate"), "interviewer").otherwise("candidate"))
+    rows = with_priors(roled).drop("_head")
+    out = rows.groupBy("conv_id", "speaker").agg(
+        F.max("p_interviewer").alias("i"), F.max("p_candidate").alias("c"), n("interviewer").alias("n_interviewer"), n("candidate").alias("n_candidate"), n("unknown").alias("n_unknown")
+    )
+    role = F.when(F.col("i").isNull(), "unknown").when(F.col("i") >= F.col("c"), "interviewer").otherwise("candidate")
+    return out.select("conv_id", "speaker", role.alias("dominant_role"), F.coalesce(rounded(F.greatest("i", "c"), 2), F.lit(0.0)).alias("role_confidence"), "n_interviewer", "n_candidate", "n_unknown")

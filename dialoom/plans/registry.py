@@ -1,14 +1,21 @@
-"""Registered queries of the conversation engine and their SQL."""
+"""Registered queries of the conversation engine."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.functions import lexicon as X
 from dialoom.functions import text as T
-from dialoom.operators import cleanup, events, phases, roles
+from dialoom.operators import analysis, cleanup, events, phases, prompts, questions, reports, roles, summary, turns
+from dialoom.plans.oracles import ORACLES
+from dialoom.sources import documents as D
 from dialoom.sources import segments as S
+from dialoom.sources.stored import stored
+
+
+def joined(df: DataFrame, *names: str, by: str = ",") -> DataFrame:
+    """Arrays of strings as one string, for results that are compared."""
+    return df.withColumns({n: F.array_join(n, by) for n in names})
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,27 +23,82 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanup.annotate(S.from_events(spark, sf_dir))
+    """Cleaned below the numbering: each expression once, before the one exchange."""
+    return S.numbered(cleanup.annotate(S.event_rows(spark, sf_dir)))
 
 
 def phased_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phases.with_phases(cleaned_segments(spark, sf_dir))
 
 
+def roled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.with_roles(roles.with_v1_roles(phased_segments(spark, sf_dir)))
+
+
+def prompts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.prompts_with_answers(roled_segments(spark, sf_dir))
+
+
+def tree_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.question_tree(prompts_of(spark, sf_dir))
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.merged_events(events.coding_events(phased_segments(spark, sf_dir)))
+
+
+class Talks:
+    """What queries over whole conversations read: roled segments and question trees, each written
+    once, and tables that follow from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.roled = stored(roled_segments(spark, sf_dir), "talk-segments")
+        self.tree = stored(questions.question_tree(prompts.prompts_with_answers(self.roled)), "talk-questions")
+        self.events = events.merged_events(events.coding_events(self.roled))
+        self.spans = phases.phase_spans(self.roled)
+        self.v1 = questions.v1_questions(self.roled)
+        self.evidence = questions.evidence(self.tree)
+
+    def statistics(self) -> DataFrame:
+        return summary.statistics(self.roled, self.tree, self.events, self.v1)
+
+    def payloads(self) -> DataFrame:
+        return analysis.payloads(analysis.payload_questions(self.tree), self.statistics())
+
+    def analyses(self) -> DataFrame:
+        return analysis.analyses(self.tree, self.statistics(), self.evidence)
+
+
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("conv_id", "idx", T.normalize_text(F.col("text")).alias("text"))
+    return S.numbered(S.event_rows(spark, sf_dir).withColumn("text", T.normalize_text(F.col("text")))).select("conv_id", "idx", "text")
 
 
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return segments(spark, sf_dir).select(
-        "conv_id", "idx", T.meaningful_count(t).alias("m"), T.v1_question_score(t).alias("v1_score"), T.is_acknowledgement(t).alias("ack"), T.question_strength(t).alias("strength"), T.format_timestamp(F.col("start")).alias("stamp")
-    )
+    rows = cleaned_segments(spark, sf_dir)
+    return rows.select("conv_id", "idx", "m", "v1_score", "ack", "strength", T.format_timestamp(F.col("start")).alias("stamp"))
 
 
 def cleanup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cleaned_segments(spark, sf_dir)
-    return out.select("conv_id", "idx", "m", "strength", F.array_join("reasons", "|").alias("reasons"), "valid")
+    return joined(cleaned_segments(spark, sf_dir).select("conv_id", "idx", "m", "strength", "reasons", "valid"), "reasons", by="|")
+
+
+def raw_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recogniser documents made of events, as S.from_raw reads them: blanks leave holes in idx."""
+    rows = S.event_rows(spark, sf_dir)
+    n = F.row_number().over(phases.by_conv().orderBy("ts", "event_id"))
+    spk = F.when(F.col("speaker") != "speaker_unknown", F.substring("speaker", 9, 9).cast("int"))
+    text = F.when(F.col("event_id") % 13 == 0, "  ").otherwise(F.col("text"))
+    item = F.struct(text.alias("text"), F.rint(F.col("start") * 1000).cast("long").alias("start"), F.rint(F.col("end") * 1000).cast("long").alias("end"), spk.alias("spk"), F.lit(None).cast("array<array<bigint>>").alias("timestamp"))
+    info = F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))), lambda p: p["x"])
+    docs = rows.withColumn("n", n).groupBy("conv_id").agg(info.alias("info"))
+    whole = F.struct(F.lit("").alias("text"), F.lit(None).cast("array<array<bigint>>").alias("timestamp"), F.col("info").alias("sentence_info"))
+    return S.from_raw(docs.select("conv_id", F.array(whole).alias("result")))
+
+
+def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a segment alone says of its speaker's role, priors included."""
+    rows = roles.with_evidence(phased_segments(spark, sf_dir))
+    return rows.select("conv_id", "idx", "p_interviewer", "p_candidate", "base_i", "base_c")
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,17 +113,39 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Talks(spark, sf_dir).statistics()
+    reasons = F.array_join(F.transform(F.map_entries("cleanup_reason_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.withColumn("cleanup_reason_counts", reasons)
+
+
 def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = segments(spark, sf_dir).select("conv_id", "idx", T.topic(F.col("text")).alias("t"))
+    out = S.numbered(S.event_rows(spark, sf_dir).withColumn("t", T.topic(F.col("text"))))
     return out.select("conv_id", "idx", F.col("t.label").alias("label"), F.array_join("t.keywords", "|").alias("keywords"))
 
 
+def keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a segment's topic words with the segment's before it."""
+    out = S.numbered(S.event_rows(spark, sf_dir).withColumn("k", F.transform(T.topic(F.col("text"))["keywords"], F.lower)))
+    before = F.lag("k").over(phases.in_order())
+    return out.withColumn("b", before).filter("b is not null").select("conv_id", "idx", T.keyword_similarity(F.col("k"), F.col("b")).alias("similarity"))
+
+
 def v1_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.v1_roles(segments(spark, sf_dir))
+    return roles.v1_roles(cleaned_segments(spark, sf_dir))
 
 
 def v1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.v1_turns(segments(spark, sf_dir))
+    return joined(roles.v1_turns(segments(spark, sf_dir)), "segment_ids")
+
+
+def v1_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = questions.v1_questions(cleaned_segments(spark, sf_dir))
+    flat = lambda c, name: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x[name], F.array_join(x["segment_ids"], ","), x["text"])), ";")
+    return out.select(
+        "conv_id", "id", F.array_join("main_question.segment_ids", ",").alias("question_ids"), F.col("main_question.text").alias("question"), flat("follow_ups", "id").alias("follow_ups"), flat("candidate_answers", "for_question").alias("answers"),
+        F.array_join("segment_ids", ",").alias("segment_ids"), F.col("topic.label").alias("label"), F.array_join("topic.keywords", "|").alias("keywords"), F.col("topic.relation_to_previous").alias("relation"),
+    )
 
 
 def speaker_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,16 +157,15 @@ def phase_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phases.phase_spans(phased_segments(spark, sf_dir))
+    return joined(phases.phase_spans(phased_segments(spark, sf_dir)), "segment_ids")
 
 
 def coding_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phases.coding_silences(phased_segments(spark, sf_dir))
+    return joined(phases.coding_silences(phased_segments(spark, sf_dir)), "segment_ids")
 
 
 def events_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = events.merged_events(events.coding_events(phased_segments(spark, sf_dir)))
-    return out.withColumns({"segment_ids": F.array_join("segment_ids", ","), "reasons": F.array_join("reasons", "|")})
+    return joined(joined(events_of(spark, sf_dir), "segment_ids"), "reasons", by="|")
 
 
 def role_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +176,115 @@ def speaker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.speaker_summary(roles.with_roles(phased_segments(spark, sf_dir)))
 
 
+def v2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(turns.v2_turns(roles.with_roles(phased_segments(spark, sf_dir))), "speaker_ids", "segment_ids")
+
+
+def prompt_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prompts.with_anchors(roles.with_roles(phased_segments(spark, sf_dir)))
+    return rows.filter("anchor").select("conv_id", "idx", "asked_by")
+
+
+def prompt_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(prompts_of(spark, sf_dir).drop("answer", "family"), "speaker_ids", "segment_ids")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prompts_of(spark, sf_dir).filter("answer is not null").select("conv_id", "prompt_no", "answer.*")
+    return joined(out, "speaker_ids", "segment_ids")
+
+
+def question_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tree_of(spark, sf_dir).withColumn("label", F.col("topic.label"))
+    return out.select("conv_id", "prompt_no", "node_id", "parent_id", "node_type", "relation_to_previous", "label", "text")
+
+
+def flat_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = questions.flat_questions(tree_of(spark, sf_dir))
+    flat = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[x[k] for k in f], F.array_join(x["segment_ids"], ","))), ";")
+    return out.select(
+        "conv_id", "id", "root_question_id", F.array_join("main_question.segment_ids", ",").alias("question_ids"), flat("follow_ups", "id", "type").alias("follow_ups"), flat("candidate_answers", "for_question").alias("answers"),
+        F.array_join("segment_ids", ",").alias("segment_ids"), F.col("topic.label").alias("label"), "relation_to_previous",
+    )
+
+
+def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(questions.evidence(tree_of(spark, sf_dir)), "evidence")
+
+
+def payload_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analysis.payload_questions(tree_of(spark, sf_dir))
+    return rows.select("conv_id", "prompt_no", F.to_json("question", {"ignoreNullFields": "false"}).alias("question"), "counts.*")
+
+
+def payload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds low enough that most conversations need several requests."""
+    return joined(analysis.payload_batches(Talks(spark, sf_dir).payloads(), 5, 2000).drop("payload"), "question_ids")
+
+
+def stage_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Talks(spark, sf_dir).payloads().select("conv_id", "json", "request_sha256")
+
+
+def none_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = Talks(spark, sf_dir).analyses().select("conv_id", "source.question_count", F.posexplode("questions").alias("at", "q"))
+    return each.select("conv_id", "question_count", (F.col("at") + 1).alias("place"), "q.question_id", "q.summary", F.array_join("q.evidence_segment_ids", ",").alias("evidence"))
+
+
+def provider_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of which two in five are spoilt by conversation: a question renamed, foreign evidence."""
+    talks = Talks(spark, sf_dir)
+    batches = stored(analysis.payload_batches(talks.payloads(), 5, 1 << 30), "talk-batches")
+    renamed = F.regexp_replace("result", '"question_id":"Q1"', '"question_id":"Q0"')
+    foreign = F.regexp_replace("result", '"seg_0001"', '"seg_9999"')
+    spoilt = F.when(F.col("conv_id") % 5 == 1, renamed).when(F.col("conv_id") % 5 == 2, foreign).otherwise(F.col("result"))
+    out = analysis.checked_results(analysis.none_results(batches).withColumn("result", spoilt), batches, talks.evidence)
+    return out.select("conv_id", "batch_no", F.array_join("errors", "; ").alias("errors"), F.size("questions").cast("long").alias("n_questions"))
+
+
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = Talks(spark, sf_dir)
+    return reports.analysis_report(talks.tree, talks.statistics(), talks.analyses())
+
+
+def v1_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = roles.with_v1_roles(cleaned_segments(spark, sf_dir))
+    return reports.v1_markdown(rows, questions.v1_questions(cleaned_segments(spark, sf_dir)))
+
+
+def v2_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = Talks(spark, sf_dir)
+    return reports.v2_markdown(talks.roled, talks.spans, talks.events, talks.tree, talks.statistics())
+
+
+def v1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = cleaned_segments(spark, sf_dir)
+    out = reports.v1_documents(roles.with_v1_roles(cleaned), questions.v1_questions(cleaned))
+    return out.select("conv_id", F.size("document.segments").cast("long").alias("n_segments"), F.size("document.qa_pairs").cast("long").alias("n_questions"), F.sha2(F.to_json("document"), 256).alias("document_sha256"))
+
+
+def v2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Talks(spark, sf_dir)
+    out = reports.v2_documents(t.roled, t.spans, t.events, turns.v2_turns(t.roled), t.tree, questions.flat_questions(t.tree), roles.speaker_summary(t.roled), t.statistics())
+    return out.select("conv_id", F.size("document.segments").cast("long").alias("n_segments"), F.size("document.turns").cast("long").alias("n_turns"), F.size("document.question_tree").cast("long").alias("n_nodes"), F.sha2(F.to_json("document"), 256).alias("document_sha256"))
+
+
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the segment, event and question tables that break the contract: none."""
+    t = Talks(spark, sf_dir)
+    tables = (t.roled.select("conv_id", "role", "phase", "start", "end"), t.events.select("conv_id", "event_type", "phase", "start", "end"), t.tree.select("conv_id", "node_type", "relation_to_previous", "phase", "start", "end"))
+    a, b, c = (D.violations(x).select("conv_id", "violation") for x in tables)
+    return joined(a.unionByName(b).unionByName(c), "violation")
+
+
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", *[c.alias(f"n_{k}") for k, c in T.redaction_counts(F.coalesce("text", F.lit(""))).items()])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return T.with_redactions(docs, "text").drop("text")
 
 
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("conv_id", "idx", F.substring(T.redacted(F.col("text")), 1, 2400).alias("text"))
+    rows = S.numbered(S.event_rows(spark, sf_dir).withColumn("text", F.substring(T.redacted(F.col("text")), 1, 2400)))
+    return rows.select("conv_id", "idx", "text")
 
 
 def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,97 +292,34 @@ def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.markdown_escaped(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def inline_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", F.sha2(T.inline_code(F.coalesce("html", F.lit(""))), 256).alias("code_sha256"))
+
+
+def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return rows.select("page_id", T.session_id(F.coalesce("url", F.lit(""))).alias("session_id"))
+
+
+def dedupe_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers of a conversation in order of their first segment."""
+    rows = segments(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "speaker"))).alias("p"))
+    return rows.select("conv_id", F.array_join(T.distinct_strings(F.transform("p", lambda x: F.when(x["speaker"] == "speaker_unknown", "").otherwise(x["speaker"]))), ",").alias("speakers"))
+
+
 def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     parts = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))))
     return rows.groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
 
 
-def quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def rx(column: str, pattern: str) -> str:
-    return f"regexp_matches({column}, {quote(pattern)})"
-
-
-POOL_SQL = ", ".join(f"({k}, {quote(s)}, {quote(t)})" for k, (s, t) in enumerate(S.POOL))
-SEG = f"""
-pool(k, spk, text) AS (VALUES {POOL_SQL}),
-e AS (SELECT user_id AS conv_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,
-        date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 6000000 AS start_ms,
-        CAST(floor(value * CASE WHEN event_type = 'error' THEN 120 ELSE 40 END) AS BIGINT) AS dur_ms, (event_id * 7 + user_id * 3) % 24 AS k FROM events),
-seg AS (SELECT e.conv_id, CAST(e.idx AS INT) AS idx, format('seg_{{:04d}}', e.idx) AS id, CAST(start_ms AS DOUBLE) / 1000 AS "start", CAST(start_ms + dur_ms AS DOUBLE) / 1000 AS "end",
-        CASE WHEN event_id % 37 = 0 THEN 'speaker_unknown' WHEN (spk = 'A') = (event_id % 11 <> 0) THEN 'speaker_0' ELSE 'speaker_1' END AS speaker, text
-        FROM e JOIN pool USING (k))"""
-START_RE2 = X.QUESTION_START.replace("哪(?!怕)", "哪([^怕]|$)")
-FEAT = f"""
-f0 AS (SELECT *, regexp_replace(text, '\\s+', '', 'g') AS bare FROM seg),
-f1 AS (SELECT *, CAST(len(regexp_extract_all(bare, '{X.MEANINGFUL}')) AS INT) AS m, {rx("bare", X.QUESTION_WORD)} AS word FROM f0),
-feat AS (SELECT *, CAST(CASE WHEN {rx("text", X.QUESTION_MARK)} THEN 2.0 ELSE 0 END + CASE WHEN {rx("text", X.INTERVIEWER_CONTROL)} THEN 2.0 ELSE 0 END
-        + CASE WHEN {rx("bare", START_RE2)} AND word THEN 1.5 ELSE 0 END + CASE WHEN {rx("bare", X.QUESTION_END)} THEN 1.5 ELSE 0 END
-        + CASE WHEN word THEN CASE WHEN m <= 30 THEN 1.0 ELSE 0.2 END ELSE 0 END AS DOUBLE) AS strength,
-        CAST({rx("text", X.QUESTION_MARK)} AS INT) + CAST({rx("text", X.V1_QUESTION)} AS INT) AS v1_score,
-        greatest(CAST(0 AS DOUBLE), "end" - "start") AS seconds FROM f1)"""
-CLEAN = f"""
-ch AS (SELECT conv_id, idx, unnest(regexp_extract_all(lower(text), '{X.MEANINGFUL}')) AS c FROM feat),
-dom AS (SELECT conv_id, idx, max(n) AS top FROM (SELECT conv_id, idx, c, count(*) AS n FROM ch GROUP BY ALL) GROUP BY ALL),
-pos AS (SELECT conv_id, idx, text, unnest(range(1, length(text) - 3)) AS i FROM feat WHERE length(text) >= 5),
-run AS (SELECT DISTINCT conv_id, idx FROM pos WHERE substr(text, i, 5) = repeat(substr(text, i, 1), 5) AND NOT regexp_matches(substr(text, i, 1), '[\\s，。！？、,.!?]')),
-c0 AS (SELECT feat.*, m / greatest(seconds, CAST(0.001 AS DOUBLE)) AS density, m >= 8 AND (run.idx IS NOT NULL OR top / m >= 0.68) AS noise, seconds <= 8 AND strength >= 2 AS short
-        FROM feat LEFT JOIN dom USING (conv_id, idx) LEFT JOIN run USING (conv_id, idx)),
-cl AS (SELECT *, concat_ws('|', CASE WHEN m = 0 THEN 'pure_or_repeated_punctuation' END, CASE WHEN m > 0 AND noise THEN 'repetitive_noise_transcription' END,
-        CASE WHEN m > 0 AND NOT short AND seconds >= 25 AND density < 0.5 THEN 'long_duration_low_text_density'
-             WHEN m > 0 AND NOT short AND seconds >= 12 AND m <= 5 THEN 'long_duration_very_little_text' END) AS reasons FROM c0),
-clean AS (SELECT *, reasons = '' AS valid FROM cl)"""
-
-
-def has(reason: str) -> str:
-    return f"CAST(count(*) FILTER (contains(reasons, '{reason}')) AS BIGINT)"
-
-
-TOPIC_ROWS = ", ".join(f"({k}, {j}, {quote(label)}, {quote(w)})" for k, (label, ws) in enumerate(X.TOPICS.items()) for j, w in enumerate(ws))
-ORACLES = {
-    "segments": f"WITH {SEG} SELECT * FROM seg",
-    "text_features": f"""WITH {SEG}, {FEAT} SELECT conv_id, idx, CAST(len(regexp_extract_all(text, '{X.MEANINGFUL}')) AS INT) AS m, v1_score,
-        bare IN ({", ".join(map(quote, X.ACKNOWLEDGEMENTS))}) OR {rx("bare", X.ACKNOWLEDGEMENT)} AS ack, strength,
-        format('{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS stamp
-        FROM (SELECT *, CAST("start" * 1000 AS BIGINT) AS ms FROM feat)""",
-    "cleanup": f"WITH {SEG}, {FEAT}, {CLEAN} SELECT conv_id, idx, m, strength, reasons, valid FROM clean",
-    "statistics": f"""WITH {SEG}, {FEAT}, {CLEAN} SELECT conv_id, count(*) AS segment_count, CAST(count(*) FILTER (valid) AS BIGINT) AS valid_count,
-        CAST(count(*) FILTER (NOT valid) AS BIGINT) AS invalid_count, CAST(count(*) FILTER (speaker = 'speaker_unknown') AS BIGINT) AS unknown_speaker_count,
-        {has("pure_or")} AS n_punctuation, {has("repetitive_noise")} AS n_noise, {has("low_text_density")} AS n_sparse, {has("very_little")} AS n_little,
-        max("end") AS duration, CAST(sum(m) AS BIGINT) AS meaningful_chars FROM clean GROUP BY conv_id""",
-    "topic_classify": f"""WITH {SEG}, dict(p, j, label, word) AS (VALUES {TOPIC_ROWS}),
-        hit AS (SELECT conv_id, idx, p, label, count(*) AS n, string_agg(word, '|' ORDER BY j) AS keywords FROM seg JOIN dict ON contains(lower(text), lower(word)) GROUP BY ALL),
-        best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id, idx ORDER BY n DESC, p) = 1)
-        SELECT conv_id, idx, coalesce(label, '{X.UNCLASSIFIED}') AS label, coalesce(keywords, '') AS keywords FROM seg LEFT JOIN best USING (conv_id, idx)""",
-    "v1_roles": f"""WITH {SEG}, {FEAT}, s AS (SELECT conv_id, speaker, CAST(sum(v1_score) AS BIGINT) AS score FROM feat WHERE speaker <> 'speaker_unknown' GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, speaker) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY speaker) AS a,
-        max(score) OVER (PARTITION BY conv_id) AS top, count(*) OVER (PARTITION BY conv_id) AS n FROM s)
-        SELECT conv_id, speaker, score, CASE WHEN (CASE WHEN top >= 1 OR n = 1 THEN b ELSE a END) = 1 THEN 'interviewer' ELSE 'candidate' END AS role FROM r""",
-    "v1_turns": f"""WITH {SEG}, a AS (SELECT *, coalesce(CAST(speaker <> lag(speaker) OVER w AS INT), 1) AS same FROM seg WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
-        b AS (SELECT *, sum(same) OVER (PARTITION BY conv_id ORDER BY idx) AS run FROM a),
-        c AS (SELECT *, coalesce(CAST("start" - max("end") OVER (PARTITION BY conv_id, run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > CAST(0.8 AS DOUBLE) AS INT), 1) AS fresh FROM b),
-        d AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY idx) AS BIGINT) AS turn_no FROM c)
-        SELECT conv_id, turn_no, any_value(speaker) AS speaker, arg_min("start", idx) AS "start", max("end") AS "end", string_agg(id, ',' ORDER BY idx) AS segment_ids, string_agg(text, '' ORDER BY idx) AS text FROM d GROUP BY conv_id, turn_no""",
-    "speaker_priors": f"""WITH {SEG}, {FEAT}, {CLEAN}, s AS (SELECT conv_id, speaker, sum(CASE WHEN strength >= 2.5 THEN CAST(round(least(strength, 5.0) * 10) AS BIGINT) ELSE 0 END) AS asked,
-        count(*) FILTER ({rx("text", X.INTERVIEWER_CONTROL)}) AS controls, sum(m) AS chars, count(*) FILTER ({rx("text", X.CANDIDATE_EVIDENCE)}) AS evidence, count(*) FILTER (m >= 60) AS lng
-        FROM clean WHERE valid GROUP BY ALL),
-        t AS (SELECT *, CAST(1.0 AS DOUBLE) + CAST(asked AS DOUBLE) * CAST(0.15 AS DOUBLE) + CAST(3.0 AS DOUBLE) * controls AS i0, CAST(1.0 AS DOUBLE) + CAST(chars AS DOUBLE) / CAST(45.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * evidence + CAST(2.0 AS DOUBLE) * lng AS c0 FROM s),
-        u AS (SELECT *, i0 / sum(i0) OVER (PARTITION BY conv_id) AS i, c0 / sum(c0) OVER (PARTITION BY conv_id) AS c FROM t),
-        v AS (SELECT *, i + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - c) AS si, c + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - i) AS sc FROM u)
-        SELECT conv_id, speaker, floor(si / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS interviewer, floor(sc / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS candidate FROM v""",
-    "markdown_escape": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\'),
-        '([`*_\[\]])', '\\\1', 'g'), '\r\n|\r|\n', '<br>', 'g') AS text FROM conversations""",
-    "ordered_concat": "SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
-}
-
-
 def queries() -> dict:
     own = [
-        segments, normalized_text, text_features, statistics, topic_classify, v1_roles, v1_turns, speaker_priors, phase_labels, phase_spans, coding_silence, events_merged, role_fold,
-        speaker_summary, redaction_counts, redacted_text, markdown_escape, ordered_concat,
+        segments, raw_segments, normalized_text, text_features, statistics, run_statistics, topic_classify, keyword_similarity, v1_roles, v1_turns, v1_qa, speaker_priors, role_scores, phase_labels, phase_spans,
+        coding_silence, events_merged, role_fold, speaker_summary, v2_turns, prompt_anchors, prompt_spans, answers, question_tree, flat_qa, evidence_sets, payload_min, payload_batches, stage_signature,
+        none_analysis, provider_validate, report_markdown, v1_markdown, v2_markdown, v1_documents, v2_documents, contract_violations, redaction_counts, redacted_text, markdown_escape, inline_code, session_ids,
+        dedupe_ordered, ordered_concat,
     ]
     return {f.__name__: f for f in own} | {"cleanup": cleanup_query}
 

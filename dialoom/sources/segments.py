@@ -23,10 +23,10 @@ POOL = [
 RAW = "conv_id bigint, result array<struct<text:string,timestamp:array<array<bigint>>,sentence_info:array<struct<text:string,start:bigint,end:bigint,spk:int,timestamp:array<array<bigint>>>>>>"
 
 
-def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, idx, id, start, end, speaker, text of the interviews that ``events`` describe.
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that ``events`` describe, not yet numbered: conv_id, ts, event_id, start, end, speaker, text.
 
-    The pool is an indexed literal, so the only exchange is the numbering by conversation."""
+    The pool is an indexed literal, so this is a map over the scan."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     ms = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) div 6000000")
     length = F.floor(F.col("value") * F.when(F.col("event_type") == "error", 120).otherwise(40)).cast("long")
@@ -35,10 +35,20 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumns({"start_ms": ms, "dur_ms": length, "p": F.element_at(pool, k)})
     same = (F.col("p.spk") == "A") == (F.col("event_id") % 11 != 0)
     speaker = F.when(F.col("event_id") % 37 == 0, "speaker_unknown").when(same, "speaker_0").otherwise("speaker_1")
-    rows = e.select("user_id", "ts", "event_id", "start_ms", "dur_ms", speaker.alias("speaker"), F.col("p.text").alias("text"))
-    return rows.selectExpr(
-        "user_id AS conv_id", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx", "start_ms / 1000D AS start", "(start_ms + dur_ms) / 1000D AS end", "speaker", "text"
-    ).withColumn("id", F.format_string("seg_%04d", "idx"))
+    rows = e.select(F.col("user_id").alias("conv_id"), "ts", "event_id", "start_ms", "dur_ms", speaker.alias("speaker"), F.col("p.text").alias("text"))
+    return rows.selectExpr("conv_id", "ts", "event_id", "start_ms / 1000D AS start", "(start_ms + dur_ms) / 1000D AS end", "speaker", "text")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds idx and id in order of time: the one exchange of a conversation's operators."""
+    others = [c for c in rows.columns if c not in ("ts", "event_id")]
+    out = rows.selectExpr(*others, "row_number() OVER (PARTITION BY conv_id ORDER BY ts, event_id) AS idx")
+    return out.withColumn("id", F.format_string("seg_%04d", "idx"))
+
+
+def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, start, end, speaker, text, idx, id of the interviews that ``events`` describe."""
+    return numbered(event_rows(spark, sf_dir))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
