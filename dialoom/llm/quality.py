@@ -1,14 +1,19 @@
 """Operator 2: quality rules, with verdicts on hosts.
 
 Each document's rule failures are summed by host; a host's rate for each rule is shrunk
-towards a beta prior fitted to all hosts by moments, and documents of a host whose
-shrunk rate is above ``host_rate`` go with it.  DataFrame code only: hosts are
+towards a beta prior fitted to all hosts by moments, and documents of a host with a
+shrunk rate above ``host_rate`` go with it: there, a document is likelier to fail than not.
+Elsewhere a document that fails any rule goes alone.  DataFrame code only: hosts are
 aggregated with map-side partial sums, so a host of a third of all rows costs one row a
 task, and the verdict table (a row a host) is broadcast only within a counted bound.
 
+The limits of ``symbols`` (a tenth of word characters) and ``dup_lines`` (two fifths of lines)
+lie where, of the labelled rows of the tables at hand, none of good quality is beyond.
+
 Edge cases: null text has no words (and fails); a null host is a host of its own; with
 one host, or hosts of equal rates, the prior is that of one observation; repeated rows are
-judged alike; an empty table gives no rows.
+judged alike, as are ties, for no rule orders rows; very long texts are counted whole; extra
+columns are carried, never read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ SYMBOLS = "#*$%&|<>"
 RULES = {
     "short": "n_words < 10",
     "repeats": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "20 * n_symbols > 19 * word_chars",
-    "dup_lines": "10 * n_dup_lines > 9 * n_lines",
+    "symbols": "10 * n_symbols > word_chars",
+    "dup_lines": "10 * n_dup_lines > 4 * n_lines",
 }
 
 
@@ -69,14 +74,15 @@ def window_hash(i: Column) -> Column:
 
 
 def with_failures(docs: DataFrame) -> DataFrame:
-    """Counts, a failed_<rule> flag for each rule, and base_failed."""
+    """Counts, a failed_<rule> flag for each rule, base_failed and failed (any rule)."""
     out = with_counts(docs)
     for rule, failed in RULES.items():
         out = out.withColumn(f"failed_{rule}", F.expr(failed))
-    return out.withColumn("base_failed", F.col("failed_short") | F.col("failed_repeats"))
+    out = out.withColumn("base_failed", F.col("failed_short") | F.col("failed_repeats"))
+    return out.withColumn("failed", F.col("base_failed") | F.col("failed_symbols") | F.col("failed_dup_lines"))
 
 
-def host_verdicts(judged: DataFrame, host: str, host_rate: float = 0.9) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str, host_rate: float = 0.5) -> DataFrame:
     """A row per host: shrunk failure rate of each rule and whether it is rejected.
 
     The prior of a rule is beta(a, b) with the mean and variance of the hosts' rates; hosts of
@@ -96,19 +102,19 @@ def host_verdicts(judged: DataFrame, host: str, host_rate: float = 0.9) -> DataF
     return rates.withColumn("host_rejected", bad)
 
 
-def judge(docs: DataFrame, host: str = "source", keep_columns: bool = False, host_rate: float = 0.9) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", keep_columns: bool = False, host_rate: float = 0.5) -> DataFrame:
     """``docs`` judged: counts, base_failed, host_rejected and kept for each row.  With
-    ``keep_columns`` only rows that pass the base rules are kept, with all their columns."""
+    ``keep_columns`` only rows that pass all rules are kept, with all their columns."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if keep_columns else [F.col("doc_id")]
     judged = with_failures(docs.select(*row, F.col(host).alias("_host"), F.col("text"))).drop("text")
     if keep_columns:  # failing texts stay out of the written table; their flags count for the host
-        judged = judged.withColumn("_doc", F.when(~F.col("base_failed"), F.col("_doc")))
+        judged = judged.withColumn("_doc", F.when(~F.col("failed"), F.col("_doc")))
     judged = materialize(judged, "quality-docs")
     verdicts = host_verdicts(judged, "_host", host_rate).filter("host_rejected")
     verdicts = materialize(verdicts.select(F.coalesce(F.concat(F.lit("0"), "host"), F.lit("1")).alias("_hkey"), "host_rejected"), "quality-verdicts")
     judged = judged.withColumn("_hkey", F.coalesce(F.concat(F.lit("0"), "_host"), F.lit("1")))
     out = join_bounded(judged, verdicts, ["_hkey"], "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_hkey")
+    return out.withColumn("kept", ~F.col("failed") & ~F.col("host_rejected")).drop("_hkey")
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

@@ -80,14 +80,14 @@ f AS (SELECT w.r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN cov USING (r) LEFT JOIN ld USING (r)),
 b AS (SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2,
-       20 * n_symbols > 19 * word_chars AS f3, 10 * n_dup_lines > 9 * n_lines AS f4 FROM f),
+       10 * n_symbols > word_chars AS f3, 10 * n_dup_lines > 4 * n_lines AS f4 FROM f),
 hr AS (SELECT source, count(*) AS n, count(*) FILTER (f1) AS k1, count(*) FILTER (f2) AS k2, count(*) FILTER (f3) AS k3, count(*) FILTER (f4) AS k4 FROM b GROUP BY source),
 lng AS (SELECT source, n, unnest([k1, k2, k3, k4]) AS k, unnest([1, 2, 3, 4]) AS rule FROM hr),
 m AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM lng GROUP BY rule),
 s AS (SELECT rule, m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1.0 END AS q FROM m),
-bad AS (SELECT source FROM lng JOIN s USING (rule) GROUP BY source HAVING bool_or((k + m * q) / (n + q) > 0.9))
+bad AS (SELECT source FROM lng JOIN s USING (rule) GROUP BY source HAVING bool_or((k + m * q) / (n + q) > 0.5))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-       NOT (f1 OR f2) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept
+       NOT (f1 OR f2 OR f3 OR f4) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept
 FROM b
 """
 OP4 = r"""
