@@ -10,19 +10,24 @@ adaptive execution splits where one digest holds many rows.
 
 Edge cases: null counts as empty; of repeated rows (same doc_id and text) one is kept; a
 null doc_id orders after all others; a digest already in the index keeps the document it
-names; no rows give no rows.
+names; very long texts are digested whole; extra columns are carried, never read, whatever
+their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.common import SPACE, join_bounded, materialize, text_of
+from dialoom.sources.stored import shared_dir
 
-BUCKETS = 32
+#: digests a bucket holds, about; a bucket is one task of the anti-join
+PER_BUCKET = 1_000_000
+#: batches of ascending doc_id in which a table enters the index
+BATCHES = 2
 
 
 def normalised():
@@ -30,9 +35,10 @@ def normalised():
 
 
 class DigestIndex:
-    """A warehouse table of (digest, keep_id), bucketed and sorted by digest."""
+    """A table of (digest, keep_id) in the shared folder, bucketed and sorted by digest.  It lasts
+    until ``drop``; under the same name a later job goes on with it."""
 
-    def __init__(self, spark, name: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark, name: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
 
@@ -40,16 +46,24 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.name)
 
     def append(self, batch: DataFrame) -> None:
-        """Adds rows of ``batch`` (digest, keep_id; digests distinct) whose digest is new."""
+        """Adds rows of ``batch`` (digest, keep_id; digests distinct) whose digest is new, by a sort-merge
+        anti-join with the buckets.  The first batch, which must be materialised, sets their number."""
         new = batch
         if self.exists():
             new = batch.hint("merge").join(self.spark.table(self.name), "digest", "left_anti")
-        files = new.repartition(self.buckets, "digest")
-        files.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.name)
+            self.buckets = self.buckets or int(self.spark.sql(f"DESCRIBE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").first()["data_type"])
+        self.buckets = self.buckets or max(16, -(-batch.count() // PER_BUCKET))
+        writer = new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet")
+        if not self.exists():
+            writer = writer.option("path", f"{shared_dir(self.spark)}/{self.name}")
+        writer.saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
 
 def digests(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, copies): equal rows counted, written once."""
@@ -57,19 +71,40 @@ def digests(docs: DataFrame) -> DataFrame:
     return materialize(own.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "dedup-digests")
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> tuple[DataFrame, DataFrame]:
+def batches_of(rows: DataFrame, n: int) -> list[DataFrame]:
+    """``rows`` in ``n`` ranges of ascending doc_id of about equal size, nulls last."""
+    at = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
+    if not at:
+        return [rows]
+    place = F.col("doc_id").isNull().cast("int") * len(at)
+    for cut in sorted(set(at)):
+        place = place + F.when(F.col("doc_id") > F.lit(cut), 1).otherwise(0)
+    return [rows.filter(F.least(place, F.lit(len(at))) == k) for k in range(len(at) + 1)]
+
+
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """(per document and text: digest, doc_id, copies, keep_id, group_size; per digest: the same counts).
 
-    ``docs`` is one batch; its new digests enter ``index`` (a fresh one by default)."""
-    index = index or DigestIndex(docs.sparkSession)
+    ``docs`` enters ``index`` (one of its own by default, dropped again) in batches of ascending
+    doc_id: each is reduced to its distinct digests, meets the index, and leaves there what is
+    new, with its least doc_id.  Keepers are what the index says."""
+    mine = index or DigestIndex(docs.sparkSession)
     own = digests(docs)
-    groups = materialize(own.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.sum("copies").alias("group_size")), "dedup-groups")
-    index.append(groups.select("digest", F.col("first_id").alias("keep_id")))
-    settled = groups.hint("merge").join(index.rows(), "digest").select("digest", "group_size", "keep_id")
+    for batch in batches_of(own, batches):
+        mine.append(materialize(batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "dedup-batch"))
+    sizes = own.groupBy("digest").agg(F.sum("copies").alias("group_size"))
+    settled = sizes.hint("merge").join(mine.rows(), "digest").select("digest", "group_size", "keep_id")
     settled = materialize(settled, "dedup-settled")
+    if index is None:
+        mine.drop()
     return own.join(settled, "digest"), settled
 
 
+def row_key() -> Column:
+    """A document and its text, told apart by 256 bits."""
+    return F.sha2(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.hex("_digest")), 256)
+
+
 def dedup_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """A row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     found, _ = dedup(docs, index)
@@ -85,8 +120,9 @@ def kept_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFra
     found = materialize(found.select("digest", "doc_id", "copies", (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("goes")), "dedup-kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", F.col("doc_id").alias("_id"))
     rows = rows.withColumn("_digest", F.unhex(F.sha2(normalised(), 256))).drop("text")
-    goes = materialize(found.filter("goes").select(F.xxhash64("doc_id", "digest").alias("_k"), F.col("digest").alias("_digest")).distinct(), "dedup-goes")
-    out = join_bounded(rows.withColumn("_k", F.xxhash64("_id", "_digest")), goes, ["_k", "_digest"], "left_anti")
+    rows = rows.withColumn("_k", row_key())
+    gone = found.filter("goes").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).withColumn("_k", row_key())
+    out = join_bounded(rows, materialize(gone.select("_k").distinct(), "dedup-goes"), ["_k"], "left_anti")
     if found.filter("copies > 1 and not goes").limit(1).count():  # repeated rows: keep one of each
         out = out.dropDuplicates(["_k"])
     return out.select("_doc.*")
