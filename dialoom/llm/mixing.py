@@ -9,8 +9,10 @@ permutation of its block indexes (swap-or-not rounds), and blocks join slots by
 that holds a third of all rows is spread like any other.
 
 Edge cases: null text has size 0; null source is a source of its own, last in order;
-a source without words has target 0; repeated rows are separate documents; an empty
-table gives no rows.
+a source without words has target 0; repeated rows are separate documents; ties in the order
+of a source's stream (one doc_id and size) are equal for all that is returned; a very long
+text spans many blocks; extra columns are never read, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from pyspark.sql.window import Window as W
 from dialoom.llm.common import WORD, join_bounded, materialize, only, running_offsets, text_of, words_of
 
 CELLS = 1024
+#: slots that one task maps through a permutation, about
+RUN_SLOTS = 50_000
 ROUNDS = 16
 
 
 @dataclass
 class Mix:
     """docs: one row per document with its place in its source's stream; sources: targets and
-    slot counts; slots: (shard, skey, block) draws; draws: times each block is drawn."""
+    slot counts; slots: (shard, skey, j, block), written: what each shard drew; draws: from the
+    slots, times each block is drawn and the first and last shard that holds it."""
 
     docs: DataFrame
     sources: DataFrame
@@ -145,11 +150,14 @@ def mix(
     start, end = F.greatest(F.col("part") * shard_slots, F.col("before")), F.least((F.col("part") + 1) * shard_slots, F.col("before") + F.col("n"))
     owed = owed.select((F.col("part") + drawn_shards).alias("shard"), "skey", (F.col("first") + start - F.col("before")).alias("first"), (end - start).alias("n"), "n_blocks")
 
-    runs = counts.unionByName(owed).repartition("shard", "skey")
+    # A run is at most a shard's slots; so many partitions that none explodes to more than RUN_SLOTS, about.
+    runs = materialize(counts.unionByName(owed), "mix-runs")
+    most = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(max(1, min(most, -(-n_slots // RUN_SLOTS))), "shard", "skey")
     slots = runs.select("shard", "skey", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     block = permuted(F.pmod("j", F.col("n_blocks")), F.col("n_blocks"), F.xxhash64(F.lit(seed), F.col("skey")))
-    slots = slots.select("shard", "skey", block.alias("block"))
-    draws = slots.groupBy("skey", "block").agg(F.count("*").alias("drawn"))
+    slots = materialize(slots.select("shard", "skey", "j", block.alias("block")), "mix-slots")
+    draws = slots.groupBy("skey", "block").agg(F.count("*").alias("drawn"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
     order = ["doc_id", "size", *(["print"] if fingerprint else [])]
     placed = running_offsets(sized, ["skey"], order, "size", "at")
     return Mix(placed, sources, slots, draws, block_words)
@@ -161,14 +169,27 @@ def row_print(columns: list[str]) -> Column:
 
 
 def taken_words(planned: Mix) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken."""
-    per = planned.pieces().groupBy("skey", "doc_id", "at", "size").agg(F.sum(F.col("words") * F.col("drawn")).cast("long").alias("taken"))
+    """A row per document: doc_id, size, source_size, target, taken, source, and the first and last
+    output shard that holds words of it (null: none)."""
+    per = planned.pieces().groupBy("skey", "doc_id", "at", "size").agg(F.sum(F.col("words") * F.col("drawn")).cast("long").alias("taken"), F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard"))
     totals = planned.sources.select("skey", "source_size", "target")
     return join_bounded(per, totals, ["skey"]).select(
-        "doc_id", "size", "source_size", "target", "taken", F.when(F.col("skey") != "1", F.substring("skey", 2, 1 << 30)).alias("source")
+        "doc_id", "size", "source_size", "target", "taken", F.when(F.col("skey") != "1", F.substring("skey", 2, 1 << 30)).alias("source"), "first_shard", "last_shard"
     )
 
 
+def shard_blocks(docs: DataFrame, planned: Mix) -> DataFrame:
+    """The output shards: shard, source key, block, and the block's words, a row per slot.  A shard's
+    rows are told apart by their slot number within the source."""
+    numbered = docs.select("doc_id", source_key().alias("skey"), words_of(text_of()).alias("_words")).withColumn("size", F.size("_words").cast("long"))
+    # Equal sizes of one doc_id are interchangeable only if their texts are: such tables need unique ids.
+    cut = planned.pieces().filter("words > 0 and drawn > 0").select("doc_id", "skey", "size", "block", "at", "word_start", "words").join(numbered, ["doc_id", "skey", "size"])
+    piece = F.array_join(F.slice("_words", F.col("word_start").cast("int") + 1, F.col("words").cast("int")), " ")
+    blocks = cut.groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct("at", piece.alias("t")))).alias("p"))
+    blocks = blocks.select("skey", "block", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
+    return planned.slots.join(blocks.hint("merge"), ["skey", "block"])
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row per pass over a document, with the columns of ``docs``.  A full
     pass keeps the text; the last pass may hold only the blocks drawn once more, its words joined
