@@ -212,8 +212,10 @@ def beyond_pivot(members: DataFrame, spans: DataFrame, sets: DataFrame) -> tuple
     texts = materialize(texts.withColumn("n_shingles", F.size("set")), "near-left")
     # The shingles that half of a cluster's texts have are at most twice a mean text's; the pivot is the text closest to them.
     frequent = texts.select("cluster", F.explode("set").alias("x")).groupBy("cluster", "x").agg(F.count("*").alias("df"))
-    sizes = texts.groupBy("cluster").agg(F.count("*").alias("c"))
-    frequent = frequent.join(sizes, "cluster").filter("2 * df >= c").groupBy("cluster").agg(F.collect_list("x").alias("center"))
+    sizes = materialize(texts.groupBy("cluster").agg(F.count("*").alias("c")), "near-sizes")
+    # Counts stay dealt by (cluster, shingle); only the few that pass are gathered by cluster.
+    frequent = materialize(join_bounded(frequent, sizes, ["cluster"]).filter("2 * df >= c").select("cluster", "x"), "near-frequent")
+    frequent = frequent.groupBy("cluster").agg(F.collect_list("x").alias("center"))
     central = texts.join(materialize(frequent, "near-centers"), "cluster", "left")
     score = F.coalesce(2 * F.size(F.array_intersect("set", "center")) - F.col("n_shingles"), -F.col("n_shingles"))
     best = materialize(central.select("cluster", "cid", score.alias("score")), "near-scores").groupBy("cluster").agg(F.max_by("cid", F.struct("score", "cid")).alias("pivot"))
