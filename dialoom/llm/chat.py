@@ -1,18 +1,22 @@
 r"""Operator 10: chat formatting in budgeted windows.
 
-Prefix sums of turn tokens give each turn its window: window k holds the turns that begin in
-[k * budget, (k + 1) * budget).  A window opens with the conversation's system turn, repeats
-turns of the window before that begin within ``history`` tokens of its own first turn, and
-then holds its own turns.  Repeated turns are marked and carry no loss, so each assistant
-text is a target once.
+Prefix sums of turn tokens give each turn its window.  What the budget leaves beside the
+conversation's system turn and the history is a cell; turns that lie wholly within a cell of
+the prefix sums are one window, and a turn that crosses cells is one alone.  A later window
+opens with the system turn, repeats earlier turns that begin within ``history`` tokens of its
+first turn, as far as the budget allows, and then holds its own turns.  So a window exceeds
+the budget only where one own turn and the system turn do.  Repeated turns are marked and
+carry no loss, so each assistant text is a target once.
 
 Format: ``<turn ROLE<text>TEXT</turn>\n``, with ``<again `` for repeated turns.  In roles
 and texts ``\`` becomes ``\b`` and ``<`` becomes ``\l``: no control string can occur inside
 a text, and unescaping is exact.  Loss spans are [start, length] in code points.
 
-DataFrame code only; a window's size is bounded by the budget and its longest turn.
+DataFrame code only; a window's size is bounded by the budget and its longest turn.  A
+conversation's digests need its whole text in one row, so one conversation is one task's work.
 Edge cases: null text or role is empty; a null conv_id is a conversation; turns sort by
-turn, role and text, so repeated rows stay, side by side; no rows give no rows.
+turn, role and text, so ties and repeated rows stay, side by side; a very long turn is a
+window alone, whole; extra columns are never read, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -42,20 +46,25 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     by_conv = W.partitionBy("conv_id").orderBy(*order)
     turns = turns.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long") + PER_TURN)
     turns = turns.withColumn("n", F.row_number().over(by_conv)).withColumn("at", F.coalesce(F.sum("tokens").over(by_conv.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    turns = turns.withColumn("window", F.floor(F.col("at") / budget))
-    # The first turn of the next window, where there is one, says which turns it repeats.
-    next_at = F.min("at").over(W.partitionBy("conv_id").orderBy("window").rangeBetween(1, W.unboundedFollowing))
-    next_window = F.min("window").over(W.partitionBy("conv_id").orderBy("window").rangeBetween(1, W.unboundedFollowing))
-    turns = turns.withColumn("next_at", next_at).withColumn("next_window", next_window)
-    repeats = (F.col("next_at") - F.col("at") <= history) & (F.col("role") != "system")
-    homes = F.when(repeats, F.array(F.struct(F.col("window").alias("w"), F.lit(2).alias("part")), F.struct(F.col("next_window").alias("w"), F.lit(1).alias("part"))))
-    spread = turns.withColumn("home", F.explode(F.coalesce(homes, F.array(F.struct(F.col("window").alias("w"), F.lit(2).alias("part"))))))
-    spread = spread.select("conv_id", F.col("home.w").alias("window"), F.col("home.part").alias("part"), "n", "role", "text")
+    whole = W.partitionBy("conv_id")
+    system = F.min(F.when(F.col("role") == "system", F.struct("n", "text", "tokens"))).over(whole)
+    turns = turns.withColumn("system", system).withColumn("fixed", F.coalesce("system.tokens", F.lit(0)))
+    cell = F.greatest(budget - history - F.col("fixed"), F.lit(1))
+    turns = turns.withColumn("cell", F.floor(F.col("at") / cell)).withColumn("crosses", F.col("cell") < F.floor((F.col("at") + F.col("tokens") - 1) / cell))
+    turns = turns.withColumn("window", 2 * F.col("cell") + F.col("crosses").cast("long"))
+    mine = W.partitionBy("conv_id", "window")
+    turns = turns.withColumns({"begin": F.min("at").over(mine), "own": F.sum("tokens").over(mine), "system_window": F.first(F.when(F.col("n") == F.col("system.n"), F.col("window")), ignorenulls=True).over(whole)})
+    # Each window's first turn offers room for what comes before it; earlier turns find it in a range of places.
+    room = F.least(F.lit(history).cast("long"), budget - F.col("own") - F.when(F.col("window") > F.col("system_window"), F.col("fixed")).otherwise(0))
+    offer = F.when((F.col("at") == F.col("begin")) & (room > 0), F.struct("window", "begin", room.alias("room")))
+    later = F.collect_list(offer).over(W.partitionBy("conv_id").orderBy("at").rangeBetween(1, history))
+    repeats = F.filter(later, lambda x: (x["window"] > F.col("window")) & (x["begin"] - F.col("at") <= x["room"]) & (F.col("role") != "system"))
+    turns = turns.withColumn("repeats", F.transform(repeats, lambda x: F.struct(x["window"].alias("w"), F.lit(1).alias("part"))))
+    homes = F.concat(F.array(F.struct(F.col("window").alias("w"), F.lit(2).alias("part"))), "repeats")
+    spread = turns.select("conv_id", F.explode(homes).alias("home"), "n", "role", "text").select("conv_id", F.col("home.w").alias("window"), F.col("home.part").alias("part"), "n", "role", "text")
     # The system turn opens every later window too.
-    first_system = turns.filter("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("n", "text", "window"), "n").alias("s"))
-    windows = turns.groupBy("conv_id", "window").agg(F.count("*").alias("_n")).withColumnRenamed("conv_id", "_conv")
-    system = windows.join(first_system, F.col("_conv").eqNullSafe(F.col("conv_id"))).filter("window > s.window")
-    system = system.select("conv_id", "window", F.lit(0).alias("part"), F.col("s.n").alias("n"), F.lit("system").alias("role"), F.col("s.text").alias("text"))
+    opened = turns.filter((F.col("at") == F.col("begin")) & (F.col("window") > F.col("system_window")))
+    system = opened.select("conv_id", "window", F.lit(0).alias("part"), F.col("system.n").alias("n"), F.lit("system").alias("role"), F.col("system.text").alias("text"))
     lines = spread.unionByName(system)
     again = F.col("part") < 2
     head = F.concat(F.when(again, F.lit(AGAIN)).otherwise(F.lit(OPEN)), escaped(F.col("role")), F.lit(TEXT))
