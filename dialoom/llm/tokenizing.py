@@ -27,7 +27,7 @@ import regex
 #: chunks whose ids are kept at most; later ones are encoded anew each time
 CACHED = 600_000
 #: bytes of text that are laid out at once; a longer text is one piece
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 # How the two kinds of vocabulary cut a chunk of text.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
