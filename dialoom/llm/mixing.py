@@ -3,7 +3,7 @@
 Words of each source form one stream, cut into blocks of ``block_words``.  Output
 shards of ``shard_slots`` slots draw multinomial counts over sources (each slot an
 independent draw); the last shards take what each source still owes, so a source ends
-within half a block of its target.  A source's slots run through a keyed pseudorandom
+within a block and a half of its target: half by rounding, one since its last block is short.  A source's slots run through a keyed pseudorandom
 permutation of its block indexes (swap-or-not rounds), and blocks join slots by
 (source, index).  Everything is DataFrame code; prefix sums are bucketed, so a source
 that holds a third of all rows is spread like any other.

@@ -623,7 +623,7 @@ def test_pipeline(spark, sf_dir):
     target, got = brute_targets(Counter(n for r in rows for n in [r[3]] for _ in words(r[1]))), Counter()
     for r in mixed.collect():
         got[r["source"]] += len(words(r["text"]))
-    assert all(abs(got[x] - target[x]) <= 128 for x in target)
+    assert {x: (got[x], target[x]) for x in target if abs(got[x] - target[x]) > 192} == {}  # half a block by rounding, one by the last block's shortness
     e = Encoder(public_path("word_bpe_49k.json"))
     total = sum(len(e.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mixed.collect())
     assert sum(r["length"] for r in corpus_pipeline.STAGES[4][1](spark, mixed, sf_dir).collect()) == total
