@@ -15,7 +15,8 @@ texts (three or more) share; a text of such blocks alone is kept whole.  Every p
 at most ``FAN_IN`` streams, however many pages a host has.
 
 Edge cases: null or empty html gives an empty text; a null url is a host of its own; repeated
-rows are extracted alike; broken markup follows the usual implied ends; no rows give no rows.
+rows are extracted alike; very long pages are read whole; of regions with equal text the last by name wins; extra columns
+are not read, whatever their names; broken markup follows the usual implied ends; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -54,13 +55,28 @@ WORDS = frozenset(
     "breadcrumb breadcrumbs comment comments reply replies discussion footer share social related subscribe newsletter popup modal consent search "
     "login signup toolbar pagination widget".split()
 )
+#: parts that a furniture class may have beside such words: inside an article a class counts only if it is made of both
+AFFIXES = frozenset("area bar block body box button buttons container content form group header inner item items links list outer panel row section slot thread unit wrap wrapper".split())
 MAIN = ("article", "main")
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 def names_of(attributes: str) -> set[str]:
-    found = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if attributes else ""
-    return set(re.split(r"[\s_-]+", found.lower())) if found else set()
+    """Classes, ids and roles of a tag."""
+    return set(" ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower().split()) if attributes else set()
+
+
+def parts_of(name: str) -> list[str]:
+    return re.split(r"[_-]+", name)
+
+
+def tells_furniture(names: set[str], inside: bool) -> bool:
+    """Outside an article any part of a class tells; inside, where ``notice-board`` may be the topic, all of it must."""
+    for parts in map(parts_of, names):
+        told = [x in WORDS for x in parts]
+        if any(told) and (not inside or all(t or x in AFFIXES or x.isdigit() for t, x in zip(told, parts, strict=True))):
+            return True
+    return False
 
 
 class Reader:
@@ -99,10 +115,11 @@ class Reader:
             return
         if name in BLOCKS:
             self.implied(name)
-        names = names_of(attributes)
+        named = names_of(attributes)
+        names = {x for one in named for x in parts_of(one) if x}
         above = self.stack[-1] if self.stack else ("", False, "")
         inside = above[2] in MAIN
-        off = above[1] or name in FURNITURE or bool(names & WORDS) or (not inside and (name == "header" or "header" in names))
+        off = above[1] or name in FURNITURE or tells_furniture(named, inside) or (not inside and (name == "header" or "header" in names))
         region = above[2]
         if name in MAIN or "main" in names and name in BLOCKS:
             region = name if name in MAIN else "main"
