@@ -4,16 +4,21 @@ A text splits into sentences, which are normalised (lower case, letters and digi
 single spaces) and looked up among known licence sentences; each hit is an identifier.
 Texts are split in several ways, whose hits are merged by their place in the text.  A
 rule is an ordered list of identifiers; a licence is found where a rule's identifiers occur
-in order, other sentences between them allowed.  Of all texts that mention any licence word,
-sentences that may be known are exploded and joined with the dictionary by hash (a table fixed in this
-file, so its broadcast is bounded), and only hits are grouped by row.
+in order, other sentences between them allowed.  Texts without any word of a set that every
+dictionary sentence holds one of can have no hit and are not split.  Sentences that may be known are
+exploded and joined with the dictionary by hash (a table given by the caller or fixed in this file,
+so its broadcast is bounded), and only hits are grouped by row.
 
-Edge cases: null text is empty; a text without hits has an empty result; repeated rows are
-judged alike; no rows give no rows.
+Edge cases: null text is empty; a text without hits has an empty result; very long texts are split whole; hits at one place
+are ordered by identifier; extra columns are not read, whatever their names; repeated rows are judged alike; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +59,22 @@ SENTENCES = {
     "cc-by": "licensed under cc by 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "bsd-neither": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl21-version": "either version 2 1 of the license or at your option any later version",
+    "lgpl21-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "agpl3-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
 }
+# Names that follow a tag line's "SPDX-License-Identifier:", and the licence told by them.
+TAGS = {
+    "Apache-2.0": "Apache-2.0", "MIT": "MIT", "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense",
+    "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0",
+    "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0",
+    "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC0-1.0": "CC0-1.0", "EPL-2.0": "EPL-2.0", "BSL-1.0": "BSL-1.0", "Zlib": "Zlib",
+}
+SENTENCES |= {f"tag-{name.lower()}": re.sub(r"[^a-z0-9]+", " ", f"spdx license identifier {name.lower()}") for name in TAGS}
 GPL_HOPES = (["gpl-hope"], ["gpl-useful", "gpl-implied"])
 # Licence and the identifiers that must occur in order.
 RULES = [
@@ -74,16 +94,25 @@ RULES = [
     ("CC-BY-4.0", ["cc-by"]),
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("Unlicense", ["unlicense"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-neither"]),
+    ("LGPL-2.1", ["lgpl21-terms"]),
+    ("LGPL-2.1", ["lgpl-terms", "lgpl21-version"]),
+    ("LGPL-3.0", ["lgpl3-terms"]),
+    ("LGPL-3.0", ["lgpl-terms", "gpl3-version"]),
+    ("AGPL-3.0", ["agpl3-terms"]),
+    ("AGPL-3.0", ["agpl-terms", "gpl3-version"]),
+    *[(licence, [f"tag-{name.lower()}"]) for name, licence in TAGS.items()],
 ]
 #: a sentence ends at . ! ? : ; before white space or the end, at a blank line, or at a list mark
 SENTENCE_END = r"[.!?:;]+(?=\s|$)|\n\s*\n|\n\s*(?:[*-]|\(?\d+[.)])\s|\n"
 PARAGRAPH_END = r"[.!?:;]+(?=\s|$)|\n\s*\n|\n\s*(?:[*-]|\(?\d+[.)])\s"
 #: in comments a line may begin with signs alone (*, //, #, ;;), which are no list mark and no sentence's end
 COMMENT_END = r"(?<=[\p{L}\p{N}\p{Pe}\p{Pf}\"'])[.!?:;]+(?=\s|$)|\n[^\p{L}\p{N}\n]*(?=\n)|\n[^\p{L}\p{N}\n]*\d+[.)]\s"
-MENTION = r"(?i)licen[cs]e|permission|redistribut|free software|warrant|public domain|without any|as is"
+#: a tag is a line of its own, whatever signs it holds
+LINE_END = r"\n"
 
 
-WAYS = {"line": SENTENCE_END, "wrapped": PARAGRAPH_END, "comment": COMMENT_END}
+WAYS = {"line": SENTENCE_END, "wrapped": PARAGRAPH_END, "comment": COMMENT_END, "tag": LINE_END}
 #: set around ends, which stay pieces of their own, so that places can be counted
 MARK = "\u0001"
 
@@ -92,6 +121,25 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def needed_words(sentences: Iterable[str]) -> str:
+    """A pattern of few words, for lower-case texts: each sentence holds one, so a text without any has no hit.
+
+    Words of six and more letters are picked by how many sentences still hold none; a sentence
+    without such words is looked for as a whole.
+    """
+    gap = r"[^\p{L}\p{N}]+"
+    left, chosen = [s.split() for s in sorted(set(sentences))], []
+    while left:
+        counts = Counter(w for s in left for w in {*s} if len(w) >= 6)
+        word = max(counts, key=lambda w: (counts[w], len(w), w), default=None)
+        if word is None:
+            chosen += [gap.join(s) for s in left if s]
+            break
+        chosen.append(word)
+        left = [s for s in left if word not in " ".join(s)]
+    return "|".join(chosen) or "(?!)"
+
+
 def placed(pieces: Column, known: list[str]) -> Column:
     """(at, sentence) of the known sentences among a text's pieces; at: letters and digits before it, alike in all ways."""
     before = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(F.translate(x, " ", "")))
@@ -100,10 +148,11 @@ def placed(pieces: Column, known: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
-    """A row per document: doc_id, n_sentences (hits), sentence_ids in order, licences sorted."""
+    """A row per document: doc_id, n_sentences (hits), sentence_ids in order, licences sorted.
+    ``sentences`` are normalised, ``rules`` name identifiers of letters, digits and hyphens or dots."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     spark = docs.sparkSession
-    told = F.when(F.regexp_like("text", F.lit(MENTION)), F.translate("text", MARK, " "))
+    told = F.when(F.regexp_like(F.lower("text"), F.lit(needed_words(sentences.values()))), F.translate("text", MARK, " "))
     rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", told.alias("told"))
     # Sentences that are lines of their own, wrapped over lines, and wrapped over lines of a comment are all tried.
     for way, end in WAYS.items():
@@ -118,6 +167,6 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     out = rows.select("doc_id", "_row").join(per_row, "_row", "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     code = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    found = F.array(*[F.when(F.regexp_like(code, F.lit("," + ",(?:.*,)?".join(r) + ",")), F.lit(name)) for name, r in rules])
+    found = F.array(*[F.when(F.regexp_like(code, F.lit("," + ",(?:.*,)?".join(map(re.escape, r)) + ",")), F.lit(name)) for name, r in rules])
     licences = F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")
     return out.select("doc_id", F.size(ids).cast("long").alias("n_sentences"), F.array_join(ids, ",").alias("sentence_ids"), licences.alias("licences"))
