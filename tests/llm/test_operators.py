@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from dialoom.llm import chat, exact_dedup, html_wrappers, licenses, mixing, packing, prob_minhash, quality, secret_scan, token_ids
@@ -300,6 +301,49 @@ def test_near_copies_that_repeat_a_passage(spark):
     assert out == {r[0]: e for r, e in zip(rows, expected, strict=True)}
 
 
+def test_recall_against_brute_force(spark):
+    """5,000 texts with edits, cuts, appended and repeated passages: every pair of the threshold found by counting shared shingles."""
+    own = random.Random(23)
+    rows = []
+    for _ in range(500):
+        base = [f"w{own.randrange(3000)}" for _ in range(own.randint(20, 220))]
+        for k in range(10):
+            t = list(base)
+            for _ in range(own.randint(0, max(1, len(t) // 40))):
+                t[own.randrange(len(t))] = f"e{own.randrange(10**6)}"
+            if k % 5 == 1:
+                t = t[: own.randint(int(0.75 * len(t)), len(t))]
+            elif k % 5 == 2:
+                t += [f"a{own.randrange(10**6)}" for _ in range(own.randint(1, max(1, len(t) // 4)))]
+            elif k % 5 == 3:
+                t += t[: len(t) // 2] * own.randint(1, 20)
+            elif k % 5 == 4:
+                t = t[len(t) // 2 :] * own.randint(1, 9) + t
+            rows.append((len(rows), " ".join(t)))
+    sets, holders = [sets_of(t) for _, t in rows], {}
+    for i, one in enumerate(sets):
+        for x in one:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((a, b) for held in holders.values() for n, a in enumerate(held) for b in held[n + 1 :])
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    out = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    met = sum(out[a] == out[b] for a, b in links) / len(links)
+    print(f"{len(links)} links, recall {met:.5f}, same class {sum(out[i] == find(i) for i in out) / len(out):.5f}")
+    assert len(links) > 5000 and met >= 0.99
+    assert all(find(i) == find(c) for i, c in out.items())  # nothing joined that is not linked
+
+
 def test_register_estimate_drops_no_class(spark, monkeypatch):
     """If the estimate drops every pair, the last turn still joins a chain of texts, those far from its pivot too."""
     monkeypatch.setattr(prob_minhash, "likely_pairs", lambda pairs, sig: pairs.limit(0))
@@ -400,6 +444,24 @@ def test_main_region_by_text(spark):
     assert text == {i: "\n\n".join(body(i, 20 - i)) for i in range(5)}
 
 
+def test_classes_inside_an_article(spark):
+    """Inside an article a class is furniture only as a whole; outside any part of it tells."""
+    inside = "<h1>T</h1><div class='search-results'>Found</div><p class=notice-board>Board</p><p class='share-price'>Price</p>"
+    off = "<div class=ad-slot>A</div><div class='comment-list'><p>C</p></div><p class='cookie-notice-2'>N</p><div id=comments>D</div><div class='x newsletter_form'>E</div>"
+    page = f"<body><div class=search-results>menu</div><article>{inside}{off}<p>End</p></article></body>"
+    rows = [(i, f"http://c/{i}", page) for i in range(3)]
+    text = {r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert text == {"T\n\nFound\n\nBoard\n\nPrice\n\nEnd"}
+
+
+def test_html_of_long_pages_and_extra_columns(spark, sf_dir):
+    """A page of many blocks is kept whole; columns that clash with working names are not read."""
+    blocks = [f"Block {i} of text" for i in range(5000)]
+    rows = [(i, "http://long/x", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>", "h", "p", "r") for i in range(2)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, pattern string, region string")
+    assert {(r["text"], r["n_chars"]) for r in html_wrappers.extract(frame).collect()} == {("\n\n".join(blocks), len("\n\n".join(blocks)))}
+
+
 def test_wrapper_alignment():
     fold = html_wrappers.folded
     assert fold(["a", "p", "#", "/p", "p", "#", "/p", "b"]) == ["a", "(p # /p)+", "b"]
@@ -410,10 +472,12 @@ def test_licences(docs, spark):
     out = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert out[17]["licences"] == "MIT" and out[17]["n_sentences"] == 1 and out[0]["licences"] == ""
     s = licenses.SENTENCES
-    wrapped = (s["mit-grant"][:80] + "\n" + s["mit-grant"][80:]).replace(" ", "  ", 3)
+    wrapped = s["mit-grant"].replace(" ", "  ", 3).replace(" copy ", "\ncopy ")
     texts = [(1, f"{wrapped}. Other. {s['mit-notice']}: yes.\n{s['mit-asis']}."), (2, f"{s['mit-asis']}. {s['mit-grant']}."), (3, "a license.")]
     found = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
-    assert found[2] == "" and found[3] == ""
+    assert found == {1: "MIT", 2: "", 3: ""}
+    own = licenses.scan(spark.createDataFrame([(1, "Yours. Do as you like! Bye."), (2, "a 1.0 b\n1.0")], "doc_id bigint, text string"), {"like": "do as you like", "no": "1 0"}, [("Own", ["like"]), ("One", ["no"])])
+    assert {r["doc_id"]: (r["licences"], r["sentence_ids"]) for r in own.collect()} == {1: ("Own", "like"), 2: ("One", "no")}
 
 
 GPL = """This program is free software{0} you can redistribute it and/or modify
@@ -476,6 +540,46 @@ def test_verbatim_notices(spark):
     assert found == {d: NOTICES[d // 10][0] for d, _ in texts}
 
 
+def test_license_tags_and_families(spark):
+    """Tag lines in comments of several languages; notices of the lesser and the network licences, and of three clauses."""
+    lesser = GPL.replace("General Public", "Lesser General Public").replace("This program", "This library")
+    tags = [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0-or-later"), ("BSD", "BSD-2-Clause"), ("EPL-2.0", "EPL-2.0")]
+    shapes = ("// SPDX-License-Identifier: {}", "/* SPDX-License-Identifier: {} */\nint x;", "#!/bin/sh\n# SPDX-License-Identifier:  {}\n\necho a.", " * SPDX-License-Identifier: {}\r\n */")
+    cases = [(name, shape.format(tag)) for name, tag in tags for shape in shapes]
+    cases += [("LGPL-2.1", lesser.format(";", ";", "2.1")), ("LGPL-3.0", lesser.format(":", ",", "3")), ("AGPL-3.0", GPL.replace("General Public", "Affero General Public").format(":", ",", 3))]
+    third = "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    cases += [("BSD,BSD-3-Clause", next(t for name, t in NOTICES if name == "BSD") + third), ("", "SPDX-License-Identifier"), ("", "SPDX-License-Identifier:\nsee MIT")]
+    found = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id bigint, text string")).collect()}
+    assert found == {i: name for i, (name, _) in enumerate(cases)}
+
+
+def brute_licences(text):
+    """Identifiers by place and licences, by plain regular expressions over one text."""
+    hits = set()
+    for end in licenses.WAYS.values():
+        at = begin = 0
+        spans = [(m.start(), m.end()) for m in regex.finditer(end, text)]
+        for a, b in [*spans, (len(text), len(text))]:
+            for piece in (text[begin:a], text[a:b]):
+                plain = regex.sub(r"[^\p{L}\p{N}]+", " ", piece.lower()).strip()
+                hits |= {(at, k) for k, s in licenses.SENTENCES.items() if s == plain}
+                at += len(plain.replace(" ", ""))
+            begin = b
+    ids = [k for _, k in sorted(hits)]
+    inside = lambda rule: all(x in it for it in [iter(ids)] for x in rule)
+    return ",".join(ids), ",".join(sorted({name for name, rule in licenses.RULES if inside(rule)}))
+
+
+def test_licences_equal_brute_force(spark, sf_dir):
+    """The given documents, whole, and shuffled mixtures of the dictionary's sentences."""
+    own = random.Random(3)
+    parts = [*licenses.SENTENCES.values(), "", "other words", "# x", "1) y", "é ü"]
+    mixed = [(10**6 + i, "".join(own.choice(parts) + own.choice([". ", ".\n", "\n", "; ", "\n\n", "\n * ", ": ", " "]) for _ in range(own.randint(0, 25)))) for i in range(400)]
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(mixed, "doc_id bigint, text string"))
+    out = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licenses.scan(frame).collect()}
+    assert out == {r["doc_id"]: brute_licences(r["text"] or "") for r in frame.collect()} and sum(bool(v[1]) for v in out.values()) > 100
+
+
 def test_licences_of_both_splits(spark):
     """A licence told on a line and another wrapped over lines, and a rule of which each split sees a part."""
     line, mit = "Licensed under CC BY 4.0\nand more text without a full stop\n\n", next(t for name, t in NOTICES if name == "MIT")
