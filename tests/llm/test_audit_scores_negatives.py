@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dialoom.llm import filter_audit, hard_negatives, kneser_ney
@@ -268,15 +269,19 @@ def test_scores_match_brute_force(spark, order):
         assert sum(plain.p((*gram, w)) for w in [*plain.raw, "no such word"]) == pytest.approx(1)
 
 
-def test_small_slices_give_the_same(spark, monkeypatch):
-    rows = [(k, t, None, None, None) for k, t in enumerate(sentences(60))]
-    df = spark.createDataFrame(rows, TEXTS).repartition(1)
-    whole = sorted(kneser_ney.train_and_score(df).collect())
-    batch = next(iter(kneser_ney.word_hashes(df).select("hashes").toArrow().to_batches()))
-    monkeypatch.setattr(kneser_ney, "SLICE_TOKENS", 50)
-    cut = list(kneser_ney.slices(iter([batch]), 2))
-    assert len(cut) > 10 and sum(rows.num_rows for rows, _, _ in cut) == 60
-    assert sum(len(kneser_ney.real(t, p)) for _, t, p in cut) == sum(r["n_tokens"] for r in whole)
+def test_words_are_hashed_alike_in_any_slice(monkeypatch):
+    texts = ["", " Ab c\x0bAB", "C", "\tab ab", "é É \x00 \x00x", "x" * 300, " "]
+    batch = pa.record_batch([pa.array(texts)], names=["text"]).slice(1)
+    whole, n = kneser_ney.hashed_words(batch.column(0))
+    told = [w for t in texts for w in lowered(t)]
+    assert n.tolist() == [len(words(t)) for t in texts[1:]] and len(set(whole.tolist())) == len(set(told))
+    named = dict(zip(told, whole.tolist(), strict=True))
+    assert [named[w] for w in told] == whole.tolist()
+    monkeypatch.setattr(kneser_ney, "SLICE_TOKENS", 3)
+    monkeypatch.setattr(kneser_ney, "SLICE_BYTES", 4)
+    cut = list(kneser_ney.slices(iter([batch])))
+    assert len(cut) > 3 and sum(rows.num_rows for rows, _, _ in cut) == 6
+    assert [h for _, x, _ in cut for h in x.tolist() if h != 2] == whole.tolist() and np.concatenate([s for *_, s in cut]).tolist() == (n + 1).tolist()
 
 
 def test_scores_without_training_rows(spark):
