@@ -51,7 +51,7 @@ ORDER = 2
 #: tokens whose n-grams a task adds up, or looks up, at a time, and bytes of text that it hashes
 SLICE_TOKENS, SLICE_BYTES = 1 << 20, 1 << 21
 #: training tokens to a shard of the model
-PER_SHARD = 1 << 22
+PER_SHARD = 1 << 21
 END = np.uint64(2)
 #: fallback where too few counts of counts are there to tell discounts
 DISCOUNTS = (0.5, 1.0, 1.5)
@@ -147,14 +147,14 @@ def shard(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32)
 
 
-def added_up(context: np.ndarray, word: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams in order, and the sums of their rows of ``values``."""
+def groups(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of n-grams, where each distinct one begins in it)."""
     by = np.lexsort((word, context))
-    context, word = context[by], word[by]
-    first = np.ones(len(by), bool)
-    first[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-    at = np.flatnonzero(first)
-    return context[at], word[at], np.add.reduceat(values[by], at, axis=0) if len(by) else values
+    first = np.zeros(len(by), bool)
+    first[:1] = True
+    for x in (context[by], word[by]):
+        first[1:] |= x[1:] != x[:-1]
+    return by, np.flatnonzero(first)
 
 
 def store(path: str, columns: list[np.ndarray]) -> None:
@@ -294,7 +294,9 @@ def gram_counter(known: Vocabulary, order: int, bits: int):
             context = np.zeros(len(places), np.int64)
             for k in range(order - 1, 0, -1):
                 context = (context << known.id_bits) | ids[places - k]
-            context, word, n = added_up(context, ids[places], np.ones(len(places), np.int64))
+            word = ids[places]
+            by, at = groups(context, word)
+            context, word, n = context[by[at]], word[by[at]], np.diff(np.append(at, len(by)))
             own = shard(gram_hash(context, word), bits)
             by = np.argsort(own, kind="stable")
             yield pa.record_batch([pa.array(x[by]) for x in (own, context, word, n)], names=["shard", "context", "word", "n"])
@@ -323,10 +325,11 @@ def gram_writer(known: Vocabulary, level: int, order: int, bits: int):
                 yield batch.filter(pa.array(~here))
                 batch = batch.filter(pa.array(here)).drop_columns(["level"])
             mine.append(batch)
-        if not (columns := gathered(iter(mine))):
+        columns = gathered(iter(mine))
+        mine.clear()
+        if not columns:
             return
         places, context, word, a, *rest = columns
-        mine.clear()
         for s in np.unique(places).tolist():
             at = np.flatnonzero(places == s)
             if level > 1:
@@ -345,14 +348,25 @@ def gram_writer(known: Vocabulary, level: int, order: int, bits: int):
         yield totals(-level, [tally[3], 0, 0, 0, 0])
         if level > 1:
             a, context, word = a[given], context[given], word[given]
-            none = np.zeros(len(a), np.int64)
-            below = (context & ((1 << wide * (level - 2)) - 1)) if level > 2 else none
-            head, last = (context >> wide) if level > 2 else none, context & ((1 << wide) - 1)
+            del columns, rest, places, given
+            below = (context & ((1 << wide * (level - 2)) - 1)) if level > 2 else np.zeros(len(a), np.int64)
             # what begins with the mark of the begin has one left neighbour only: its count stands for it
-            left = np.where(below >> (wide * (level - 3)) == known.begin, a, 1) if level > 2 else none + 1
-            after = np.stack([left, none, none, none, none], axis=1)
-            before = np.stack([none, a, a == 1, a == 2, a >= 3], axis=1).astype(np.int64)
-            context, word, sums = added_up(np.concatenate((below, head)), np.concatenate((word, last)), np.concatenate((after, before)))
+            left = np.where(below >> (wide * (level - 3)) == known.begin, a, 1) if level > 2 else np.ones(len(a), np.int64)
+            by, at = groups(below, word)
+            ends = below[by[at]], word[by[at]], [np.add.reduceat(left[by], at)]
+            del below, left, word
+            head, last = context >> wide, context & ((1 << wide) - 1)
+            by, at = groups(head, last)
+            heads, a = (head[by[at]], last[by[at]]), a[by]
+            follow = [np.add.reduceat(x.astype(np.int64), at) for x in (a, a == 1, a == 2, a >= 3)]
+            del by, at, a, head, last, context
+            sums = np.zeros((len(ends[0]) + len(heads[0]), len(SUMS)), np.int64)
+            sums[: len(ends[0]), 0] = ends[2][0]
+            for k, x in enumerate(follow, 1):
+                sums[len(ends[0]) :, k] = x
+            context, word = np.concatenate((ends[0], heads[0])), np.concatenate((ends[1], heads[1]))
+            by, at = groups(context, word)
+            context, word, sums = context[by[at]], word[by[at]], np.add.reduceat(sums[by], at, axis=0)
             places = shard(gram_hash(context, word), bits) if level > 2 else known.shard_of(word)
             yield rows_of(level - 1, places, context, word, sums)
 
