@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dialoom.functions import lexicon as X
+from dialoom.operators.documents import moment
+from dialoom.sources.stored import stored
 
 SCHEMA_VERSION, ANALYSIS_VERSION = "0.2.0", "0.1.0"
 # What a payload says of a conversation, and what a result may score.
@@ -20,6 +22,7 @@ SCORES = ("relevance", "technical_depth", "clarity", "structure")
 NONE_SUMMARY = "未启用语义分析模型；仅保留可追溯的结构化问答。"
 NONE_OVERVIEW = "语义分析未启用；报告仅包含本地确定性结构结果。"
 NONE_WARNING = "No semantic model was enabled; scores and coaching were not generated."
+ASSESSED = ("summary", "scores", "strengths", "risks", "suggestions", "improved_answer", "evidence_segment_ids")
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -86,7 +89,7 @@ def payload_batches(payloads: DataFrame, most_questions: int = 12, most_chars: i
 
     A batch's JSON is as long as the payload without questions, its questions and the commas
     between them, so lengths alone are folded.  A question that fits no batch is one of its own,
-    told by n_chars above the bound: callers refuse it before any request."""
+    told by n_chars above the bound: ``refuse_oversize`` finds it."""
     if most_questions < 1 or most_chars < 1:
         raise ValueError("both bounds must be above 0")
     bare = F.length(F.to_json(F.col("payload").withField("questions", F.slice("payload.questions", 1, 0)), KEEP_NULLS))
@@ -235,20 +238,37 @@ def merged_results(checked: DataFrame, evaluated: bool) -> DataFrame:
     )
 
 
-def analyses(tree: DataFrame, statistics: DataFrame, evidence: DataFrame, analyze: Callable[[str], str] | None = None, name: str = "none", remote: bool = False, allow_remote: bool = False, redact: bool = True, terms: list[str] | None = None, answer_chars: int = 2400, most_questions: int = 12, most_chars: int = 160_000) -> DataFrame:
+def refuse_oversize(batches: DataFrame, most_chars: int) -> None:
+    """Raises where a question alone exceeds the bound, before any request is made."""
+    over = batches.filter((F.col("n_questions") == 1) & (F.col("n_chars") > most_chars)).select("conv_id", F.col("question_ids")[0].alias("question"), "n_chars").first()
+    if over:
+        raise ValueError(f"question {over['question']} of conversation {over['conv_id']} takes {over['n_chars']} characters, the bound is {most_chars}; lower answer_chars")
+
+
+def analyses(tree: DataFrame, statistics: DataFrame, evidence: DataFrame, analyze: Callable[[str], str] | None = None, name: str = "none", remote: bool = False, allow_remote: bool = False, redact: bool = True, terms: list[str] | None = None, answer_chars: int = 2400, most_questions: int = 12, most_chars: int = 160_000, model: str | None = None, endpoint: str | None = None, created_at: str | None = None) -> DataFrame:
     """The analysis document of each conversation.  Without ``analyze`` nothing is evaluated and each
-    conversation is one request.  A remote provider needs consent and redaction: refused before any job."""
+    conversation is one request.  A remote provider needs consent and redaction: refused before any job;
+    a question beyond the bound of a request: before any request.  Requests are written first and so are
+    results, so that nothing that reads the analyses calls the provider again."""
     if remote and not (allow_remote and redact):
         raise ValueError("a remote provider needs allow_remote and redact")
     whole = payloads(payload_questions(tree, terms, redact, answer_chars), statistics)
-    batches = payload_batches(whole, most_questions, most_chars) if analyze else payload_batches(whole, 1 << 30, (1 << 31) - 2)
-    found = merged_results(checked_results(provided_results(batches, analyze) if analyze else none_results(batches), batches, evidence), analyze is not None)
+    if analyze:
+        batches = stored(payload_batches(whole, most_questions, most_chars), "analysis-requests")
+        refuse_oversize(batches, most_chars)
+        results = stored(provided_results(batches, analyze), "analysis-results")
+    else:
+        batches = payload_batches(whole, 1 << 30, (1 << 31) - 2)
+        results = none_results(batches)
+    found = merged_results(checked_results(results, batches, evidence), analyze is not None)
     about = whole.select("conv_id", F.size("payload.questions").cast("long").alias("question_count"), "redaction_counts", "request_sha256")
     out = found.join(about, "conv_id")
     source = F.struct(F.lit(SCHEMA_VERSION).alias("conversation_schema_version"), "question_count", "request_count")
-    provider = F.struct(F.lit(name).alias("name"), F.lit(None).cast("string").alias("model"), F.lit(remote).alias("remote"), F.lit(None).cast("string").alias("endpoint"))
+    provider = F.struct(F.lit(name).alias("name"), F.lit(model).cast("string").alias("model"), F.lit(remote).alias("remote"), F.lit(endpoint).cast("string").alias("endpoint"))
     privacy = F.struct(
         F.lit(remote and allow_remote).alias("remote_consent"), F.lit(redact).alias("redaction_enabled"), "redaction_counts", F.lit(False).alias("sent_audio"), F.lit(False).alias("sent_full_transcript"),
         F.lit("question_tree_only").alias("payload_scope"), "request_sha256",
     )
-    return out.select("conv_id", F.lit(ANALYSIS_VERSION).alias("schema_version"), source.alias("source"), provider.alias("provider"), privacy.alias("privacy"), "overview", "questions", "review_plan", "warnings")
+    status = F.lit("evaluated" if analyze else "not_evaluated").alias("assessment_status")
+    assessed = F.transform("questions", lambda q: F.struct(q["question_id"].alias("question_id"), status, *[q[c].alias(c) for c in ASSESSED]))
+    return out.select("conv_id", F.lit(ANALYSIS_VERSION).alias("schema_version"), moment(created_at).alias("created_at"), source.alias("source"), provider.alias("provider"), privacy.alias("privacy"), "overview", assessed.alias("questions"), "review_plan", "warnings")

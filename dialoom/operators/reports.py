@@ -125,30 +125,3 @@ def analysis_report(tree: DataFrame, statistics: DataFrame, analyses: DataFrame)
         "conv_id", text_of(top, listed("优势", o["strengths"]), listed("风险", o["risks"]), listed("建议重点", o["suggested_focus"]), lines("## 问题与回答", ""), F.col("body"),
                            if_any(F.size("review_plan") > 0, F.concat(lines("## 复习计划", ""), plan, lines(""))), foot, listed("Warnings", F.col("warnings"))).alias("markdown"),
     )
-
-
-def v1_documents(segments: DataFrame, questions: DataFrame) -> DataFrame:
-    """conv_id, document: the first-version transcript, segments and questions nested in order."""
-    segment = F.struct("idx", F.struct("id", "start", "end", "speaker", F.col("v1_role").alias("role"), "text").alias("s"))
-    body = segments.groupBy("conv_id").agg(F.array_sort(F.collect_list(segment)).alias("s"), F.array_sort(F.collect_set(F.struct(F.col("speaker").alias("id"), F.col("v1_role").alias("role")))).alias("speakers"))
-    asked = questions.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in ("id", "main_question", "follow_ups", "candidate_answers", "segment_ids", "topic")]))).alias("qa"))
-    out = body.join(asked, "conv_id", "left")
-    qa = F.coalesce("qa", F.array().cast(out.schema["qa"].dataType))
-    return out.select("conv_id", F.struct(F.lit("0.1.0").alias("schema_version"), "speakers", F.transform("s", lambda x: x["s"]).alias("segments"), qa.alias("qa_pairs")).alias("document"))
-
-
-def v2_documents(roled: DataFrame, spans: DataFrame, events: DataFrame, turns: DataFrame, tree: DataFrame, flat: DataFrame, speakers: DataFrame, statistics: DataFrame) -> DataFrame:
-    """conv_id, document: the repaired conversation, all tables nested in order; every source segment stays."""
-    def nested(df: DataFrame, order: str, name: str, drop: tuple = ()) -> DataFrame:
-        kept = [c for c in df.columns if c not in ("conv_id", *drop)]
-        return df.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*kept).alias("x")))), lambda p: p["x"]).alias(name))
-
-    cleanup = F.struct("valid", "reasons", F.round("seconds", 3).alias("duration_seconds"), F.col("m").alias("meaningful_char_count"), F.round("density", 3).alias("text_density"), F.round("strength", 2).alias("question_strength"))
-    segments = roled.select("conv_id", "idx", "id", "start", "end", F.col("speaker").alias("speaker_id"), "v1_role", "role", "role_confidence", "phase", cleanup.alias("cleanup"), "text")
-    out = nested(segments, "idx", "segments", ("idx",)).join(nested(speakers, "speaker", "speakers"), "conv_id", "left")
-    for df, order, name in ((spans, "span_no", "phase_spans"), (events, "event_no", "events"), (turns, "turn_no", "turns"), (tree, "prompt_no", "question_tree"), (flat, "id", "qa_pairs")):
-        out = out.join(nested(df, order, name), "conv_id", "left")
-        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
-    out = out.join(statistics.select("conv_id", F.struct(*[c for c in statistics.columns if c != "conv_id"]).alias("statistics")), "conv_id", "left")
-    fields = ["segments", "speakers", "phase_spans", "events", "turns", "question_tree", "qa_pairs", "statistics"]
-    return out.select("conv_id", F.struct(F.lit("0.2.0").alias("schema_version"), *fields).alias("document"))

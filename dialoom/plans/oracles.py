@@ -446,8 +446,15 @@ ORACLES |= {
         h AS (SELECT conv_id, count(*) AS coding_event_count, count(*) FILTER (event_type = 'coding_silence') AS coding_silence_event_count FROM evs GROUP BY ALL), q1 AS (SELECT conv_id, count(*) AS v1_qa_count FROM v1qa GROUP BY ALL)
         SELECT g.*, coalesce(cleanup_reason_counts, '') AS cleanup_reason_counts, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("question_count", "main_question_count", "follow_up_count", "clarification_count", "topic_switch_count", "coding_event_count", "coding_silence_event_count", "v1_qa_count"))},
         coalesce(main_question_count, 0) AS qa_count FROM g LEFT JOIN rs USING (conv_id) LEFT JOIN tc USING (conv_id) LEFT JOIN h USING (conv_id) LEFT JOIN q1 USING (conv_id)""",
-    "contract_violations": "SELECT user_id AS conv_id, '' AS violation FROM events WHERE FALSE",
+    "contract_violations": f"""{BASE}, {PHASE}, {EVENT}, n AS (SELECT user_id AS conv_id, count(*) AS n FROM events GROUP BY ALL), d AS (SELECT *, conv_id % 10 AS d FROM n),
+        f AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS d, unnest(['$.schema_version', '$.segments[0].role', '$.segments[', '$.statistics', '$.segments[0].role_confidence', '$', '$.phase_spans[0].segment_ids', '$.statistics.raw_segment_count', '$.conversation_structure.method']) AS path,
+              unnest(['const', 'enum', 'minimum 0', 'type object', 'maximum 1', 'not JSON', 'uniqueItems', 'type integer', 'required']) AS rule)
+        SELECT conv_id, 'conversation' AS contract, CASE WHEN d = 2 THEN path || (n - 1) || '].end' ELSE path END AS path, rule FROM d JOIN f USING (d)
+        UNION ALL SELECT conv_id, 'analysis', '$.extra', 'not allowed' FROM d WHERE d = 9
+        UNION ALL SELECT conv_id, 'conversation', '$.events[' || (event_no - 1) || '].segment_ids', 'uniqueItems' FROM evs
+            WHERE conv_id % 10 <> 5 AND len(list_distinct(string_split(segment_ids, ','))) < len(string_split(segment_ids, ','))""",
     "none_analysis": f"""{BASE}, {ROLES}, {AN}, {ANSWER}, {TREE}, ex AS (SELECT conv_id, prompt_no, unnest(string_split(w, ',')) AS x, unnest(range(len(string_split(w, ',')))) AS k FROM (SELECT conv_id, prompt_no, t.segment_ids || coalesce(',' || a.segment_ids, '') AS w FROM tree t LEFT JOIN ans a USING (conv_id, prompt_no))),
         ey AS (SELECT conv_id, prompt_no, string_agg(x, ',' ORDER BY k) AS evidence FROM (SELECT conv_id, prompt_no, x, min(k) AS k FROM ex GROUP BY ALL) GROUP BY ALL)
         SELECT conv_id, count(*) OVER (PARTITION BY conv_id) AS question_count, CAST(prompt_no AS INT) AS place, node_id AS question_id, '未启用语义分析模型；仅保留可追溯的结构化问答。' AS summary, evidence FROM tree JOIN ey USING (conv_id, prompt_no)""",
 }
+ORACLES |= {"document_files": ORACLES["question_tree"], "raw_files": ORACLES["raw_segments"]}

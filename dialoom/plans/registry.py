@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom.functions import contracts as C
 from dialoom.functions import text as T
-from dialoom.operators import analysis, cleanup, events, phases, prompts, questions, reports, roles, summary, turns
+from dialoom.operators import analysis, cleanup, conformance, documents, events, phases, prompts, questions, reports, roles, summary, turns
 from dialoom.plans.oracles import ORACLES
 from dialoom.sources import documents as D
+from dialoom.sources import files
 from dialoom.sources import segments as S
-from dialoom.sources.stored import stored
+from dialoom.sources.stored import fresh_path, stored
+
+#: the moment that documents of registered queries bear, so that runs agree
+MOMENT = "2024-01-01T00:00:00+00:00"
 
 
 def joined(df: DataFrame, *names: str, by: str = ",") -> DataFrame:
@@ -66,7 +71,11 @@ class Talks:
         return analysis.payloads(analysis.payload_questions(self.tree), self.statistics())
 
     def analyses(self) -> DataFrame:
-        return analysis.analyses(self.tree, self.statistics(), self.evidence)
+        return analysis.analyses(self.tree, self.statistics(), self.evidence, created_at=MOMENT)
+
+    def documents(self) -> DataFrame:
+        r = self.roled
+        return documents.v2_documents(r, self.spans, self.events, turns.v2_turns(r), self.tree, questions.flat_questions(self.tree), roles.speaker_summary(r), roles.speaker_priors(r), self.statistics(), MOMENT)
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +93,10 @@ def cleanup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recogniser documents made of events, as S.from_raw reads them: blanks leave holes in idx."""
+    return S.from_raw(raw_documents(spark, sf_dir))
+
+
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.event_rows(spark, sf_dir)
     n = F.row_number().over(phases.by_conv().orderBy("ts", "event_id"))
     spk = F.when(F.col("speaker") != "speaker_unknown", F.substring("speaker", 9, 9).cast("int"))
@@ -92,7 +105,7 @@ def raw_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))), lambda p: p["x"])
     docs = rows.withColumn("n", n).groupBy("conv_id").agg(info.alias("info"))
     whole = F.struct(F.lit("").alias("text"), F.lit(None).cast("array<array<bigint>>").alias("timestamp"), F.col("info").alias("sentence_info"))
-    return S.from_raw(docs.select("conv_id", F.array(whole).alias("result")))
+    return docs.select("conv_id", F.array(whole).alias("result"))
 
 
 def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,22 +272,67 @@ def v2_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = cleaned_segments(spark, sf_dir)
-    out = reports.v1_documents(roles.with_v1_roles(cleaned), questions.v1_questions(cleaned))
+    out = documents.v1_documents(roles.with_v1_roles(cleaned), questions.v1_questions(cleaned), MOMENT)
     return out.select("conv_id", F.size("document.segments").cast("long").alias("n_segments"), F.size("document.qa_pairs").cast("long").alias("n_questions"), F.sha2(F.to_json("document"), 256).alias("document_sha256"))
 
 
 def v2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Talks(spark, sf_dir)
-    out = reports.v2_documents(t.roled, t.spans, t.events, turns.v2_turns(t.roled), t.tree, questions.flat_questions(t.tree), roles.speaker_summary(t.roled), t.statistics())
-    return out.select("conv_id", F.size("document.segments").cast("long").alias("n_segments"), F.size("document.turns").cast("long").alias("n_turns"), F.size("document.question_tree").cast("long").alias("n_nodes"), F.sha2(F.to_json("document"), 256).alias("document_sha256"))
+    out = Talks(spark, sf_dir).documents()
+    return out.select("conv_id", F.size("document.segments").cast("long").alias("n_segments"), F.size("document.turns").cast("long").alias("n_turns"), F.size("document.question_tree").cast("long").alias("n_roots"), F.sha2(F.to_json("document"), 256).alias("document_sha256"))
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the segment, event and question tables that break the contract: none."""
+    """Documents and analyses of all conversations against their contracts, with a fault planted in each
+    by the last digit of conv_id: every planted fault is found at its path, and beside those only merged
+    events that name a segment twice, as the merge makes them."""
     t = Talks(spark, sf_dir)
-    tables = (t.roled.select("conv_id", "role", "phase", "start", "end"), t.events.select("conv_id", "event_type", "phase", "start", "end"), t.tree.select("conv_id", "node_type", "relation_to_previous", "phase", "start", "end"))
-    a, b, c = (D.violations(x).select("conv_id", "violation") for x in tables)
-    return joined(a.unionByName(b).unionByName(c), "violation")
+    digit, n = F.col("conv_id") % 10, F.size("d.segments")
+    hurt = lambda x, field, value: x.withField(field, F.lit(value))
+    segment = lambda s, i: F.when((digit == 1) & (i == 0), hurt(s, "role", "judge")).when((digit == 2) & (i == n - 1), hurt(s, "end", -1.0)).when((digit == 4) & (i == 0), hurt(s, "role_confidence", 1.5)).otherwise(s)
+    span = lambda s, i: F.when((digit == 6) & (i == 0), s.withField("segment_ids", F.concat(s["segment_ids"], s["segment_ids"]))).otherwise(s)
+    rows = t.documents().withColumnRenamed("document", "d")
+    hurt_document = F.col("d").withField("segments", F.transform("d.segments", segment)).withField("phase_spans", F.transform("d.phase_spans", span))
+    text = F.to_json(hurt_document, {"ignoreNullFields": "false"})
+    put = lambda d, pattern, instead: F.when(digit == d, F.regexp_replace(text, pattern, instead))
+    spoilt = F.coalesce(
+        put(0, '"schema_version":"0.2.0"', '"schema_version":"0.9.0"'), put(3, '"statistics":[{].*[}]([}])$', '"statistics":null$1'), F.when(digit == 5, F.substring(text, 1, 100)),
+        put(7, '"raw_segment_count":[0-9]+', '"raw_segment_count":"many"'), put(8, '"method":"[a-z_]+",', ""), text,
+    )
+    texts = stored(rows.select("conv_id", F.lit("conversation").alias("contract"), spoilt.alias("document")), "talk-documents")
+    found = conformance.violations(texts, C.CONVERSATION)
+    analyses = t.analyses()
+    told = F.to_json(F.struct(*[c for c in analyses.columns if c != "conv_id"]), {"ignoreNullFields": "false"})
+    more = F.when(digit == 9, F.regexp_replace(told, "^[{]", '{"extra":1,')).otherwise(told)
+    analysed = conformance.violations(analyses.select("conv_id", F.lit("analysis").alias("contract"), more.alias("document")), C.ANALYSIS)
+    return found.unionByName(analysed)
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-version documents written, a file a conversation, read back, and their question trees."""
+    at = fresh_path(spark, "documents")
+    files.write_documents(Talks(spark, sf_dir).documents(), at, D.output_name(F.concat(F.lit("talk-"), F.col("conv_id"), F.lit(".json")), "v2"))
+    rows = files.tree_of(by_name(files.of_version(files.read_documents(spark, at), "0.2.0"))).withColumn("label", F.col("topic.label"))
+    return rows.select("conv_id", "prompt_no", "node_id", "parent_id", "node_type", "relation_to_previous", "label", "text")
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw recogniser files, their results in lists of one to three levels, written and read back as segments;
+    one in seven conversations has a truncated file beside its own, which is quarantined."""
+    at = fresh_path(spark, "raw")
+    rows = raw_documents(spark, sf_dir).select("conv_id", F.to_json("result", {"ignoreNullFields": "false"}).alias("result"))
+    deep = F.col("conv_id") % 3
+    wrapped = F.concat(F.repeat(F.lit("["), deep.cast("int")), "result", F.repeat(F.lit("]"), deep.cast("int")))
+    content = F.concat(F.lit('{"schema_version":"0.1.0","source_audio":null,"result":'), wrapped, F.lit("}"))
+    named = lambda kind: D.output_name(F.concat(F.lit(kind), F.col("conv_id"), F.lit(".16k.wav")), "raw")
+    good = rows.select(named("talk-").alias("name"), content.alias("content"))
+    bad = rows.filter("conv_id % 7 = 0").select(named("broken-").alias("name"), F.substring(content, 1, 60).alias("content"))
+    files.write_files(good.unionByName(bad), at)
+    return S.from_raw(files.raw_results(by_name(files.read_documents(spark, at))))
+
+
+def by_name(documents: DataFrame) -> DataFrame:
+    """Takes conv_id from the number in the file's name."""
+    return documents.withColumn("conv_id", F.regexp_extract("path", "-([0-9]+)[.][^/]*$", 1).cast("bigint"))
 
 
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +376,7 @@ def queries() -> dict:
     own = [
         segments, raw_segments, normalized_text, text_features, statistics, run_statistics, topic_classify, keyword_similarity, v1_roles, v1_turns, v1_qa, speaker_priors, role_scores, phase_labels, phase_spans,
         coding_silence, events_merged, role_fold, speaker_summary, v2_turns, prompt_anchors, prompt_spans, answers, question_tree, flat_qa, evidence_sets, payload_min, payload_batches, stage_signature,
-        none_analysis, provider_validate, report_markdown, v1_markdown, v2_markdown, v1_documents, v2_documents, contract_violations, redaction_counts, redacted_text, markdown_escape, inline_code, session_ids,
+        none_analysis, provider_validate, report_markdown, v1_markdown, v2_markdown, v1_documents, v2_documents, contract_violations, document_files, raw_files, redaction_counts, redacted_text, markdown_escape, inline_code, session_ids,
         dedupe_ordered, ordered_concat,
     ]
     return {f.__name__: f for f in own} | {"cleanup": cleanup_query}

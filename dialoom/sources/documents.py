@@ -1,7 +1,7 @@
-"""Documents, dictionaries and settings: what the conversation engine reads and writes as files.
+"""Dictionaries and settings, digests and names of files.
 
-Documents of a corpus are read and written by Spark; a dictionary or settings file is one small
-file, whose lines Spark reads too, so any store that Spark reaches will do.
+A dictionary or settings file is one small file, whose lines Spark reads, so any store that Spark
+reaches will do.  Conversations as files are in ``files``.
 """
 
 from __future__ import annotations
@@ -11,21 +11,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEGMENT = "struct<id:string,start:double,end:double,speaker:string,role:string,text:string>"
-QUESTION = (
-    "struct<id:string,main_question:struct<segment_ids:array<string>,text:string>,follow_ups:array<struct<id:string,segment_ids:array<string>,text:string>>,"
-    "candidate_answers:array<struct<for_question:string,segment_ids:array<string>,text:string>>,segment_ids:array<string>,topic:struct<label:string,keywords:array<string>,relation_to_previous:string>>"
-)
-V1 = f"schema_version string, source_audio string, speakers array<struct<id:string,role:string>>, segments array<{SEGMENT}>, qa_pairs array<{QUESTION}>"
 REQUIRED = ("project", "audio", "models", "inference", "knowledge", "qa")
-# The enumerations of the second-version contract.
-ENUMS = {
-    "role": ("interviewer", "candidate", "unknown"),
-    "phase": ("INTRO", "PROJECT", "TECH_QA", "BEHAVIORAL", "CODING", "CODING_DISCUSSION", "CANDIDATE_QUESTIONS", "END", "UNKNOWN"),
-    "event_type": ("coding_silence", "coding_low_speech_density", "coding_noise"),
-    "node_type": ("main_question", "follow_up", "clarification"),
-    "relation_to_previous": ("first_question", "same_topic", "topic_switch"),
-}
 
 
 def whole_file(spark: SparkSession, path: str) -> str:
@@ -71,12 +57,6 @@ def read_replacements(spark: SparkSession, path: str) -> dict[str, str]:
     return {str(k): str(v) for k, v in found.items()}
 
 
-def topic_table(spark: SparkSession, topics: dict[str, list[str]]) -> DataFrame:
-    """topics(label_pos, word_pos, label, word): a dictionary as a dimension table."""
-    rows = [(i, j, label, word) for i, (label, words) in enumerate(topics.items()) for j, word in enumerate(words)]
-    return spark.createDataFrame(rows, "label_pos int, word_pos int, label string, word string")
-
-
 def word_lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of a word list (hot words, redaction terms), trimmed, each once, without blank and # lines.
     A missing file is an error."""
@@ -90,34 +70,11 @@ def redaction_terms(spark: SparkSession, inline: list[str], path: str | None = N
     return list(dict.fromkeys(t for t in terms if t))
 
 
-def read_v1(spark: SparkSession, path: str) -> DataFrame:
-    """First-version transcripts, a JSON document a file: conv_id (a hash of the file's path), path and document."""
-    docs = spark.read.schema(V1).json(path, multiLine=True)
-    at = F.col("_metadata.file_path")
-    return docs.select(F.xxhash64(at).alias("conv_id"), at.alias("path"), F.struct("*").alias("document"))
-
-
-def segments_of(documents: DataFrame) -> DataFrame:
-    """Segments of transcripts: conv_id, idx, id, start, end, speaker, v1_role, text."""
-    rows = documents.select("conv_id", F.posexplode("document.segments").alias("pos", "s"))
-    return rows.select("conv_id", (F.col("pos") + 1).alias("idx"), "s.id", "s.start", "s.end", F.coalesce("s.speaker", F.lit("speaker_unknown")).alias("speaker"), F.coalesce("s.role", F.lit("unknown")).alias("v1_role"), "s.text")
-
-
-def segment_ids(item: Column) -> Column:
-    """Member ids of a turn, or its own id where it has none."""
-    return F.coalesce(F.when(F.size(item["segment_ids"]) > 0, item["segment_ids"]), F.array(item["id"]))
-
-
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 of each file's content."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def canonical_digest(fields: dict[str, Column]) -> Column:
-    """Digest of the compact JSON of the fields in alphabetical order, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
-
-
 def output_name(name: Column, kind: str) -> Column:
     """Names of outputs from names of inputs: raw recogniser output, structured, v2 or analysis."""
     stem = F.regexp_replace(name, r"^.*/", "")
@@ -127,22 +84,3 @@ def output_name(name: Column, kind: str) -> Column:
     if kind == "structured":
         return F.concat(bare, F.lit(".json"))
     return F.concat(F.regexp_replace(bare, r"\.v2$", ""), F.lit({"v2": ".v2.json", "analysis": ".analysis.json"}[kind]))
-
-
-def write_documents(documents: DataFrame, path: str) -> None:
-    """A JSON line a conversation, nulls kept."""
-    documents.write.option("ignoreNullFields", "false").json(path)
-
-
-def write_markdown(markdown: DataFrame, path: str, buckets: int = 64) -> None:
-    """Reports below one folder a bucket of conversations, so that folders stay few."""
-    out = markdown.select(F.pmod("conv_id", F.lit(buckets)).alias("bucket"), F.col("markdown").alias("value"))
-    out.repartition("bucket").write.partitionBy("bucket").text(path)
-
-
-def violations(df: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """Rows whose enumerated columns hold other values than the contract's: all columns and ``violation``."""
-    names = columns or {c: c for c in df.columns if c in ENUMS}
-    wrong = [F.when(~F.coalesce(F.col(c).isin(*ENUMS[e]), F.lit(False)), F.lit(c)) for c, e in names.items()]
-    ends = [F.when(F.col("end") < F.col("start"), F.lit("end"))] if {"start", "end"} <= set(df.columns) else []
-    return df.withColumn("violation", F.array_compact(F.array(*wrong, *ends))).filter(F.size("violation") > 0)

@@ -20,8 +20,6 @@ POOL = [
     ("B", "小问题"), ("B", "比如说分布式事务。"), ("B", "邮箱 a.b@example.com 手机 13800138000 地址 10.0.0.1 password=abc"), ("A", "我们采用 kafka 和 redis ， 用 http 与 https 通信。"),
 ]
 
-RAW = "conv_id bigint, result array<struct<text:string,timestamp:array<array<bigint>>,sentence_info:array<struct<text:string,start:bigint,end:bigint,spk:int,timestamp:array<array<bigint>>>>>>"
-
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that ``events`` describe, not yet numbered: conv_id, ts, event_id, start, end, speaker, text.
@@ -51,25 +49,20 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(event_rows(spark, sf_dir))
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Recogniser output as JSON documents."""
-    return spark.read.schema(RAW).json(path, multiLine=True)
-
-
 def speaker_name(raw) -> object:
     label = F.trim(raw.cast("string"))
     return F.when(label.isNull() | (label == ""), "speaker_unknown").when(label.startswith("speaker_"), label).otherwise(F.concat(F.lit("speaker_"), label))
 
 
 def from_raw(raw: DataFrame, replacements: dict[str, str] | None = None) -> DataFrame:
-    """Sentences of the first result as segments; ids count source sentences, blanks leave holes.
-    A result without sentences is one segment of its whole text."""
-    r = F.col("result")[0]
-    whole = F.array(F.struct(r["text"].alias("text"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("int").alias("spk"), r["timestamp"].alias("timestamp")))
+    """Sentences of the first result (``files.raw_results``) as segments; ids count source sentences,
+    blanks leave holes.  A result without sentences is one segment of its whole text."""
+    r, kinds = F.col("result")[0], raw.schema["result"].dataType.elementType["sentence_info"].dataType.elementType
+    whole = F.array(F.struct(r["text"].alias("text"), *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("start", "end", "spk")], r["timestamp"].alias("timestamp")))
     info = F.when(F.size(r["sentence_info"]) > 0, r["sentence_info"]).otherwise(whole)
     rows = raw.filter(F.size("result") > 0).select("conv_id", r["timestamp"].alias("ts"), F.posexplode(info).alias("pos", "s"))
     spans = F.coalesce(F.when(F.size("s.timestamp") > 0, F.col("s.timestamp")), F.when(F.size("ts") > 0, F.col("ts")))
     start = F.coalesce(F.col("s.start"), spans[0][0], F.lit(0)) / F.lit(1000.0)
     end = F.coalesce(F.col("s.end"), F.element_at(F.element_at(spans, -1), -1), F.lit(0)) / F.lit(1000.0)
-    out = rows.select("conv_id", (F.col("pos") + 1).alias("idx"), F.format_string("seg_%04d", F.col("pos") + 1).alias("id"), start.alias("start"), F.greatest(start, end).alias("end"), speaker_name(F.col("s.spk")).alias("speaker"), T.normalize_text(F.coalesce("s.text", F.lit("")), replacements).alias("text"))
+    out = rows.select("conv_id", (F.col("pos") + 1).alias("idx"), F.format_string("seg_%04d", F.col("pos") + 1).alias("id"), F.round(start, 3).alias("start"), F.round(F.greatest(start, end), 3).alias("end"), speaker_name(F.col("s.spk")).alias("speaker"), T.normalize_text(F.coalesce("s.text", F.lit("")), replacements).alias("text"))
     return out.filter("text <> ''")

@@ -14,6 +14,7 @@ from dialoom.functions import text as T
 from dialoom.operators import analysis, cleanup, phases, prompts, questions, reports, roles
 from dialoom.plans import registry
 from dialoom.sources import documents as D
+from dialoom.sources import files
 from dialoom.sources import segments as S
 
 TABLES = ("events", "conversations", "documents", "pages")
@@ -217,24 +218,19 @@ def test_sources(spark, tmp_path):
     (tmp_path / "knowledge").mkdir()
     write = lambda name, text: (tmp_path / name).write_text(text, encoding="utf-8") and str(tmp_path / name)
     topics = D.read_topics(spark, write("topics.yaml", "topics:\n  网络: [HTTP, TCP]\n  其他: [x]\n"))
-    assert topics == {"网络": ["HTTP", "TCP"], "其他": ["x"]} and D.topic_table(spark, topics).count() == 3
+    assert topics == {"网络": ["HTTP", "TCP"], "其他": ["x"]}
     assert D.read_replacements(spark, write("spell.yaml", "replacements:\n  redis: Redis\n")) == {"redis": "Redis"}
     assert D.redaction_terms(spark, ["b", " "], write("terms.txt", "# no\n a \n\nb\n")) == ["b", "a"]
     with pytest.raises(ValueError):
         D.read_settings(spark, write("settings.yaml", "project: {}\n"))
     assert D.resolved("knowledge/t.yaml", "/r", "/p", lambda p: p.startswith("/p")) == "/p/knowledge/t.yaml" and D.resolved("/abs", "/r") == "/abs"
     write("knowledge/a.json", json.dumps({"schema_version": "0.1.0", "segments": [{"id": "seg_0001", "start": 0.0, "end": 1.0, "speaker": "speaker_0", "role": "candidate", "text": "x"}], "qa_pairs": []}))
-    docs = D.read_v1(spark, str(tmp_path / "knowledge"))
-    assert [r["v1_role"] for r in D.segments_of(docs).collect()] == ["candidate"]
+    docs = files.of_version(files.read_documents(spark, str(tmp_path / "knowledge")), "0.1.0")
+    assert [r["v1_role"] for r in files.segments_of(docs).collect()] == ["candidate"]
     names = spark.createDataFrame([("a.16k.wav", "a.funasr.json", "a.v2.json")], "a string, b string, c string")
     row = names.select(D.output_name(F.col("a"), "raw"), D.output_name(F.col("b"), "structured"), D.output_name(F.col("c"), "v2"), D.output_name(F.col("c"), "analysis")).first()
     assert tuple(row) == ("a.funasr.json", "a.json", "a.v2.json", "a.analysis.json")
     assert D.file_digests(spark, str(tmp_path / "terms.txt")).first()["sha256"] == hashlib.sha256((tmp_path / "terms.txt").read_bytes()).hexdigest()
-    bad = spark.createDataFrame([("judge", "INTRO", 1.0, 0.5)], "role string, phase string, start double, end double")
-    assert D.violations(bad).first()["violation"] == ["role", "end"]
-    D.write_markdown(spark.createDataFrame([(1, "# a\nb\n")], "conv_id bigint, markdown string"), str(tmp_path / "md"))
-    D.write_documents(docs.select("conv_id", "document"), str(tmp_path / "json"))
-    assert spark.read.text(str(tmp_path / "md")).count() >= 2 and spark.read.json(str(tmp_path / "json")).count() == 1
 
 
 def test_events_equal_a_plain_walk(spark, sf_dir):
