@@ -29,66 +29,79 @@ def family(phase: Column) -> Column:
     return F.when(phase.startswith("CODING"), "CODING").when(phase.isin("PROJECT", "TECH_QA"), "INTERVIEW_QA").otherwise(phase)
 
 
-def first_where(condition: Column, value: str = "idx") -> Column:
-    """``value`` of the conversation's first row that meets the condition."""
-    return F.min(F.when(condition, F.struct("idx", F.col(value).alias("v")))).over(by_conv())["v"]
-
-
 def with_position(rows: DataFrame) -> DataFrame:
     """Adds pos, 1 and up without holes in order of idx."""
     return rows.withColumn("pos", F.row_number().over(in_order()))
 
 
-def look_back(seconds: float) -> tuple[Column, Column]:
-    """(first pos, joined text) of the unbroken run back from a row whose starts lie within
-    ``seconds`` of its end.  Reads ``near``."""
-    far = F.filter("near", lambda r: F.col("end") - r["start"] > seconds)
-    begin = F.coalesce(F.array_max(F.transform(far, lambda r: r["pos"])) + 1, F.get("near", F.lit(0))["pos"])
-    begin = F.least(begin, F.col("pos"))
-    return begin, F.concat(F.array_join(F.transform(F.filter("near", lambda r: r["pos"] >= begin), lambda r: r["text"]), ""), F.col("text"))
-
-
-def with_phases(cleaned: DataFrame) -> DataFrame:
-    """Adds ``pos`` and ``phase`` to cleaned segments (idx may have holes, starts may go back)."""
-    valid, pos = F.col("valid"), F.col("pos")
-    rows = with_position(cleaned).withColumn("duration", F.max("end").over(by_conv()))
-    # The least start from a row on never falls along the conversation, and an unbroken run back
-    # within 45 s stays within 45 s of it: a range frame holds the run, and few rows more.
-    rows = rows.withColumn("onward", F.min(F.rint(F.col("start") * 1000).cast("long")).over(in_order().rowsBetween(0, W.unboundedFollowing)))
-    frame = by_conv().orderBy("onward").rangeBetween(-45_002, 0)
-    rows = rows.withColumn("near", F.collect_list(F.struct("pos", "start", "text")).over(frame))
-    rows = rows.withColumn("near", F.array_sort(F.filter("near", lambda r: r["pos"] < pos)))
-    late, half = valid & (F.col("start") >= 120.0), valid & (F.col("start") >= F.col("duration") * 0.5)
-    for name, seconds, asked in (("45", 45.0, late), ("20", 20.0, half)):
-        begin, text = look_back(seconds)
-        rows = rows.withColumns({f"from{name}": F.when(asked, begin), f"text{name}": F.when(asked, text)})
-    rows = rows.drop("near", "onward")
-    contextual = T.matches(F.col("text45"), X.PROJECT) & T.matches(F.col("text45"), X.PROJECT_ADDRESSED) & (T.question_strength(F.col("text45")) >= 2.0)
-    asking = T.matches(F.col("text20"), X.CANDIDATE_QUESTION_CUE) & T.matches(F.col("text20"), X.CANDIDATE_QUESTION_TOPIC)
-    rows = rows.withColumns({"from45": F.when(contextual, F.col("from45")), "from20": F.when(asking, F.col("from20"))}).drop("text45", "text20")
-    rows = rows.withColumns(
+def range_minima(starts: Column) -> Column:
+    """Arrays of minima: the k-th holds, for each place, the least of the 2^k values up to it."""
+    wider = lambda low, k: F.transform(low, lambda x, i: F.least(x, F.coalesce(F.get(low, i - F.pow(F.lit(2), k - 1).cast("int")), x)))
+    turns = F.ceil(F.log2(F.size(starts) + F.lit(1))).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), turns), F.array(starts), lambda made, k: F.array_append(made, wider(F.get(made, k - 1), k)))
+
+
+def run_begin(minima: Column, at: Column, end: Column, seconds: float) -> Column:
+    """The place where the unbroken run back from place ``at`` begins whose starts lie within ``seconds`` of
+    ``end``: binary lifting, by the longest step first that meets no earlier start."""
+    steps = F.sequence(F.size(minima) - 1, F.lit(0))
+    stays = lambda j, k: (j >= 0) & ~(end - F.get(F.get(minima, k), j) > seconds)
+    before = F.aggregate(steps, at - 1, lambda j, k: F.when(stays(j, k), j - F.pow(F.lit(2), k).cast("int")).otherwise(j))
+    return F.greatest(before, F.lit(-1)) + 1
+
+
+def phase_cues(cleaned: DataFrame) -> DataFrame:
+    """conv_id and the positions where its phases may begin: p0 (project), c0 (coding), q0 (candidate's
+    questions), e0 (end), leave (introduction over).  One row a conversation, from one array of it, in
+    n log n steps however its starts are ordered."""
+    flags = ("project_prompt", "coding_strong", "asks_first", "closing", "behavioral")
+    talks = cleaned.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", "valid", "text", *flags))).alias("r"))
+    talks = talks.withColumn("duration", F.array_max(F.transform("r", lambda x: x["end"]))).withColumn("minima", range_minima(F.transform("r", lambda x: x["start"])))
+    late = lambda x: x["valid"] & (x["start"] >= 120.0)
+    half = lambda x: x["valid"] & (x["start"] >= F.col("duration") * 0.5)
+    contextual = lambda t: T.matches(t, X.PROJECT) & T.matches(t, X.PROJECT_ADDRESSED) & (T.question_strength(t) >= 2.0)
+    asking = lambda t: T.matches(t, X.CANDIDATE_QUESTION_CUE) & T.matches(t, X.CANDIDATE_QUESTION_TOPIC)
+
+    def first_run(asked, seconds: float, fits) -> Column:
+        """Where the first run begins, of those back from the rows asked, whose joined text fits."""
+        runs = F.filter(F.transform("r", lambda x, i: F.when(asked(x), F.struct(i.alias("i"), run_begin(F.col("minima"), i, x["end"], seconds).alias("b")))), lambda y: y.isNotNull())
+        told = F.transform(runs, lambda y: F.struct((y["b"] + 1).alias("pos"), F.array_join(F.transform(F.slice("r", y["b"] + 1, y["i"] - y["b"] + 1), lambda x: x["text"]), "").alias("text")))
+        return F.get(F.filter(told, lambda y: fits(y["text"])), F.lit(0))["pos"]
+
+    first = lambda cue: F.array_min(F.transform("r", lambda x, i: F.when(cue(x), i + 1)))
+    cues = talks.withColumns(
         {
-            "p0": F.least(first_where(valid & (F.col("start") >= 45.0) & F.col("project_prompt"), "pos"), first_where(F.col("from45").isNotNull(), "from45")),
-            "c0": first_where(valid & (F.col("start") >= 120.0) & F.col("coding_strong"), "pos"),
-            "q0": F.coalesce(first_where(half & F.col("asks_first"), "pos"), first_where(F.col("from20").isNotNull(), "from20")),
-            "e0": first_where(valid & (F.col("start") >= F.col("duration") * 0.65) & F.col("closing"), "pos"),
+            "p0": F.least(first(lambda x: x["valid"] & (x["start"] >= 45.0) & x["project_prompt"]), first_run(late, 45.0, contextual)),
+            "c0": first(lambda x: late(x) & x["coding_strong"]),
+            "q0": F.coalesce(first(lambda x: half(x) & x["asks_first"]), first_run(half, 20.0, asking)),
+            "e0": first(lambda x: x["valid"] & (x["start"] >= F.col("duration") * 0.65) & x["closing"]),
         }
-    ).drop("from45", "from20")
+    ).drop("minima", "duration")
     # A phase begins up to ten seconds before its cue: behind the last row too early for that.
     for name in ("p0", "c0"):
-        rows = rows.withColumn("at", F.max(F.when(pos == F.col(name), F.col("start"))).over(by_conv()))
-        early = F.max(F.when((pos < F.col(name)) & (F.col("start") < F.col("at") - 10.0), pos)).over(by_conv())
-        rows = rows.withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce(early + 1, F.lit(1))))
-    sticky = pos < F.least(*[F.coalesce(c, F.lit(FAR)) for c in ("c0", "q0", "e0")])
-    rows = rows.withColumn("sticky", sticky)
-    leave = F.least(F.coalesce("p0", F.lit(FAR)), F.coalesce(first_where(F.col("sticky") & (F.col("behavioral") | F.col("project_prompt")), "pos"), F.lit(FAR)))
-    rows = rows.withColumn("leave", leave)
+        cues = cues.withColumn("at", F.get("r", F.col(name) - 1)["start"])
+        cues = cues.withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce(F.array_max(F.transform("r", early_rows(name))) + 1, F.lit(1))))
+    sticky = F.least(*[F.coalesce(c, F.lit(FAR)) for c in ("c0", "q0", "e0")])
+    cues = cues.withColumn("sticky", sticky)
+    told = F.array_min(F.transform("r", lambda x, i: F.when((i + 1 < F.col("sticky")) & (x["behavioral"] | x["project_prompt"]), i + 1)))
+    return cues.select("conv_id", "c0", "q0", "e0", "sticky", F.least(F.coalesce("p0", F.lit(FAR)), F.coalesce(told, F.lit(FAR))).alias("leave"))
+
+
+def early_rows(name: str):
+    return lambda x, i: F.when((i + 1 < F.col(name)) & (x["start"] < F.col("at") - 10.0), i + 1)
+
+
+def with_phases(cleaned: DataFrame) -> DataFrame:
+    """Adds ``pos`` and ``phase`` to cleaned segments (idx may have holes, starts may go back): where a
+    conversation's phases may begin is one row of it, joined to its rows, which stay where they lie."""
+    pos = F.col("pos")
+    rows = with_position(cleaned).join(phase_cues(cleaned), "conv_id")
     tech = F.col("tech") & (F.col("strength") >= 2.5) & (pos >= F.col("leave"))
     event = F.when(F.col("behavioral"), "BEHAVIORAL").when(F.col("project_prompt"), "PROJECT").when(tech, "TECH_QA").when(pos == F.col("leave"), "PROJECT")
-    active = F.coalesce(F.last(F.when(F.col("sticky"), event), ignorenulls=True).over(so_far()), F.lit("INTRO"))
+    active = F.coalesce(F.last(F.when(pos < F.col("sticky"), event), ignorenulls=True).over(so_far()), F.lit("INTRO"))
     coding = F.when(F.col("coding_talk") & (F.col("strength") >= 2.0), "CODING_DISCUSSION").otherwise("CODING")
     phase = F.when(pos >= F.col("e0"), "END").when(pos >= F.col("q0"), "CANDIDATE_QUESTIONS").when(pos >= F.col("c0"), coding).otherwise(active)
-    return rows.withColumn("phase", phase).drop("p0", "c0", "q0", "e0", "at", "leave", "sticky", "duration")
+    return rows.withColumn("phase", phase).drop("c0", "q0", "e0", "leave", "sticky")
 
 
 def islands(df: DataFrame, start_new: Column, name: str) -> DataFrame:
