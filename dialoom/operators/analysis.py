@@ -4,15 +4,15 @@ checked, normalised and merged.  Only the question tree and six counters ever le
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dialoom.functions import lexicon as X
 from dialoom.operators.documents import moment
+from dialoom.sources.ledger import Ledger
 from dialoom.sources.stored import stored
 
 SCHEMA_VERSION, ANALYSIS_VERSION = "0.2.0", "0.1.0"
@@ -127,16 +127,13 @@ def none_results(batches: DataFrame) -> DataFrame:
     return batches.select("conv_id", "batch_no", F.to_json(result, KEEP_NULLS).alias("result"))
 
 
-def provided_results(batches: DataFrame, analyze: Callable[[str], str]) -> DataFrame:
-    """Results of a provider, a callable from payload JSON to result text, called in the tasks
-    once a batch; it must bear being called again when a task is."""
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(result=[analyze(p) for p in frame["json"]])[["conv_id", "batch_no", "result"]]
-
+def provided_results(batches: DataFrame, analyze: Callable[[str], str], provider: str = "", ledger: Ledger | None = None) -> DataFrame:
+    """Results of a provider, a callable from payload JSON to result text, called in the tasks once a
+    distinct request: requests are known by the digest of ``provider`` and their JSON, and a ledger keeps their answers."""
     asked = batches.select("conv_id", "batch_no", F.to_json("payload", KEEP_NULLS).alias("json"))
-    return asked.mapInPandas(call, "conv_id bigint, batch_no int, result string")
+    asked = asked.withColumn("digest", F.sha2(F.concat(F.lit(provider + "\n"), "json"), 256))
+    answers = (ledger or Ledger(batches.sparkSession)).ask(asked, analyze)
+    return asked.join(answers, "digest").select("conv_id", "batch_no", "result")
 
 
 def bare_json(text: Column) -> Column:
@@ -245,18 +242,18 @@ def refuse_oversize(batches: DataFrame, most_chars: int) -> None:
         raise ValueError(f"question {over['question']} of conversation {over['conv_id']} takes {over['n_chars']} characters, the bound is {most_chars}; lower answer_chars")
 
 
-def analyses(tree: DataFrame, statistics: DataFrame, evidence: DataFrame, analyze: Callable[[str], str] | None = None, name: str = "none", remote: bool = False, allow_remote: bool = False, redact: bool = True, terms: list[str] | None = None, answer_chars: int = 2400, most_questions: int = 12, most_chars: int = 160_000, model: str | None = None, endpoint: str | None = None, created_at: str | None = None) -> DataFrame:
+def analyses(tree: DataFrame, statistics: DataFrame, evidence: DataFrame, analyze: Callable[[str], str] | None = None, name: str = "none", remote: bool = False, allow_remote: bool = False, redact: bool = True, terms: list[str] | None = None, answer_chars: int = 2400, most_questions: int = 12, most_chars: int = 160_000, model: str | None = None, endpoint: str | None = None, created_at: str | None = None, ledger: Ledger | None = None) -> DataFrame:
     """The analysis document of each conversation.  Without ``analyze`` nothing is evaluated and each
     conversation is one request.  A remote provider needs consent and redaction: refused before any job;
-    a question beyond the bound of a request: before any request.  Requests are written first and so are
-    results, so that nothing that reads the analyses calls the provider again."""
+    a question beyond the bound of a request: before any request.  Requests are written first and answers
+    kept in ``ledger`` (one of the run by default), so that neither a retried task nor a reader calls again."""
     if remote and not (allow_remote and redact):
         raise ValueError("a remote provider needs allow_remote and redact")
     whole = payloads(payload_questions(tree, terms, redact, answer_chars), statistics)
     if analyze:
         batches = stored(payload_batches(whole, most_questions, most_chars), "analysis-requests")
         refuse_oversize(batches, most_chars)
-        results = stored(provided_results(batches, analyze), "analysis-results")
+        results = stored(provided_results(batches, analyze, f"{name}\n{model}\n{endpoint}", ledger), "analysis-results")
     else:
         batches = payload_batches(whole, 1 << 30, (1 << 31) - 2)
         results = none_results(batches)

@@ -15,6 +15,7 @@ from dialoom.plans import registry
 from dialoom.sources import documents as D
 from dialoom.sources import files
 from dialoom.sources import segments as S
+from dialoom.sources.ledger import Ledger
 
 rng = random.Random(3)
 
@@ -204,3 +205,47 @@ def test_oversize_questions_are_refused_before_any_request(spark, talks, tmp_pat
     with pytest.raises(ValueError, match=r"question Q\d.* of conversation \d+ takes \d+ characters, the bound is 100"):
         analysis.analyses(talks.tree, talks.statistics(), talks.evidence, ask, "own", most_chars=100)
     assert not mark.exists()
+
+
+def test_a_retried_task_calls_no_provider_twice(spark, talks, tmp_path):
+    """A task fails behind its third call; the job is run again on the same ledger, then once more."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    requests = spark.createDataFrame([(f"{k:064x}", f'{{"k": {k}}}') for k in [*range(20), 3, 3, 7]], "digest string, json string").coalesce(1)
+
+    def ask(payload, limit=3):
+        import json as J
+        import uuid
+
+        if len(list(calls.iterdir())) == limit:
+            raise RuntimeError("provider lost")
+        (calls / f"{J.loads(payload)['k']}-{uuid.uuid4().hex}").write_text("")
+        return payload.replace("k", "answer")
+
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    with pytest.raises(Exception, match="provider lost"):
+        ledger.ask(requests, ask)
+    assert len(list(calls.iterdir())) == 3 and ledger.answers().count() == 3
+    found = ledger.ask(requests, lambda p: ask(p, None))
+    assert sorted(int(p.name.split("-")[0]) for p in calls.iterdir()) == list(range(20))
+    assert {(int(r["digest"], 16), r["result"]) for r in found.collect()} == {(k, f'{{"answer": {k}}}') for k in range(20)}
+    assert Ledger(spark, str(tmp_path / "ledger")).ask(requests, lambda p: ask(p, 20)).count() == 20 and len(list(calls.iterdir())) == 20
+
+
+def test_analyses_ask_once_a_distinct_request(spark, talks, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def ask(payload):
+        import json as J
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text("")
+        return J.dumps({"overview": {"summary": "s"}, "questions": [{"question_id": q["question_id"]} for q in J.loads(payload)["questions"]]})
+
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    run = lambda: analysis.analyses(talks.tree, talks.statistics(), talks.evidence, ask, "own", most_questions=4, ledger=ledger, created_at="now")
+    first = sorted(str(r) for r in run().collect())
+    n = len(list(calls.iterdir()))
+    assert n == ledger.answers().count() > 3 and sorted(str(r) for r in run().collect()) == first and len(list(calls.iterdir())) == n
+    assert conformance.violations(run().select("conv_id", F.struct("schema_version", "created_at", "source", "provider", "privacy", "overview", "questions", "review_plan", "warnings").alias("document")), C.ANALYSIS).count() == 0
