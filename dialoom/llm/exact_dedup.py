@@ -16,18 +16,21 @@ their names; no rows give no rows.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.common import SPACE, join_bounded, materialize, text_of
-from dialoom.sources.stored import shared_dir
+from dialoom.sources.stored import fresh_path
 
 #: digests a bucket holds, about; a bucket is one task of the anti-join
 PER_BUCKET = 1_000_000
 #: batches of ascending doc_id in which a table enters the index
 BATCHES = 2
+#: ids that batches are cut by
+CUT_IDS = 1000
 
 
 def normalised():
@@ -35,34 +38,61 @@ def normalised():
 
 
 class DigestIndex:
-    """A table of (digest, keep_id) in the shared folder, bucketed and sorted by digest.  It lasts
-    until ``drop``; under the same name a later job goes on with it."""
+    """A table of (digest, keep_id) below ``path``, bucketed and sorted by digest.  The path alone says what
+    the index is: beside the data lie its number of buckets and type of ids, so a later job, of whatever
+    catalogue, opens it and goes on.  Nothing that lies there is ever written over; ``drop`` deletes it."""
 
-    def __init__(self, spark, name: str | None = None, buckets: int | None = None):
+    def __init__(self, spark, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        self.path = (path or fresh_path(spark, "digest-index")).rstrip("/")
+        self.name = "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        """Whether an index lies at the path; if so, this session's catalogue knows it from now on."""
+        about = self.about()
+        if about is None:
+            return False
+        self.buckets = about["buckets"]
+        self.declare(about["kind"])
+        return True
+
+    def about(self):
+        try:
+            return self.spark.read.schema("buckets int, kind string").json(f"{self.path}/about").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def declare(self, kind: str) -> None:
+        location = f"{self.path}/data".replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {kind}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{location}'")
+        self.spark.catalog.refreshTable(self.name)  # another job may have appended
 
     def append(self, batch: DataFrame) -> None:
         """Adds rows of ``batch`` (digest, keep_id; digests distinct) whose digest is new, by a sort-merge
         anti-join with the buckets.  The first batch, which must be materialised, sets their number."""
-        new = batch
+        new = batch.select("digest", "keep_id")
         if self.exists():
-            new = batch.hint("merge").join(self.spark.table(self.name), "digest", "left_anti")
-            self.buckets = self.buckets or int(self.spark.sql(f"DESCRIBE EXTENDED {self.name}").filter("col_name = 'Num Buckets'").first()["data_type"])
-        self.buckets = self.buckets or max(16, -(-batch.count() // PER_BUCKET))
+            new = new.hint("merge").join(self.spark.table(self.name), "digest", "left_anti")
+        else:
+            self.buckets = self.buckets or max(16, -(-batch.count() // PER_BUCKET))
+            kind = batch.schema["keep_id"].dataType.simpleString()
+            self.spark.createDataFrame([(self.buckets, kind)], "buckets int, kind string").coalesce(1).write.mode("error").json(f"{self.path}/about")
+            self.declare(kind)
         writer = new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet")
-        if not self.exists():
-            writer = writer.option("path", f"{shared_dir(self.spark)}/{self.name}")
         writer.saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
+        if not self.exists():
+            raise ValueError(f"no index at {self.path}")
         return self.spark.table(self.name)
 
     def drop(self) -> None:
+        """Deletes the index and its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -72,14 +102,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def batches_of(rows: DataFrame, n: int) -> list[DataFrame]:
-    """``rows`` in ``n`` ranges of ascending doc_id of about equal size, nulls last."""
-    at = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
-    if not at:
+    """``rows`` in ``n`` ranges of ascending doc_id, nulls last.  Cuts come from ``CUT_IDS`` ids of least hash, so
+    ids may be of any type that has an order; they settle the sizes of batches, never the result."""
+    ids = rows.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CUT_IDS)
+    ids = ids.agg(F.array_sort(F.collect_list("doc_id")).alias("s"))
+    at = ids.select(*[F.get("s", F.floor(F.size("s") * (k / n)).cast("int")).alias(f"cut{k}") for k in range(1, n)]).first() if n > 1 else None
+    if not at or at[0] is None:
         return [rows]
-    place = F.col("doc_id").isNull().cast("int") * len(at)
-    for cut in sorted(set(at)):
+    cuts = sorted(set(at))
+    place = F.col("doc_id").isNull().cast("int") * len(cuts)
+    for cut in cuts:
         place = place + F.when(F.col("doc_id") > F.lit(cut), 1).otherwise(0)
-    return [rows.filter(F.least(place, F.lit(len(at))) == k) for k in range(len(at) + 1)]
+    return [rows.filter(F.least(place, F.lit(len(cuts))) == k) for k in range(len(cuts) + 1)]
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
