@@ -40,12 +40,24 @@ def with_v1_roles(cleaned: DataFrame, least_score: int = 1) -> DataFrame:
 
 
 def rounded(c: Column, places: int) -> Column:
-    return F.floor(c * 10**places + 0.5) / float(10**places)
+    """Rounded to the nearer decimal as the exact value of the binary number decides, half-way cases to the
+    even one: twice the scaled number is split into a product and that product's error, both exact."""
+    k = float(2 * 10**places)
+
+    def of(x: Column) -> Column:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        product = x * k
+        low, error = F.floor(product / 2), (high * k - product) + (x - high) * k
+        over = product - (2 * low + 1)
+        up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
+        return (low + F.when(up, 1).otherwise(0)) / float(10**places)
+
+    return F.get(F.transform(F.array(c), of), F.lit(0))  # the number is computed once
 
 
 def with_priors(cleaned: DataFrame) -> DataFrame:
     """Adds p_interviewer and p_candidate of the row's speaker, from the speaker's valid rows
-    (null without any), rounded half up to four places; sums are of whole numbers."""
+    (null without any), rounded to four places; sums are of whole numbers."""
     s, one = F.col("strength"), lambda c: F.when(c, 1).otherwise(0)
     sums = {
         "_asked": F.when(s >= 2.5, F.round(F.least(s, F.lit(5.0)) * 10).cast("long")).otherwise(0), "_controls": one(F.col("control")), "_chars": F.col("m"),

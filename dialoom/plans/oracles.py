@@ -45,123 +45,15 @@ cl AS (SELECT *, concat_ws('|', CASE WHEN m = 0 THEN 'pure_or_repeated_punctuati
 clean AS (SELECT *, reasons = '' AS valid FROM cl)"""
 
 
-def strength(text: str, bare: str, m: str, word: str) -> str:
-    return f"""CAST(CASE WHEN {rx(text, X.QUESTION_MARK)} THEN 2.0 ELSE 0 END + CASE WHEN {rx(text, X.INTERVIEWER_CONTROL)} THEN 2.0 ELSE 0 END
-        + CASE WHEN {rx(bare, START_RE2)} AND {word} THEN 1.5 ELSE 0 END + CASE WHEN {rx(bare, X.QUESTION_END)} THEN 1.5 ELSE 0 END
-        + CASE WHEN {word} THEN CASE WHEN {m} <= 30 THEN 1.0 ELSE 0.2 END ELSE 0 END AS DOUBLE)"""
-
-
-def has(reason: str) -> str:
-    return f"CAST(count(*) FILTER (contains(reasons, '{reason}')) AS BIGINT)"
-
-
-TOPIC_ROWS = ", ".join(f"({k}, {j}, {quote(label)}, {quote(w)})" for k, (label, ws) in enumerate(X.TOPICS.items()) for j, w in enumerate(ws))
-ORACLES = {
-    "segments": f"WITH {SEG} SELECT * FROM seg",
-    "text_features": f"""WITH {SEG}, {FEAT} SELECT conv_id, idx, CAST(len(regexp_extract_all(text, '{X.MEANINGFUL}')) AS INT) AS m, v1_score,
-        bare IN ({", ".join(map(quote, X.ACKNOWLEDGEMENTS))}) OR {rx("bare", X.ACKNOWLEDGEMENT)} AS ack, strength,
-        format('{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS stamp
-        FROM (SELECT *, CAST("start" * 1000 AS BIGINT) AS ms FROM feat)""",
-    "cleanup": f"WITH {SEG}, {FEAT}, {CLEAN} SELECT conv_id, idx, m, strength, reasons, valid FROM clean",
-    "statistics": f"""WITH {SEG}, {FEAT}, {CLEAN} SELECT conv_id, count(*) AS segment_count, CAST(count(*) FILTER (valid) AS BIGINT) AS valid_count,
-        CAST(count(*) FILTER (NOT valid) AS BIGINT) AS invalid_count, CAST(count(*) FILTER (speaker = 'speaker_unknown') AS BIGINT) AS unknown_speaker_count,
-        {has("pure_or")} AS n_punctuation, {has("repetitive_noise")} AS n_noise, {has("low_text_density")} AS n_sparse, {has("very_little")} AS n_little,
-        max("end") AS duration, CAST(sum(m) AS BIGINT) AS meaningful_chars FROM clean GROUP BY conv_id""",
-    "topic_classify": f"""WITH {SEG}, dict(p, j, label, word) AS (VALUES {TOPIC_ROWS}),
-        hit AS (SELECT conv_id, idx, p, label, count(*) AS n, string_agg(word, '|' ORDER BY j) AS keywords FROM seg JOIN dict ON contains(lower(text), lower(word)) GROUP BY ALL),
-        best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id, idx ORDER BY n DESC, p) = 1)
-        SELECT conv_id, idx, coalesce(label, '{X.UNCLASSIFIED}') AS label, coalesce(keywords, '') AS keywords FROM seg LEFT JOIN best USING (conv_id, idx)""",
-    "v1_roles": f"""WITH {SEG}, {FEAT}, s AS (SELECT conv_id, speaker, CAST(sum(v1_score) AS BIGINT) AS score FROM feat WHERE speaker <> 'speaker_unknown' GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, speaker) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY speaker) AS a,
-        max(score) OVER (PARTITION BY conv_id) AS top, count(*) OVER (PARTITION BY conv_id) AS n FROM s)
-        SELECT conv_id, speaker, score, CASE WHEN (CASE WHEN top >= 1 OR n = 1 THEN b ELSE a END) = 1 THEN 'interviewer' ELSE 'candidate' END AS role FROM r""",
-    "v1_turns": f"""WITH {SEG}, a AS (SELECT *, coalesce(CAST(speaker <> lag(speaker) OVER w AS INT), 1) AS same FROM seg WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
-        b AS (SELECT *, sum(same) OVER (PARTITION BY conv_id ORDER BY idx) AS run FROM a),
-        c AS (SELECT *, coalesce(CAST("start" - max("end") OVER (PARTITION BY conv_id, run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > CAST(0.8 AS DOUBLE) AS INT), 1) AS fresh FROM b),
-        d AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY idx) AS BIGINT) AS turn_no FROM c)
-        SELECT conv_id, turn_no, any_value(speaker) AS speaker, arg_min("start", idx) AS "start", max("end") AS "end", string_agg(id, ',' ORDER BY idx) AS segment_ids, string_agg(text, '' ORDER BY idx) AS text FROM d GROUP BY conv_id, turn_no""",
-    "speaker_priors": f"""WITH {SEG}, {FEAT}, {CLEAN},
-        s AS (SELECT conv_id, speaker, sum(CASE WHEN strength >= 2.5 THEN CAST(round(least(strength, 5.0) * 10) AS BIGINT) ELSE 0 END) AS asked,
-        count(*) FILTER ({rx("text", X.INTERVIEWER_CONTROL)}) AS controls, sum(m) AS chars, count(*) FILTER ({rx("text", X.CANDIDATE_EVIDENCE)}) AS evidence, count(*) FILTER (m >= 60) AS lng
-        FROM clean WHERE valid GROUP BY ALL),
-        t AS (SELECT *, CAST(1.0 AS DOUBLE) + CAST(asked AS DOUBLE) * CAST(0.15 AS DOUBLE) + CAST(3.0 AS DOUBLE) * controls AS i0, CAST(1.0 AS DOUBLE) + CAST(chars AS DOUBLE) / CAST(45.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * evidence + CAST(2.0 AS DOUBLE) * lng AS c0 FROM s),
-        u AS (SELECT *, i0 / sum(i0) OVER (PARTITION BY conv_id) AS i, c0 / sum(c0) OVER (PARTITION BY conv_id) AS c FROM t),
-        v AS (SELECT *, i + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - c) AS si, c + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - i) AS sc FROM u)
-        SELECT conv_id, speaker, floor(si / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS interviewer, floor(sc / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS candidate FROM v""",
-    "markdown_escape": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\'),
-        '([`*_\[\]])', '\\\1', 'g'), '\r\n|\r|\n', '<br>', 'g') AS text FROM conversations""",
-    "ordered_concat": "SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
-}
-
-# Phases: walks back as self-joins, sticky labels as a last value over events.
-PHASE = f"""
-tx AS (SELECT a.conv_id, a.idx, a.secs, a.w, string_agg(c.text, '' ORDER BY c.idx) AS text FROM (
-        SELECT a.conv_id, a.idx, k.secs, coalesce(max(b.idx) FILTER (a."end" - b."start" > k.secs) + 1, 1) AS w
-        FROM (SELECT *, max("end") OVER (PARTITION BY conv_id) AS duration FROM clean) a JOIN (VALUES (CAST(45 AS DOUBLE)), (CAST(20 AS DOUBLE))) k(secs) ON a.valid AND CASE WHEN k.secs = 45 THEN a."start" >= 120 ELSE a."start" >= duration * CAST(0.5 AS DOUBLE) END
-        LEFT JOIN clean b ON b.conv_id = a.conv_id AND b.idx < a.idx GROUP BY ALL) a
-        JOIN clean c ON c.conv_id = a.conv_id AND c.idx BETWEEN a.w AND a.idx GROUP BY ALL),
-tf AS (SELECT *, regexp_replace(text, '\\s+', '', 'g') AS bare, len(regexp_extract_all(regexp_replace(text, '\\s+', '', 'g'), '{X.MEANINGFUL}')) AS m FROM tx),
-tk AS (SELECT *, CASE WHEN secs = 45 THEN {rx("text", X.PROJECT)} AND {rx("text", X.PROJECT_ADDRESSED)} AND {strength("text", "bare", "m", rx("bare", X.QUESTION_WORD))} >= 2
-        ELSE {rx("text", X.CANDIDATE_QUESTION_CUE)} AND {rx("text", X.CANDIDATE_QUESTION_TOPIC)} END AS good FROM tf),
-ctx AS (SELECT conv_id, arg_min(w, idx) FILTER (secs = 45 AND good) AS w45, arg_min(w, idx) FILTER (secs = 20 AND good) AS w20 FROM tk GROUP BY conv_id),
-pd AS (SELECT *, max("end") OVER (PARTITION BY conv_id) AS duration FROM clean),
-cue AS (SELECT conv_id, min(idx) FILTER (valid AND "start" >= 45 AND {rx("text", X.PROJECT_PROMPT)}) AS p, min(idx) FILTER (valid AND "start" >= 120 AND {rx("text", X.CODING_STRONG)}) AS c,
-        min(idx) FILTER (valid AND "start" >= duration * CAST(0.5 AS DOUBLE) AND {rx("text", X.CANDIDATE_QUESTION_START)}) AS q,
-        min(idx) FILTER (valid AND "start" >= duration * CAST(0.65 AS DOUBLE) AND {rx("text", X.END)}) AS e FROM pd GROUP BY conv_id),
-cu2 AS (SELECT cue.conv_id, least(p, w45) AS p, c, coalesce(q, w20) AS q, e FROM cue LEFT JOIN ctx USING (conv_id)),
-bk AS (SELECT u.conv_id, any_value(u.p) AS p1, any_value(u.c) AS c1, any_value(u.q) AS q0, any_value(u.e) AS e0,
-        max(s.idx) FILTER (s.idx < u.p AND s."start" < ap."start" - 10) AS pe, max(s.idx) FILTER (s.idx < u.c AND s."start" < ac."start" - 10) AS ce
-        FROM cu2 u LEFT JOIN clean ap ON ap.conv_id = u.conv_id AND ap.idx = u.p LEFT JOIN clean ac ON ac.conv_id = u.conv_id AND ac.idx = u.c JOIN clean s ON s.conv_id = u.conv_id GROUP BY u.conv_id),
-st AS (SELECT conv_id, CASE WHEN p1 IS NOT NULL THEN coalesce(pe + 1, 1) END AS p0, CASE WHEN c1 IS NOT NULL THEN coalesce(ce + 1, 1) END AS c0, q0, e0 FROM bk),
-sk AS (SELECT clean.*, p0, c0, q0, e0, idx < least(coalesce(c0, 1 << 30), coalesce(q0, 1 << 30), coalesce(e0, 1 << 30)) AS sticky, {rx("text", X.BEHAVIORAL)} AS beh, {rx("text", X.PROJECT_PROMPT)} AS pp FROM clean JOIN st USING (conv_id)),
-lv AS (SELECT *, least(coalesce(p0, 1 << 30), coalesce(min(idx) FILTER (sticky AND (beh OR pp)) OVER (PARTITION BY conv_id), 1 << 30)) AS leave FROM sk),
-ev0 AS (SELECT *, CASE WHEN NOT sticky THEN NULL WHEN beh THEN 'BEHAVIORAL' WHEN pp THEN 'PROJECT' WHEN {rx("text", X.TECH)} AND strength >= 2.5 AND idx >= leave THEN 'TECH_QA' WHEN idx = leave THEN 'PROJECT' END AS event FROM lv),
-ph0 AS (SELECT *, CASE WHEN idx >= e0 THEN 'END' WHEN idx >= q0 THEN 'CANDIDATE_QUESTIONS' WHEN idx >= c0 THEN CASE WHEN {rx("text", X.CODING_DISCUSSION)} AND strength >= 2 THEN 'CODING_DISCUSSION' ELSE 'CODING' END
-        ELSE coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 'INTRO') END AS phase FROM ev0),
-ph AS (SELECT *, CASE WHEN phase LIKE 'CODING%' THEN 'CODING' WHEN phase IN ('PROJECT', 'TECH_QA') THEN 'INTERVIEW_QA' ELSE phase END AS family FROM ph0)"""
-PRIOR = ORACLES["speaker_priors"].split("WITH ", 1)[1].split("s AS (SELECT conv_id, speaker", 1)[1].rsplit("SELECT conv_id, speaker, floor", 1)
-PRIORS = "s AS (SELECT conv_id, speaker" + PRIOR[0].rstrip() + ",\nprior AS (SELECT conv_id, speaker, floor" + PRIOR[1] + ")"
-ROLES = f"""{PHASE}, {PRIORS},
-fe0 AS (SELECT ph.*, coalesce(prior.interviewer, 0.5) AS pi, coalesce(prior.candidate, 0.5) AS pc, strength >= 2.5 AS asks, phase = 'CANDIDATE_QUESTIONS' AS own, {rx("text", X.CANDIDATE_EVIDENCE)} AS evidence,
-        lag(ph.speaker) OVER v AS bs, lag("end") OVER v AS be, {rx("text", X.QUESTION_MARK)} AS marked, {rx("text", X.DIRECT_ADDRESS)} AS direct
-        FROM ph LEFT JOIN prior ON prior.conv_id = ph.conv_id AND prior.speaker = ph.speaker WINDOW v AS (PARTITION BY ph.conv_id, valid ORDER BY idx)),
-fe AS (SELECT *, CAST(CASE WHEN asks THEN strength + CASE WHEN {rx("text", X.INTERVIEWER_CONTROL)} THEN 1.5 ELSE 0 END ELSE 0 END AS DOUBLE) + 2.0 * pi AS base_i,
-        CAST(CASE WHEN evidence THEN 3 ELSE 0 END + CASE WHEN m >= 30 THEN 1 ELSE 0 END + CASE WHEN m >= 80 THEN 1 ELSE 0 END + CASE WHEN {rx("text", X.AFFIRMATIVE_START)} THEN 1 ELSE 0 END AS DOUBLE) + 2.0 * pc AS base_c,
-        CASE WHEN asks AND NOT marked AND NOT direct THEN CAST(2 AS DOUBLE) ELSE 0 END AS echo, abs(pi - pc) AS gap, coalesce(speaker = bs AND "start" - be <= 1.0, FALSE) AS goes FROM fe0),
-fold(conv_id, idx, expected, asker, last, role, sure) AS (
-    SELECT DISTINCT conv_id, 0, '', '', '', 'unknown', CAST(0 AS DOUBLE) FROM fe
-    UNION ALL
-    SELECT conv_id, idx, CASE WHEN NOT asked THEN expected WHEN role = 'interviewer' THEN 'candidate' ELSE 'interviewer' END, CASE WHEN asked THEN speaker ELSE asker END, CASE WHEN valid THEN role ELSE last END,
-        role, CASE WHEN NOT valid THEN 0 WHEN unsure THEN CAST(0.45 AS DOUBLE) ELSE floor(least(CAST(0.98 AS DOUBLE), CAST(0.54 AS DOUBLE) + abs(i - c) * CAST(0.09 AS DOUBLE) + gap * CAST(0.15 AS DOUBLE)) * 100 + CAST(0.5 AS DOUBLE)) / 100 END
-    FROM (SELECT *, valid AND asks AND (role = 'interviewer' OR role = 'candidate' AND own) AS asked FROM (SELECT *, CASE WHEN NOT valid OR unsure THEN 'unknown' WHEN i > c THEN 'interviewer' ELSE 'candidate' END AS role
-    FROM (SELECT *, greatest(i, c) < 0.75 OR (abs(i - c) < 0.2 AND gap < 0.08) AS unsure
-    FROM (SELECT *, base_i - CASE WHEN own AND asks THEN 1 ELSE 0 END + (CASE WHEN owed AND expected = 'interviewer' THEN CAST(1.25 AS DOUBLE) ELSE 0 END + CASE WHEN goes AND last = 'interviewer' THEN CAST(0.4 AS DOUBLE) ELSE 0 END) AS i,
-        base_c + CASE WHEN expected = 'candidate' THEN echo ELSE 0 END + CASE WHEN own AND asks THEN 4 ELSE 0 END + (CASE WHEN owed AND expected = 'candidate' THEN CAST(1.25 AS DOUBLE) ELSE 0 END + CASE WHEN goes AND last = 'candidate' THEN CAST(0.4 AS DOUBLE) ELSE 0 END) AS c
-    FROM (SELECT fe.conv_id, fe.idx, expected, asker, last, speaker, valid, asks, own, base_i, base_c, echo, goes, gap, expected <> '' AND NOT asks AND (speaker <> asker OR evidence OR m >= 35) AS owed
-        FROM fold JOIN fe ON fe.conv_id = fold.conv_id AND fe.idx = fold.idx + 1)))))),
-ro AS (SELECT fe.*, role, sure FROM fe JOIN fold USING (conv_id, idx))"""
-TURNS = f"""
-tv AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS k FROM ro WHERE valid),
-tn(conv_id, k, no, role, family, "end") AS (
-    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, '', '', CAST(0 AS DOUBLE) FROM tv
-    UNION ALL
-    SELECT conv_id, k, no + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN trole ELSE role END, CASE WHEN joins THEN tfamily ELSE family END, CASE WHEN joins THEN greatest("end", tend) ELSE "end" END
-    FROM (SELECT tv.conv_id, tv.k, tn.no, tn.role AS trole, tn.family AS tfamily, tn."end" AS tend, tv.role, tv.family, tv."end",
-        tn.no > 0 AND tn.family = tv.family AND tv."start" - tn."end" <= CAST(1.2 AS DOUBLE) AND ((tn.role = tv.role AND tv.role <> 'unknown') OR (tv.role = 'unknown' AND tn.role <> 'unknown' AND tv."start" - tn."end" <= CAST(0.7 AS DOUBLE) AND strength < 2)) AS joins
-        FROM tn JOIN tv ON tv.conv_id = tn.conv_id AND tv.k = tn.k + 1))"""
-
-
-AN = f"""
-ch AS (SELECT conv_id, idx, unnest(regexp_extract_all(lower(text), '{X.MEANINGFUL}')) AS c FROM feat),
-dom AS (SELECT conv_id, idx, max(n) AS top FROM (SELECT conv_id, idx, c, count(*) AS n FROM ch GROUP BY ALL) GROUP BY ALL),
-pos AS (SELECT conv_id, idx, text, unnest(range(1, length(text) - 3)) AS i FROM feat WHERE length(text) >= 5),
-run AS (SELECT DISTINCT conv_id, idx FROM pos WHERE substr(text, i, 5) = repeat(substr(text, i, 1), 5) AND NOT regexp_matches(substr(text, i, 1), '[\\s，。！？、,.!?]')),
-c0 AS (SELECT feat.*, m / greatest(seconds, CAST(0.001 AS DOUBLE)) AS density, m >= 8 AND (run.idx IS NOT NULL OR top / m >= 0.68) AS noise, seconds <= 8 AND strength >= 2 AS short
-        FROM feat LEFT JOIN dom USING (conv_id, idx) LEFT JOIN run USING (conv_id, idx)),
-cl AS (SELECT *, concat_ws('|', CASE WHEN m = 0 THEN 'pure_or_repeated_punctuation' END, CASE WHEN m > 0 AND noise THEN 'repetitive_noise_transcription' END,
-        CASE WHEN m > 0 AND NOT short AND seconds >= 25 AND density < 0.5 THEN 'long_duration_low_text_density'
-             WHEN m > 0 AND NOT short AND seconds >= 12 AND m <= 5 THEN 'long_duration_very_little_text' END) AS reasons FROM c0),
-clean AS (SELECT *, reasons = '' AS valid FROM cl)"""
+def half_even(x: str, places: int) -> str:
+    """``x`` rounded to the nearer decimal, as the exact value of the binary number decides: its double
+    product with 2 * 10^places and that product's error, half-way cases to the even one."""
+    k = f"CAST({2 * 10**places} AS DOUBLE)"
+    high = f"(({x}) * CAST(134217729 AS DOUBLE) - (({x}) * CAST(134217729 AS DOUBLE) - ({x})))"
+    product = f"(({x}) * {k})"
+    over = f"({product} - (2 * floor({product} / 2) + 1))"
+    error = f"(({high} * {k} - {product}) + (({x}) - {high}) * {k})"
+    return f"(floor({product} / 2) + CASE WHEN {over} > 0 OR ({over} = 0 AND ({error} > 0 OR ({error} = 0 AND floor({product} / 2) % 2 = 1))) THEN 1 ELSE 0 END) / {10**places}"
 
 
 def strength(text: str, bare: str, m: str, word: str) -> str:
@@ -206,7 +98,7 @@ ORACLES = {
         t AS (SELECT *, CAST(1.0 AS DOUBLE) + CAST(asked AS DOUBLE) * CAST(0.15 AS DOUBLE) + CAST(3.0 AS DOUBLE) * controls AS i0, CAST(1.0 AS DOUBLE) + CAST(chars AS DOUBLE) / CAST(45.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * evidence + CAST(2.0 AS DOUBLE) * lng AS c0 FROM s),
         u AS (SELECT *, i0 / sum(i0) OVER (PARTITION BY conv_id) AS i, c0 / sum(c0) OVER (PARTITION BY conv_id) AS c FROM t),
         v AS (SELECT *, i + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - c) AS si, c + greatest(CAST(0 AS DOUBLE), CAST(0.5 AS DOUBLE) - i) AS sc FROM u)
-        SELECT conv_id, speaker, floor(si / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS interviewer, floor(sc / (si + sc) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS candidate FROM v""",
+        SELECT conv_id, speaker, {half_even("si / (si + sc)", 4)} AS interviewer, {half_even("sc / (si + sc)", 4)} AS candidate FROM v""",
     "markdown_escape": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\'),
         '([`*_\[\]])', '\\\1', 'g'), '\r\n|\r|\n', '<br>', 'g') AS text FROM conversations""",
     "ordered_concat": "SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
@@ -238,8 +130,8 @@ ev0 AS (SELECT *, CASE WHEN NOT sticky THEN NULL WHEN beh THEN 'BEHAVIORAL' WHEN
 ph0 AS (SELECT *, CASE WHEN idx >= e0 THEN 'END' WHEN idx >= q0 THEN 'CANDIDATE_QUESTIONS' WHEN idx >= c0 THEN CASE WHEN {rx("text", X.CODING_DISCUSSION)} AND strength >= 2 THEN 'CODING_DISCUSSION' ELSE 'CODING' END
         ELSE coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 'INTRO') END AS phase FROM ev0),
 ph AS (SELECT *, CASE WHEN phase LIKE 'CODING%' THEN 'CODING' WHEN phase IN ('PROJECT', 'TECH_QA') THEN 'INTERVIEW_QA' ELSE phase END AS family FROM ph0)"""
-PRIOR = ORACLES["speaker_priors"].split("WITH ", 1)[1].split("s AS (SELECT conv_id, speaker", 1)[1].rsplit("SELECT conv_id, speaker, floor", 1)
-PRIORS = "s AS (SELECT conv_id, speaker" + PRIOR[0].rstrip() + ",\nprior AS (SELECT conv_id, speaker, floor" + PRIOR[1] + ")"
+PRIOR = ORACLES["speaker_priors"].split("WITH ", 1)[1].split("s AS (SELECT conv_id, speaker", 1)[1].rsplit("SELECT conv_id, speaker, (floor", 1)
+PRIORS = "s AS (SELECT conv_id, speaker" + PRIOR[0].rstrip() + ",\nprior AS (SELECT conv_id, speaker, (floor" + PRIOR[1] + ")"
 ROLES = f"""{PHASE}, {PRIORS},
 fe0 AS (SELECT ph.*, coalesce(prior.interviewer, 0.5) AS pi, coalesce(prior.candidate, 0.5) AS pc, strength >= 2.5 AS asks, phase = 'CANDIDATE_QUESTIONS' AS own, {rx("text", X.CANDIDATE_EVIDENCE)} AS evidence,
         lag(ph.speaker) OVER v AS bs, lag("end") OVER v AS be, {rx("text", X.QUESTION_MARK)} AS marked, {rx("text", X.DIRECT_ADDRESS)} AS direct
@@ -251,7 +143,7 @@ fold(conv_id, idx, expected, asker, last, role, sure) AS (
     SELECT DISTINCT conv_id, 0, '', '', '', 'unknown', CAST(0 AS DOUBLE) FROM fe
     UNION ALL
     SELECT conv_id, idx, CASE WHEN NOT asked THEN expected WHEN role = 'interviewer' THEN 'candidate' ELSE 'interviewer' END, CASE WHEN asked THEN speaker ELSE asker END, CASE WHEN valid THEN role ELSE last END,
-        role, CASE WHEN NOT valid THEN 0 WHEN unsure THEN CAST(0.45 AS DOUBLE) ELSE floor(least(CAST(0.98 AS DOUBLE), CAST(0.54 AS DOUBLE) + abs(i - c) * CAST(0.09 AS DOUBLE) + gap * CAST(0.15 AS DOUBLE)) * 100 + CAST(0.5 AS DOUBLE)) / 100 END
+        role, CASE WHEN NOT valid THEN 0 WHEN unsure THEN CAST(0.45 AS DOUBLE) ELSE {half_even("least(CAST(0.98 AS DOUBLE), CAST(0.54 AS DOUBLE) + abs(i - c) * CAST(0.09 AS DOUBLE) + gap * CAST(0.15 AS DOUBLE))", 2)} END
     FROM (SELECT *, valid AND asks AND (role = 'interviewer' OR role = 'candidate' AND own) AS asked FROM (SELECT *, CASE WHEN NOT valid OR unsure THEN 'unknown' WHEN i > c THEN 'interviewer' ELSE 'candidate' END AS role
     FROM (SELECT *, greatest(i, c) < 0.75 OR (abs(i - c) < 0.2 AND gap < 0.08) AS unsure
     FROM (SELECT *, base_i - CASE WHEN own AND asks THEN 1 ELSE 0 END + (CASE WHEN owed AND expected = 'interviewer' THEN CAST(1.25 AS DOUBLE) ELSE 0 END + CASE WHEN goes AND last = 'interviewer' THEN CAST(0.4 AS DOUBLE) ELSE 0 END) AS i,
@@ -270,11 +162,6 @@ tn(conv_id, k, no, role, family, "end") AS (
         FROM tn JOIN tv ON tv.conv_id = tn.conv_id AND tv.k = tn.k + 1))"""
 
 
-def firsts(name: str, order: str) -> str:
-    """Distinct values of a list of (order, value) rows in order of their first, as text."""
-    return f"list_reduce(list_prepend('', list_distinct_in_order), (a, b) -> a)" if False else f"(SELECT 1)"
-
-
 AN = f"""
 an0 AS (SELECT *, {rx("bare", X.ACKNOWLEDGEMENT)} OR bare IN ({", ".join(map(quote, X.ACKNOWLEDGEMENTS))}) AS ack, {rx("text", X.ADMIN)} AS admin, {rx("text", X.RESPONSE_START)} AS response,
         coalesce(lag({rx("text", X.EXAMPLE_CUE)}) OVER (PARTITION BY conv_id ORDER BY idx), FALSE) AND NOT direct AS vetoed,
@@ -299,7 +186,7 @@ sp5 AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY idx) AS BI
 pm AS (SELECT DISTINCT sp5.conv_id, prompt_no, m.idx, m.id, m.speaker, m.text FROM sp5 JOIN an m ON m.conv_id = sp5.conv_id AND m.idx BETWEEN lo AND hi),
 pmt AS (SELECT conv_id, prompt_no, string_agg(id, ',' ORDER BY idx) AS segment_ids, string_agg(text, '' ORDER BY idx) AS text FROM pm GROUP BY ALL),
 pms AS (SELECT conv_id, prompt_no, string_agg(speaker, ',' ORDER BY i) AS speaker_ids FROM (SELECT conv_id, prompt_no, speaker, min(idx) AS i FROM pm GROUP BY ALL) GROUP BY ALL),
-pr0 AS (SELECT conv_id, prompt_no, arg_min(s0, idx) AS "start", max(s1) AS "end", arg_min(asked_by, idx) AS asked_by, floor(greatest(CAST(0.55 AS DOUBLE), arg_min(most, idx)) * 100 + CAST(0.5 AS DOUBLE)) / 100 AS role_confidence,
+pr0 AS (SELECT conv_id, prompt_no, arg_min(s0, idx) AS "start", max(s1) AS "end", arg_min(asked_by, idx) AS asked_by, {half_even("greatest(CAST(0.55 AS DOUBLE), arg_min(most, idx))", 2)} AS role_confidence,
         arg_min(phase, idx) AS phase, arg_min(family, idx) AS family FROM sp5 GROUP BY ALL),
 pr AS (SELECT pr0.*, text, segment_ids, speaker_ids, lead("start") OVER (PARTITION BY conv_id ORDER BY prompt_no) AS next FROM pr0 JOIN pmt USING (conv_id, prompt_no) JOIN pms USING (conv_id, prompt_no))"""
 ANSWER = f"""
@@ -308,7 +195,7 @@ am AS (SELECT pr.conv_id, pr.prompt_no, s.* EXCLUDE (conv_id) FROM pr JOIN an s
 as_ AS (SELECT conv_id, prompt_no, string_agg(speaker, ',' ORDER BY i) AS speaker_ids FROM (SELECT conv_id, prompt_no, speaker, min(idx) AS i FROM am GROUP BY ALL) GROUP BY ALL),
 aw AS (SELECT am.conv_id, am.prompt_no, CASE WHEN any_value(pr.asked_by) = 'interviewer' THEN 'candidate' ELSE 'interviewer' END AS role, list(sure ORDER BY idx) AS sures, arg_min(am."start", idx) AS "start", arg_max(am."end", idx) AS "end",
         string_agg(id, ',' ORDER BY idx) AS segment_ids, string_agg(am.text, '' ORDER BY idx) AS text FROM am JOIN pr USING (conv_id, prompt_no) GROUP BY ALL),
-ans AS (SELECT aw.* EXCLUDE (sures), floor(list_aggregate(sures, 'sum') / len(sures) * 100 + CAST(0.5 AS DOUBLE)) / 100 AS role_confidence, speaker_ids FROM aw JOIN as_ USING (conv_id, prompt_no))"""
+ans AS (SELECT aw.* EXCLUDE (sures), {half_even("list_aggregate(sures, 'sum') / len(sures)", 2)} AS role_confidence, speaker_ids FROM aw JOIN as_ USING (conv_id, prompt_no))"""
 WORDS = "[" + ", ".join("{'p': %d, 'label': %s, 'words': [%s]}" % (k, quote(label), ", ".join(map(quote, ws))) for k, (label, ws) in enumerate(X.TOPICS.items())) + "]"
 
 
@@ -424,11 +311,11 @@ ORACLES |= {
     "role_scores": f"{BASE}, {ROLES} SELECT conv_id, idx, pi AS p_interviewer, pc AS p_candidate, base_i, base_c FROM fe",
     "role_fold": f"{BASE}, {ROLES} SELECT conv_id, idx, role, sure AS role_confidence FROM ro",
     "speaker_summary": f"""{BASE}, {ROLES} SELECT ro.conv_id, ro.speaker, CASE WHEN any_value(interviewer) IS NULL THEN 'unknown' WHEN any_value(interviewer) >= any_value(candidate) THEN 'interviewer' ELSE 'candidate' END AS dominant_role,
-        coalesce(floor(greatest(any_value(interviewer), any_value(candidate)) * 100 + CAST(0.5 AS DOUBLE)) / 100, 0) AS role_confidence,
+        coalesce({half_even("greatest(any_value(interviewer), any_value(candidate))", 2)}, 0) AS role_confidence,
         count(*) FILTER (valid AND role = 'interviewer') AS n_interviewer, count(*) FILTER (valid AND role = 'candidate') AS n_candidate, count(*) FILTER (valid AND role = 'unknown') AS n_unknown
         FROM ro LEFT JOIN prior ON prior.conv_id = ro.conv_id AND prior.speaker = ro.speaker GROUP BY ro.conv_id, ro.speaker""",
     "v2_turns": f"""{BASE}, {ROLES}, {TURNS}, tm AS (SELECT tv.*, no FROM tv JOIN tn USING (conv_id, k)), ts AS (SELECT conv_id, no, string_agg(speaker, ',' ORDER BY i) AS speaker_ids FROM (SELECT conv_id, no, speaker, min(idx) AS i FROM tm GROUP BY ALL) GROUP BY ALL)
-        SELECT conv_id, no AS turn_no, arg_min("start", idx) AS "start", max("end") AS "end", any_value(speaker_ids) AS speaker_ids, arg_min(role, idx) AS role, floor(min(sure) * 100 + CAST(0.5 AS DOUBLE)) / 100 AS role_confidence, arg_min(phase, idx) AS phase,
+        SELECT conv_id, no AS turn_no, arg_min("start", idx) AS "start", max("end") AS "end", any_value(speaker_ids) AS speaker_ids, arg_min(role, idx) AS role, {half_even("min(sure)", 2)} AS role_confidence, arg_min(phase, idx) AS phase,
         string_agg(text, '' ORDER BY idx) AS text, string_agg(id, ',' ORDER BY idx) AS segment_ids FROM tm JOIN ts USING (conv_id, no) GROUP BY conv_id, no""",
     "prompt_anchors": f"{BASE}, {ROLES}, {AN} SELECT conv_id, idx, asked_by FROM an WHERE anchor",
     "prompt_spans": f'{BASE}, {ROLES}, {AN} SELECT conv_id, prompt_no, "start", "end", speaker_ids, asked_by, role_confidence, phase, text, segment_ids FROM pr',

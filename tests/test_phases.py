@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.operators import cleanup, phases
+from dialoom.operators import cleanup, phases, roles
 from dialoom.sources import segments as S
 
 SEGMENTS = "conv_id bigint, idx bigint, id string, start double, end double, speaker string, text string"
@@ -66,3 +66,13 @@ def test_no_rows_and_no_valid_rows(spark):
     assert empty.count() == 0
     noise = phases.with_phases(cleanup.annotate(spark.createDataFrame([(1, 1, "a", 0.0, 1.0, "s", "。，，。"), (2, 1, "a", 500.0, 400.0, "s", "")], SEGMENTS)))
     assert {r["phase"] for r in noise.collect()} == {"INTRO"}
+
+
+def test_rounding_equals_the_languages_own(spark):
+    """Random values, decimal half-way cases (mostly not half-way in binary) and binary ones (to even)."""
+    rng = random.Random(8)
+    values = [rng.random() for _ in range(3000)] + [k / 1000 + 0.0005 * (k % 2) for k in range(1000)] + [k / 200 for k in range(201)] + [k / 64 for k in range(65)] + [0.0, 1.0, 0.5, 12.345, 2.675, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (2, 4):
+        got = [r[0] for r in df.select(roles.rounded(F.col("x"), places)).collect()]
+        assert got == [None if v is None else round(v, places) for v in values]
