@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dialoom.functions import lexicon as X
+from dialoom.functions.folds import folded
 from dialoom.operators.documents import moment
 from dialoom.sources.ledger import Ledger
 from dialoom.sources.stored import stored
@@ -102,7 +103,7 @@ def payload_batches(payloads: DataFrame, most_questions: int = 12, most_chars: i
         no, chars = now["no"] + F.when(opens, 1).otherwise(0), F.when(opens, F.col("bare") + size).otherwise(more)
         return F.struct(no.alias("no"), F.when(opens, 1).otherwise(now["n"] + 1).alias("n"), chars.alias("chars"), F.array_append(now["out"], F.struct(no.alias("no"), chars.alias("chars"))).alias("out"))
 
-    rows = rows.withColumn("place", F.aggregate("sizes", begin, step)["out"])
+    rows = rows.withColumn("place", folded("sizes", begin, step))
     alone = F.array(F.struct(F.lit(1).alias("no"), F.col("bare").alias("chars")))
     numbers = F.when(F.size("place") == 0, alone).otherwise(F.col("place"))
     each = rows.select("conv_id", "payload", F.posexplode(numbers).alias("at", "p")).groupBy("conv_id", F.col("p.no").alias("batch_no")).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.functions import lexicon as X
+from dialoom.functions.folds import folded
 from dialoom.functions import text as T
 from dialoom.operators.phases import by_conv
 from dialoom.operators.roles import v1_turns, with_v1_roles
@@ -50,7 +51,7 @@ def question_tree(prompts: DataFrame, topics: dict[str, list[str]] | None = None
 
         return F.transform(F.array(kind), placed)[0]
 
-    talks = talks.withColumn("found", F.aggregate("rows", begin, step)["out"])
+    talks = talks.withColumn("found", folded("rows", begin, step))
     each = talks.select("conv_id", F.explode(F.transform("rows", lambda row, k: F.struct(row["prompt_no"].alias("prompt_no"), row["r"].alias("r"), F.get(F.col("found"), k).alias("f")))).alias("p"))
     root = F.concat(F.lit("Q"), F.col("p.f.root_no"))
     child = F.col("p.f.child_no")
@@ -112,7 +113,7 @@ def v1_questions(cleaned: DataFrame, similar: float = 0.25, topics: dict[str, li
         told = F.struct(now["item"].alias("item"), now["prompt"].alias("prompt"), now["asked"].alias("asked"), F.array_append(now["out"], F.struct(now["item"].alias("item"), now["prompt"].alias("prompt"))).alias("out"))
         return F.when(row["asks"], F.transform(F.transform(F.array(T.topic(now["asked"], topics)), decided), asked)[0]).otherwise(told)
 
-    talks = talks.withColumn("found", F.aggregate("rows", begin, step)["out"])
+    talks = talks.withColumn("found", folded("rows", begin, step))
     each = talks.select("conv_id", F.explode(F.transform("rows", lambda row, k: F.struct(F.get(F.col("found"), k).alias("f"), row.alias("r")))).alias("p"))
     each = each.select("conv_id", F.col("p.f.item").alias("item"), F.col("p.f.prompt").alias("prompt"), "p.r.*").filter("item > 0")
     # Turns to prompts, with the text asked and the answers joined; prompts to items.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from dialoom.functions.folds import folded
 from dialoom.operators.phases import by_conv, in_order
 
 ROLES = ("interviewer", "candidate")
@@ -144,7 +145,7 @@ def with_roles(phased: DataFrame) -> DataFrame:
         skipped = F.struct(state["expected"].alias("expected"), state["asker"].alias("asker"), state["last"].alias("last"), F.array_append(state["out"], unknown).alias("out"))
         return F.when(e["valid"], F.transform(F.transform(scored, from_scores), onward)[0]).otherwise(skipped)
 
-    talks = talks.withColumn("found", F.aggregate("rows", begin, step)["out"])
+    talks = talks.withColumn("found", folded("rows", begin, step))
     pairs = F.transform("rows", lambda row, k: F.struct(row["r"].alias("r"), F.get(F.col("found"), k).alias("f")))
     out = talks.select("conv_id", F.explode(pairs).alias("p"))
     return out.select("conv_id", "p.r.*", F.col("p.f.role").alias("role"), F.col("p.f.sure").alias("role_confidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.functions.folds import folded
 from dialoom.operators.phases import family
 from dialoom.operators.roles import rounded
 
@@ -35,7 +36,7 @@ def v2_turns(roled: DataFrame, gap: float = 1.2, unknown_gap: float = 0.7) -> Da
 
         return F.transform(F.array(joins), numbered)[0]
 
-    talks = talks.withColumn("nos", F.aggregate("rows", begin, step)["out"])
+    talks = talks.withColumn("nos", folded("rows", begin, step))
     each = talks.select("conv_id", F.explode(F.arrays_zip("nos", "rows")).alias("p")).select("conv_id", F.col("p.nos").alias("turn_no"), F.col("p.rows").alias("r"))
     found = each.groupBy("conv_id", "turn_no").agg(F.array_sort(F.collect_list("r")).alias("m"), F.max("r.end").alias("end"), F.min("r.role_confidence").alias("sure"))
     of = lambda field: F.transform("m", lambda x: x[field])
