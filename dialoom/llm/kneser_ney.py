@@ -20,7 +20,7 @@ p(w | context) = (a - D(a)) / T + g * p(w | shorter context), down to 1 / (V + 1
 training lacks share one class, and all classes sum to one in every context.
 
 The order is a parameter, 2 by default: at 3 the shuffle of counts and the model would take
-more than four times the size of the input, for some 70 % of the trigrams occur once.
+more than four times the size of the input, for two thirds of the trigrams are distinct.
 
 Edge cases: null text is empty (an end alone); a null doc_id counts as empty text for the
 crc, so it trains; repeated rows count and are scored each; no training text gives a vocabulary
