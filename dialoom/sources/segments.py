@@ -20,6 +20,9 @@ POOL = [
     ("B", "小问题"), ("B", "比如说分布式事务。"), ("B", "邮箱 a.b@example.com 手机 13800138000 地址 10.0.0.1 password=abc"), ("A", "我们采用 kafka 和 redis ， 用 http 与 https 通信。"),
 ]
 
+#: raw documents as columns, as ``from_raw`` takes them
+RAW = "conv_id bigint, result array<struct<text:string,timestamp:array<array<bigint>>,sentence_info:array<struct<text:string,start:bigint,end:bigint,spk:int,timestamp:array<array<bigint>>>>>>"
+
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that ``events`` describe, not yet numbered: conv_id, ts, event_id, start, end, speaker, text.
