@@ -35,8 +35,9 @@ def with_spans(anchored: DataFrame, longest: float = 8.0, gap: float = 1.2, back
     """Adds to anchors ``members``, the segments of their span, from one before to some after.
 
     The run after an anchor ends before the first row that stops it, and with the first row that
-    bears a question mark.  Rows within ``longest`` seconds are the frame: the greatest start so
-    far never falls along a conversation and passes the anchor's by ``longest`` at most."""
+    bears a question mark.  What stops any run (an anchor, an invalid or responding row, a pause, another
+    family) parts the rows, so a frame lies between two such rows, whatever the starts; in it, rows within
+    ``longest`` seconds: the greatest start so far never falls and passes the anchor's by that at most."""
     me = F.struct("pos", "id", "speaker", "text", "role_confidence", "start", "end")
     rows = anchored.withColumns(
         {
@@ -44,12 +45,14 @@ def with_spans(anchored: DataFrame, longest: float = 8.0, gap: float = 1.2, back
             "_before": F.lag(F.struct(me.alias("me"), "valid", "anchor", "family", "role", "response", "end")).over(in_order()),
         }
     )
-    rows = rows.withColumns({"_me": me, "_look": F.struct("pos", "anchor", "valid", "family", "role", "role_confidence", "speaker", "end", "response", "marked", "_wait", me.alias("me"))})
-    frame = by_conv().orderBy("_reach").rangeBetween(0, int(longest * 1000) + 2)
+    rows = rows.withColumns({"_me": me, "_look": F.struct("pos", "role", "role_confidence", "speaker", "end", "marked", me.alias("me"))})
+    cut = F.col("anchor") | ~F.col("valid") | (F.col("_wait") > gap) | F.col("response") | (F.col("family") != F.lag("family").over(in_order()))
+    rows = rows.withColumn("_part", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("_part", F.sum("_part").over(so_far()))
+    frame = W.partitionBy("conv_id", "_part").orderBy("_reach").rangeBetween(0, int(longest * 1000) + 2)
     rows = rows.withColumn("_after", F.when(F.col("anchor"), F.array_sort(F.filter(F.collect_list("_look").over(frame), lambda x: x["pos"] > F.col("pos")))))
     stops = F.filter(
         "_after",
-        lambda x: x["anchor"] | ~x["valid"] | (x["family"] != F.col("family")) | (x["_wait"] > gap) | (x["end"] - F.col("start") > longest) | x["response"]
+        lambda x: (x["end"] - F.col("start") > longest)
         | ((x["role"] != F.col("asked_by")) & (x["role_confidence"] >= 0.6) & (x["speaker"] != F.col("speaker"))),
     )
     last = F.when(F.col("marked"), F.col("pos")).otherwise(
@@ -62,7 +65,7 @@ def with_spans(anchored: DataFrame, longest: float = 8.0, gap: float = 1.2, back
     joins = b["valid"] & ~b["anchor"] & (b["family"] == F.col("family")) & (F.col("start") - b["end"] <= back_gap) & (b["role"] == F.col("asked_by")) & ~b["response"]
     rows = rows.withColumns({"_last": last, "_back": F.when(joins, F.array(b["me"])).otherwise(F.array().cast(rows.select(F.array("_me")).schema[0].dataType))})
     members = F.concat("_back", F.array("_me"), F.transform(F.filter("_after", lambda x: x["pos"] <= F.col("_last")), lambda x: x["me"]))
-    return rows.withColumn("members", F.when(F.col("anchor"), members)).drop("_reach", "_wait", "_before", "_me", "_look", "_after", "_last", "_back")
+    return rows.withColumn("members", F.when(F.col("anchor"), members)).drop("_reach", "_part", "_wait", "_before", "_me", "_look", "_after", "_last", "_back")
 
 
 def with_prompt_numbers(spanned: DataFrame, gap: float = 0.5) -> DataFrame:
