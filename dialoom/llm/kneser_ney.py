@@ -50,7 +50,7 @@ from dialoom.sources.stored import shared_dir
 ORDER = 2
 #: tokens whose n-grams a task adds up, or looks up, at a time, and bytes of text that it hashes
 SLICE_TOKENS, SLICE_BYTES = 1 << 20, 1 << 21
-#: training tokens to a shard of the model
+#: training tokens to a shard of the model, at most about
 PER_SHARD = 1 << 21
 END = np.uint64(2)
 #: fallback where too few counts of counts are there to tell discounts
@@ -446,7 +446,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     folder = local_folder(shared_dir(texts.sparkSession)) + f"/kneser-ney-{uuid.uuid4().hex}"
     os.makedirs(folder)
     known = count_words(texts, folder)
-    bits = max(0, -(-known.tokens // PER_SHARD) - 1).bit_length()
+    bits = max(known.bits, max(0, -(-known.tokens // PER_SHARD) - 1).bit_length())  # as many shards as partitions at least
     if (order - 1) * known.id_bits > 63:
         raise ValueError(f"contexts of {order - 1} of {known.words} words exceed 63 bits")
     if not known.tokens:
