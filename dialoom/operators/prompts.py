@@ -1,8 +1,8 @@
 """Prompts and their answers: anchors, spans around them, merged spans, as-of joined answers.
 
 Every step is a window or a grouping within conversations, on the exchange that numbered the
-segments: spans take their members from range frames, and an answer's segments find their
-prompt by one sort in time, where the reference's kind of search would pair all with all.
+segments: spans take their members from range frames, and an answer's segments meet their
+prompts by ranks in time, never all with all.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from dialoom.operators.phases import by_conv, family, in_order, so_far
+from dialoom.operators.intervals import FROM, KEPT, POINT, UNTIL, entry, points_within
+from dialoom.operators.phases import family, in_order, so_far
 from dialoom.operators.roles import rounded
 
 
@@ -88,22 +89,32 @@ def prompts_with_answers(roled: DataFrame) -> DataFrame:
     phase, family, text, segment_ids, new flags of its text, and ``answer`` (null: none) as
     role, role_confidence, start, end, speaker_ids, segment_ids, text.
 
-    A segment answers the last prompt that starts by its start, if that prompt has ended by then
-    and the segment is none of its own.  Segments must come in order of their starts."""
+    A segment answers the prompts that have ended by its start and whose successor starts after it,
+    save those it is part of; starts may come in any order and prompts may overlap, so it
+    may answer several."""
     rows = with_prompt_numbers(with_spans(with_anchors(roled)))
     fits = F.col("valid") & (F.col("phase") != "END") & ~F.col("ack") & ~F.col("admin")
     seg = F.struct("pos", "id", "speaker", "text", "role_confidence", "start", "end")
-    anchor = F.struct("pos", F.col("prompt_no").alias("no"), F.col("p_start").alias("start"), F.col("p_end").alias("end"), "members", "asked_by", "phase", "family")
-    as_prompt = F.when(F.col("anchor"), F.struct(F.col("p_start").alias("at"), F.lit(0).alias("kind"), anchor.alias("p"), F.lit(None).cast(rows.select(seg).schema[0].dataType).alias("s")))
-    as_segment = F.when(fits, F.struct(F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.select(anchor).schema[0].dataType).alias("p"), seg.alias("s")))
-    each = rows.select("conv_id", F.explode(F.array_compact(F.array(as_prompt, as_segment))).alias("x")).select("conv_id", "x.*")
-    in_time = by_conv().orderBy("at", "kind", F.coalesce("p.pos", "s.pos")).rowsBetween(W.unboundedPreceding, 0)
-    each = each.withColumn("asked", F.last(F.when(F.col("p").isNotNull(), F.struct("p.no", "p.end")), ignorenulls=True).over(in_time))
-    each = each.withColumn("s", F.when(F.col("s.start") >= F.col("asked.end"), F.col("s"))).filter("p is not null or s is not null")
-    found = each.groupBy("conv_id", F.col("asked.no").alias("prompt_no")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("p.members")))).alias("m"), F.array_sort(F.collect_list("s")).alias("a"),
-        F.min_by(F.struct("p.start", "p.end", "p.asked_by", "p.phase", "p.family", F.array_max(F.transform("p.members", lambda x: x["role_confidence"])).alias("sure")), "p.pos").alias("p"),
+    anchor = F.struct("pos", F.col("p_start").alias("start"), F.col("p_end").alias("end"), "members", "asked_by", "phase", "family")
+    shapes = rows.select(seg, anchor).schema
+    item = lambda s=None, p=None: F.struct(*[(F.lit(None).cast(shapes[k].dataType) if x is None else x).alias("sp"[k]) for k, x in enumerate((s, p))])
+    rows = rows.withColumn("_first", F.col("anchor") & ~F.col("prompt_no").eqNullSafe(F.last("prompt_no", ignorenulls=True).over(so_far(-1))))
+    no, none = F.col("prompt_no"), F.lit(None)
+    entries = F.array(
+        F.when(fits, entry(POINT, F.col("pos"), F.col("start"), item(s=seg))),
+        F.when(F.col("anchor"), entry(KEPT, no, none, item(p=anchor))),
+        F.when(F.col("_first"), entry(FROM, no, F.col("p_end"), item())),
+        # A prompt's first row ends the one before; the last prompt ends never.
+        F.when(F.col("_first"), entry(UNTIL, no - 1, F.col("p_start"), item())),
+        F.when(F.col("_first"), entry(UNTIL, no, F.lit(float("inf")), item())),
     )
+    each = points_within(rows.select("conv_id", F.array_compact(entries).alias("entries")))
+    found = each.select("conv_id", F.col("no").alias("prompt_no"), F.transform("items", lambda x: x["s"]).alias("s"), F.transform("kept", lambda x: x["p"]).alias("p"))
+    found = found.groupBy("conv_id", "prompt_no").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("a"), F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    first = F.get("p", F.lit(0))
+    members = F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["members"]))))
+    sure = F.array_max(F.transform(first["members"], lambda x: x["role_confidence"]))
+    found = found.select("conv_id", "prompt_no", members.alias("m"), "a", F.struct(first["start"].alias("start"), first["end"].alias("end"), first["asked_by"].alias("asked_by"), first["phase"].alias("phase"), first["family"].alias("family"), sure.alias("sure")).alias("p"))
     found = found.withColumn("a", F.filter("a", lambda x: ~F.exists("m", lambda y: y["pos"] == x["pos"])))
     of = lambda c, field: F.transform(c, lambda x: x[field])
     mean = F.aggregate(of("a", "role_confidence"), F.lit(0.0), lambda t, x: t + x) / F.size("a")
