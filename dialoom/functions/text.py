@@ -60,12 +60,21 @@ def dominant_count(chars: Column) -> Column:
 
 def normalize_text(text: Column, replacements: dict[str, str] | None = None) -> Column:
     """Collapse white space, apply spellings longest first, drop spaces before punctuation."""
-    out = F.regexp_replace(text, r"(?U)\s+", " ")
+    out = one_spaced(text)
     for key in sorted(replacements if replacements is not None else X.REPLACEMENTS, key=len, reverse=True):
         value = (replacements or X.REPLACEMENTS)[key].replace("\\", "\\\\").replace("$", "\\$")
         quoted = "\\Q" + key + "\\E"
         out = F.regexp_replace(out, f"(?i)(?<![A-Za-z0-9]){quoted}(?![A-Za-z0-9])" if key.isascii() else quoted, value)
-    return stripped(F.regexp_replace(out, r"(?U)\s+([，。！？；：、,.!?;:])", "$1"))
+    return closed_up(out)
+
+
+def one_spaced(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+", " ")
+
+
+def closed_up(text: Column) -> Column:
+    """Without white space around it and before punctuation."""
+    return stripped(F.regexp_replace(text, r"(?U)\s+([，。！？；：、,.!?;:])", "$1"))
 
 
 def format_timestamp(seconds: Column) -> Column:

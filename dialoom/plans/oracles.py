@@ -78,6 +78,11 @@ ORACLES = {
         CAST(count(*) FILTER (NOT valid) AS BIGINT) AS invalid_count, CAST(count(*) FILTER (speaker = 'speaker_unknown') AS BIGINT) AS unknown_speaker_count,
         {has("pure_or")} AS n_punctuation, {has("repetitive_noise")} AS n_noise, {has("low_text_density")} AS n_sparse, {has("very_little")} AS n_little,
         max("end") AS duration, CAST(sum(m) AS BIGINT) AS meaningful_chars FROM clean GROUP BY conv_id""",
+    "dictionary_topics": f"""WITH dict AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\n.,;:!?]+'), lambda x: length(x) >= 5) AS all_w,
+            list_filter(all_w, lambda x, i: list_position(all_w, x) = i) AS w FROM benchmark)),
+        hit AS (SELECT doc_id, item_id, count(*) AS n, string_agg(word, '|' ORDER BY pos) AS keywords FROM documents JOIN dict ON contains(lower(text), lower(word)) GROUP BY ALL),
+        best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) = 1)
+        SELECT doc_id, coalesce('item_' || item_id, '{X.UNCLASSIFIED}') AS label, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN best USING (doc_id)""",
     "topic_classify": f"""WITH {SEG}, dict(p, j, label, word) AS (VALUES {TOPIC_ROWS}),
         hit AS (SELECT conv_id, idx, p, label, count(*) AS n, string_agg(word, '|' ORDER BY j) AS keywords FROM seg JOIN dict ON contains(lower(text), lower(word)) GROUP BY ALL),
         best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id, idx ORDER BY n DESC, p) = 1)

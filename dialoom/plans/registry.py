@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import contracts as C
 from dialoom.functions import text as T
-from dialoom.operators import analysis, cleanup, conformance, documents, events, phases, prompts, questions, reports, roles, summary, turns
+from dialoom.operators import analysis, cleanup, conformance, dictionaries, documents, events, phases, prompts, questions, reports, roles, summary, turns
 from dialoom.plans.oracles import ORACLES
 from dialoom.sources import documents as D
 from dialoom.sources import files
@@ -137,6 +137,27 @@ def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "idx", F.col("t.label").alias("label"), F.array_join("t.keywords", "|").alias("keywords"))
 
 
+def benchmark_words(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """A dictionary that grows with the data: each benchmark item's distinct words of so many letters, numbered in its text's order."""
+    words = F.array_distinct(F.filter(F.split("text", r"[ \n.,;:!?]+"), lambda w: F.length(w) >= least))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(words).alias("pos", "word"))
+    return items.withColumn("word_no", F.col("item_id").cast("long") * 1000000 + F.col("pos"))
+
+
+def dictionary_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark item's words a document holds most of, as substrings, case aside."""
+    topics = benchmark_words(spark, sf_dir, 5).selectExpr("concat('item_', item_id) AS label", "item_id AS label_no", "word", "word_no")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return joined(dictionaries.topics_of(docs, ["doc_id"], "text", topics), "keywords", by="|")
+
+
+def dictionary_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which benchmark items' words are spelled backwards, longest first."""
+    words = benchmark_words(spark, sf_dir, 5).groupBy("word").agg(F.min("word_no").alias("no"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return dictionaries.spelled(docs, ["doc_id"], "text", words.select(F.col("word").alias("key"), F.reverse("word").alias("value"), "no"))
+
+
 def keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a segment's topic words with the segment's before it."""
     out = S.numbered(S.event_rows(spark, sf_dir).withColumn("k", F.transform(T.topic(F.col("text"))["keywords"], F.lower)))
@@ -374,7 +395,7 @@ def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = [
-        segments, raw_segments, normalized_text, text_features, statistics, run_statistics, topic_classify, keyword_similarity, v1_roles, v1_turns, v1_qa, speaker_priors, role_scores, phase_labels, phase_spans,
+        segments, raw_segments, normalized_text, text_features, statistics, run_statistics, topic_classify, dictionary_topics, dictionary_spellings, keyword_similarity, v1_roles, v1_turns, v1_qa, speaker_priors, role_scores, phase_labels, phase_spans,
         coding_silence, events_merged, role_fold, speaker_summary, v2_turns, prompt_anchors, prompt_spans, answers, question_tree, flat_qa, evidence_sets, payload_min, payload_batches, stage_signature,
         none_analysis, provider_validate, report_markdown, v1_markdown, v2_markdown, v1_documents, v2_documents, contract_violations, document_files, raw_files, redaction_counts, redacted_text, markdown_escape, inline_code, session_ids,
         dedupe_ordered, ordered_concat,
