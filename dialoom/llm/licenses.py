@@ -3,7 +3,8 @@ r"""Operator 7: licence scans by sentence rules.
 A text splits into sentences, which are normalised (lower case, letters and digits only,
 single spaces) and looked up among known licence sentences; each hit is an identifier.
 Texts are split in several ways, whose hits are merged by their place in the text.  A
-rule is an ordered list of identifiers; a licence is found where a rule's identifiers occur
+rule is an ordered list of identifiers (a statement such as "This project is licensed under the MIT License." is a
+rule of one; a tag line's expression is a tag for each of its names); a licence is found where a rule's identifiers occur
 in order, other sentences between them allowed.  Texts without any word of a set that every
 dictionary sentence holds one of can have no hit and are not split.  Sentences that may be known are
 exploded and joined with the dictionary by hash (a table given by the caller or fixed in this file,
@@ -75,6 +76,60 @@ TAGS = {
     "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC0-1.0": "CC0-1.0", "EPL-2.0": "EPL-2.0", "BSL-1.0": "BSL-1.0", "Zlib": "Zlib",
 }
 SENTENCES |= {f"tag-{name.lower()}": re.sub(r"[^a-z0-9]+", " ", f"spdx license identifier {name.lower()}") for name in TAGS}
+# Names by which statements and title lines tell a licence.
+NAMES = {
+    "MIT": ["mit license"],
+    "Apache-2.0": ["apache license 2 0", "apache license version 2 0", "apache license v2 0", "apache 2 0 license"],
+    "BSD": ["bsd 2 clause license", "2 clause bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license"],
+    "ISC": ["isc license"],
+    "MPL-2.0": ["mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v2 0"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2 0", "gnu gpl v2", "gplv2 license"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3 0", "gnu gpl v3", "gplv3 license"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lesser general public license v3 0"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "gnu affero general public license v3 0"],
+    "BSL-1.0": ["boost software license 1 0", "boost software license version 1 0"],
+    "EPL-2.0": ["eclipse public license 2 0", "eclipse public license v2 0", "eclipse public license version 2 0"],
+    "CC-BY-4.0": ["cc by 4 0", "cc by 4 0 international", "cc by 4 0 license", "creative commons attribution 4 0 international license"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "cc by sa 4 0 international", "cc by sa 4 0 license", "creative commons attribution sharealike 4 0 international license"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "cc by nc 4 0 international", "cc by nc 4 0 license", "creative commons attribution noncommercial 4 0 international license"],
+    "Zlib": ["zlib license"],
+    "Unlicense": ["unlicense"],
+}
+SUBJECTS = ["project", "software", "program", "work", "library", "package", "code", "repository", "file"]
+VERBS = ["licensed", "released", "distributed"]
+# Heads of full licence texts, by licence, as the lines that follow one another.
+HEADS = {
+    "Apache-2.0": ["apache license", "version 2 0 january 2004"],
+    "GPL-2.0": ["gnu general public license", "version 2 june 1991"],
+    "GPL-3.0": ["gnu general public license", "version 3 29 june 2007"],
+    "LGPL-2.1": ["gnu lesser general public license", "version 2 1 february 1999"],
+    "LGPL-3.0": ["gnu lesser general public license", "version 3 29 june 2007"],
+    "AGPL-3.0": ["gnu affero general public license", "version 3 19 november 2007"],
+    "BSL-1.0": ["boost software license version 1 0 august 17th 2003"],
+    "CC-BY-4.0": ["creative commons attribution 4 0 international public license"],
+    "CC-BY-SA-4.0": ["creative commons attribution sharealike 4 0 international public license"],
+    "CC-BY-NC-4.0": ["creative commons attribution noncommercial 4 0 international public license"],
+}
+
+
+def statements(name: str) -> list[str]:
+    """How a text says that it is under the licence of this name, as sentences of their own."""
+    under = [f"{verb} under {the}{name}" for verb in VERBS for the in ("", "the ")]
+    return [*under, *[f"this {subject} is {u}" for subject in SUBJECTS for u in under]]
+
+
+def titles(name: str) -> list[str]:
+    """Names that say license make a title line; bare tokens such as cc by 4 0 don't."""
+    return [name, f"the {name}"] if "license" in name.split() else []
+
+
+KNOWN = set(SENTENCES.values())
+STATED = {licence: sorted({x for name in names for x in statements(name) + titles(name)} - KNOWN) for licence, names in NAMES.items()}
+SENTENCES |= {f"states-{licence.lower()}-{k}": x for licence, found in STATED.items() for k, x in enumerate(found)}
+HEAD_IDS = {x: f"head-{x.replace(' ', '-')}" for lines in HEADS.values() for x in lines if x not in SENTENCES.values()}
+SENTENCES |= {i: x for x, i in HEAD_IDS.items()}
 GPL_HOPES = (["gpl-hope"], ["gpl-useful", "gpl-implied"])
 # Licence and the identifiers that must occur in order.
 RULES = [
@@ -102,6 +157,8 @@ RULES = [
     ("AGPL-3.0", ["agpl3-terms"]),
     ("AGPL-3.0", ["agpl-terms", "gpl3-version"]),
     *[(licence, [f"tag-{name.lower()}"]) for name, licence in TAGS.items()],
+    *[(licence, [HEAD_IDS[x] for x in lines]) for licence, lines in HEADS.items()],
+    *[(licence, [f"states-{licence.lower()}-{k}"]) for licence, found in STATED.items() for k in range(len(found))],
 ]
 #: a sentence ends at . ! ? : ; before white space or the end, at a blank line, or at a list mark
 SENTENCE_END = r"[.!?:;]+(?=\s|$)|\n\s*\n|\n\s*(?:[*-]|\(?\d+[.)])\s|\n"
@@ -112,6 +169,8 @@ COMMENT_END = r"(?<=[\p{L}\p{N}\p{Pe}\p{Pf}\"'])[.!?:;]+(?=\s|$)|\n[^\p{L}\p{N}\
 LINE_END = r"\n"
 
 
+#: between the names of a normalised tag; "or later" is part of a name
+EXPRESSION = " (?:or(?! later)|and|with) "
 WAYS = {"line": SENTENCE_END, "wrapped": PARAGRAPH_END, "comment": COMMENT_END, "tag": LINE_END}
 #: set around ends, which stay pieces of their own, so that places can be counted
 MARK = "\u0001"
@@ -147,6 +206,17 @@ def placed(pieces: Column, known: list[str]) -> Column:
     return F.transform(found, lambda p: F.struct(before(p["i"]).alias("at"), p["x"].alias("sentence")))
 
 
+TAG = "spdx license identifier "
+
+
+def placed_tags(pieces: Column, known: list[str]) -> Column:
+    """As ``placed``, for lines whose tag is an expression: each name of it as a tag line of its own, at the line's place and in its order."""
+    before = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(F.translate(x, " ", "")))
+    lines = F.filter(F.transform(pieces, lambda x, i: F.struct(i.alias("i"), F.split(F.substring_index(F.concat(F.lit(" "), x), " " + TAG, -1), EXPRESSION, -1).alias("names"), F.contains(F.concat(F.lit(" "), x), F.lit(" " + TAG)).alias("tag"))), lambda p: p["tag"] & (F.size(p["names"]) > 1))
+    named = F.transform(lines, lambda p: F.transform(p["names"], lambda y, j: F.struct((before(p["i"]) + j).alias("at"), F.concat(F.lit(TAG), F.trim(y)).alias("sentence"))))
+    return F.filter(F.flatten(named), lambda h: h["sentence"].isin(known))
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """A row per document: doc_id, n_sentences (hits), sentence_ids in order, licences sorted.
     ``sentences`` are normalised, ``rules`` name identifiers of letters, digits and hyphens or dots."""
@@ -158,15 +228,17 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     for way, end in WAYS.items():
         rows = rows.withColumn(way, F.transform(F.split(F.regexp_replace("told", f"({end})", f"{MARK}$1{MARK}"), MARK, -1), normal))
     known = sorted(set(sentences.values()))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.array_distinct(F.concat(*[placed(F.col(way), known) for way in WAYS])).alias("known"))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.array_distinct(F.concat(*[placed(F.col(way), known) for way in WAYS], placed_tags(F.col("tag"), known))).alias("known"))
     rows = materialize(rows, "licence-rows")  # row numbers are fixed from here on
-    table = spark.createDataFrame(list(sentences.items()), "id string, sentence string")
+    # Rules of one identifier are told by the join; only longer ones look at the order.
+    alone = {i: sorted({name for name, r in rules if r == [i]}) for i in {r[0] for _, r in rules if len(r) == 1}}
+    table = spark.createDataFrame([(i, x, alone.get(i, [])) for i, x in sentences.items()], "id string, sentence string, alone array<string>")
     exploded = rows.filter("size(known) > 0").select("_row", F.explode("known").alias("x")).select("_row", "x.at", "x.sentence")
-    hits = exploded.join(F.broadcast(table), "sentence").select("_row", "at", "id")
-    per_row = hits.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
+    hits = exploded.join(F.broadcast(table), "sentence").select("_row", "at", "id", "alone")
+    per_row = hits.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"), F.flatten(F.collect_list("alone")).alias("alone"))
     out = rows.select("doc_id", "_row").join(per_row, "_row", "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     code = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    found = F.array(*[F.when(F.regexp_like(code, F.lit("," + ",(?:.*,)?".join(map(re.escape, r)) + ",")), F.lit(name)) for name, r in rules])
-    licences = F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")
+    found = F.array(*[F.when(F.regexp_like(code, F.lit("," + ",(?:.*,)?".join(map(re.escape, r)) + ",")), F.lit(name)) for name, r in rules if len(r) != 1]).cast("array<string>")
+    licences = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.concat(found, F.coalesce("alone", F.array().cast("array<string>")))))), ",")
     return out.select("doc_id", F.size(ids).cast("long").alias("n_sentences"), F.array_join(ids, ",").alias("sentence_ids"), licences.alias("licences"))
