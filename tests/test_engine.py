@@ -17,7 +17,7 @@ from dialoom.sources import documents as D
 from dialoom.sources import files
 from dialoom.sources import segments as S
 
-TABLES = ("events", "conversations", "documents", "pages")
+TABLES = ("events", "conversations", "documents", "pages", "benchmark")
 
 
 @pytest.fixture(scope="module")
