@@ -133,7 +133,7 @@ class FileWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         fs, _, hidden = self.store()
         folder, names = f"{hidden}/{uuid.uuid4().hex}", set()
-        fs.create_dir(folder)
+        fs.create_dir(folder, recursive=False)  # a task that outlives its job's abort finds no place to write
         for row in iterator:
             if not row["name"] or "/" in row["name"] or row["name"] in names:
                 raise ValueError(f"no name for a file, or not the only one of it: {row['name']}")
@@ -161,8 +161,14 @@ class FileWriter(DataSourceWriter):
         from pyarrow.fs import FileType
 
         fs, _, hidden = self.store()
-        if fs.get_file_info(hidden).type != FileType.NotFound:
-            fs.delete_dir(hidden)
+        for tried in range(5):  # a task that still writes may put a file into what is being emptied
+            try:
+                if fs.get_file_info(hidden).type != FileType.NotFound:
+                    fs.delete_dir(hidden)
+                return
+            except OSError:
+                if tried == 4:
+                    raise
 
 
 class ConversationFiles(DataSource):
@@ -174,7 +180,10 @@ class ConversationFiles(DataSource):
         return "name string, content string"
 
     def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["path"])
+        writer = FileWriter(self.options["path"])
+        fs, _, hidden = writer.store()
+        fs.create_dir(hidden)
+        return writer
 
 
 def write_files(files: DataFrame, path: str) -> None:
