@@ -182,14 +182,11 @@ def mapped(path: str) -> list[np.ndarray]:
     return out
 
 
-_mapped: dict[str, dict] = {}
-
-
 def shard_file(folder: str, name: str) -> list[np.ndarray] | None:
-    held = _mapped.setdefault(folder, {})
-    if name not in held:
-        held[name] = mapped(f"{folder}/{name}") if os.path.exists(f"{folder}/{name}") else None
-    return held[name]
+    """A shard's columns, mapped anew: a worker has no more of a model in memory than the shard it reads,
+    however large the model is; what the system's cache holds costs only page faults."""
+    path = f"{folder}/{name}"
+    return mapped(path) if os.path.exists(path) else None
 
 
 def search(folder: str, level: str, bits: int, asked: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:

@@ -297,3 +297,15 @@ def test_stored_shards_read_back(tmp_path):
     back = kneser_ney.mapped(str(tmp_path / "1-0"))
     assert all((a == b).all() for a, b in zip(columns, back, strict=True)) and [c.itemsize for c in back] == [8, 1, 8, 1]
     assert [p.name for p in tmp_path.iterdir()] == ["1-0"]
+
+
+def test_a_search_leaves_no_shard_mapped(tmp_path):
+    """A worker's memory holds the shard it reads, not all shards that it ever read."""
+    keys = np.sort(np.array([rng.getrandbits(64) for _ in range(5000)], np.uint64))
+    for s in range(4):
+        mine = keys[kneser_ney.shard(keys, 2) == s]
+        kneser_ney.store(f"{tmp_path}/2-{s}", [mine, np.arange(len(mine))])
+    place, found = kneser_ney.search(str(tmp_path), "2", 2, keys, 1)
+    assert (place >= 0).all() and (found[0] == place).all()
+    with open("/proc/self/maps") as f:
+        assert str(tmp_path) not in f.read()
