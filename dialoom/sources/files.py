@@ -32,9 +32,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """conv_id, path, document (VARIANT; null where the file holds no JSON object), content."""
     files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "content")
     at = F.col("_metadata.file_path")
-    parsed = F.try_parse_json("content")
-    document = F.when(F.try_variant_get(parsed, "$", "map<string,variant>").isNotNull(), parsed)
-    return files.select(F.xxhash64(at).alias("conv_id"), at.alias("path"), document.alias("document"), "content")
+    parsed = F.array(F.try_parse_json("content"))
+    document = F.transform(parsed, lambda v: F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), v))
+    return files.select(F.xxhash64(at).alias("conv_id"), at.alias("path"), F.explode(document).alias("document"), "content")  # exploded: parsed once, whoever filters by it
 
 
 def quarantined(documents: DataFrame) -> DataFrame:
@@ -68,13 +68,13 @@ def raw_results(documents: DataFrame) -> DataFrame:
     """conv_id, path, result as ``segments.from_raw`` takes it: the first result of each raw document,
     however deep its lists.  A number stands for a speaker as well as a string does."""
     r = unwrapped(field(F.col("document"), "$.result", "variant"))
-    rows = documents.filter("document is not null").select("conv_id", "path", r.alias("r"))
+    rows = documents.filter("document is not null").select("conv_id", "path", F.explode(F.array(r)).alias("r"))
     stamps = lambda v: field(v, "$.timestamp", "array<array<double>>")
     sentence = lambda s: F.struct(
         field(s, "$.text", "string").alias("text"), field(s, "$.start", "double").alias("start"), field(s, "$.end", "double").alias("end"), field(s, "$.spk", "string").alias("spk"), stamps(s).alias("timestamp")
     )
     one = F.struct(field(F.col("r"), "$.text", "string").alias("text"), stamps(F.col("r")).alias("timestamp"), F.transform(elements(F.col("r"), "$.sentence_info"), sentence).alias("sentence_info"))
-    return rows.select("conv_id", "path", F.array(one).alias("result"))
+    return rows.select("conv_id", "path", F.explode(F.array(one)).alias("one")).select("conv_id", "path", F.array("one").alias("result"))
 
 
 def tree_of(documents: DataFrame) -> DataFrame:
