@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import lexicon as X
 from dialoom.functions import text as T
+from dialoom.plans import registry
 from dialoom.sources import files
 from dialoom.sources import segments as S
 
@@ -49,3 +50,13 @@ def test_a_raw_file_is_parsed_and_spelt_once(spark, tmp_path):
     assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2  # the file, and the null of empty lists
     assert plan.count("\\Qpostgresql\\E(?![") == 1
     assert [(r.idx, r.text) for r in out.collect()] == [(1, "Redis，好")]
+
+
+def test_segments_are_cleaned_where_they_are_dealt(spark, sf_dir):
+    """Above the exchange, whose tasks grow with the rows, and below the numbering, which keeps each expression single."""
+    plan = plan_of(registry.cleaned_segments(spark, sf_dir)).splitlines()
+    at = lambda word: [i for i, line in enumerate(plan) if word in line]
+    (dealt,), numbered = at("RepartitionByExpression"), at("Window")
+    cleaned = at("介绍")
+    assert cleaned and max(i for i in cleaned if "RLIKE" in plan[i]) < dealt
+    assert min(i for i in cleaned if "RLIKE" in plan[i]) > numbered[0]
