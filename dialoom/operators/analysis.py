@@ -36,12 +36,13 @@ def with_numbered_redactions(texts: DataFrame, order: list[str], terms: list[str
     """Redacts ``text`` of (conv_id, *order, text): each match becomes [REDACTED_KIND_n], n counting
     the kind's matches over the conversation's texts in order.  Adds n_<kind>.
 
-    A kind's number is a running sum of its counts in earlier texts, plus its place in this one."""
+    A kind's number is a running sum of its counts in earlier texts, plus its place in this one.
+    Only texts with a match are split: a split compiles its pattern for each row, a search does once."""
     custom = sorted({t.strip() for t in terms or [] if t and t.strip()}, key=lambda t: (-len(t), t))
     kinds = [(k, "(?U)" + p) for k, p in X.PERSONAL] + ([("custom", "|".join(re.escape(t) for t in custom))] if custom else [])
     before = W.partitionBy("conv_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     for kind, pattern in kinds:
-        texts = texts.withColumn("_parts", F.split("text", pattern, -1)).withColumn(f"n_{kind}", (F.size("_parts") - 1).cast("long"))
+        texts = texts.withColumn("_parts", F.when(F.regexp_like("text", F.lit(pattern)), F.split("text", pattern, -1)).otherwise(F.array("text"))).withColumn(f"n_{kind}", (F.size("_parts") - 1).cast("long"))
         texts = texts.withColumn("_before", F.coalesce(F.sum(f"n_{kind}").over(before), F.lit(0)))
         texts = texts.withColumn("text", F.array_join(F.transform("_parts", marked(kind)), "")).drop("_parts", "_before")
     return texts
@@ -245,12 +246,12 @@ def refuse_oversize(batches: DataFrame, most_chars: int) -> None:
 
 def analyses(tree: DataFrame, statistics: DataFrame, evidence: DataFrame, analyze: Callable[[str], str] | None = None, name: str = "none", remote: bool = False, allow_remote: bool = False, redact: bool = True, terms: list[str] | None = None, answer_chars: int = 2400, most_questions: int = 12, most_chars: int = 160_000, model: str | None = None, endpoint: str | None = None, created_at: str | None = None, ledger: Ledger | None = None) -> DataFrame:
     """The analysis document of each conversation.  Without ``analyze`` nothing is evaluated and each
-    conversation is one request.  A remote provider needs consent and redaction: refused before any job;
+    conversation is one request.  Payloads are redacted once, and written.  A remote provider needs consent and redaction: refused before any job;
     a question beyond the bound of a request: before any request.  Requests are written first and answers
     kept in ``ledger`` (one of the run by default), so that neither a retried task nor a reader calls again."""
     if remote and not (allow_remote and redact):
         raise ValueError("a remote provider needs allow_remote and redact")
-    whole = payloads(payload_questions(tree, terms, redact, answer_chars), statistics)
+    whole = stored(payloads(payload_questions(tree, terms, redact, answer_chars), statistics).drop("json"), "analysis-payloads")
     if analyze:
         batches = stored(payload_batches(whole, most_questions, most_chars), "analysis-requests")
         refuse_oversize(batches, most_chars)

@@ -5,8 +5,12 @@ a map over it, without exchange or Python.  Each value is bound once, by a lambd
 map, elements an array, and both are walked by higher-order functions.  The expression is put
 together as text and parsed once: built call by call it would take longer than most checks.
 
+Elements of arrays are first held against a plain condition that is true of sound values only
+(``Contract.sound``); those it doesn't clear, sound or not, are walked, so walks are few where faults are.
+
 A definition that can contain itself is an expression of its own: where a value refers to it, the
-value is put off, and a further round over the rows put off checks those, down to any depth.
+value is put off, and a further round over the rows put off checks those, down to any depth. The condition
+follows such references ``DEEP`` times.
 A keyword that the compiler doesn't know is an error when it compiles.
 """
 
@@ -27,6 +31,9 @@ KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "b
 #: a violation has a rule; a value put off has the definition that it refers to
 FOUND = "array<struct<path:string,rule:string,def:string,v:variant>>"
 NONE = f"cast(array() as {FOUND})"
+#: types of VARIANT values that are surely of a kind; other values of the kind are walked
+SURE = {"string": "= 'STRING'", "boolean": "= 'BOOLEAN'", "null": "= 'VOID'", "integer": "= 'BIGINT'", "number": r"rlike '^(BIGINT|DOUBLE|DECIMAL.*)$'"}
+DEEP = 2
 
 
 def text(value: str) -> str:
@@ -138,8 +145,90 @@ class Contract:
     def elements(self, node: dict, x: str) -> tuple[list, list]:
         y = f"y{next(self.names)}"
         wrong = [(f"size(array_distinct(transform({x}.a, {y} -> to_json({y})))) < size({x}.a)", f"{x}.p", "uniqueItems")] if node.get("uniqueItems") else []
-        child = self.checks(node.get("items", True), y, f"concat({x}.p, '[', i{y}, ']')")
-        return wrong, [] if child == NONE else [f"coalesce(flatten(transform({x}.a, ({y}, i{y}) -> {child})), {NONE})"]
+        items = node.get("items", True)
+        sound, each = self.sound(items, f"{y}.v", DEEP), f"transform({x}.a, ({y}, i{y}) -> named_struct('v', {y}, 'i', i{y}))"
+        child = self.checks(items, f"{y}.v", f"concat({x}.p, '[', {y}.i, ']')")
+        left = each if sound is None else f"filter({each}, {y} -> not coalesce({sound}, false))"
+        return wrong, [] if child == NONE else [f"coalesce(flatten(transform({left}, {y} -> {child})), {NONE})"]
+
+    def sound(self, node: dict | bool, v: str, deep: int) -> str | None:
+        """A condition that is true only where ``v`` is a value without violations; it may be false or null
+        of others that have none. None where there is no such condition, or it is not worth stating."""
+        if isinstance(node, bool):
+            return "true" if node else None
+        if ref := node.get("$ref"):
+            if ref in self.apart and not deep:
+                return "false"
+            return self.sound(self.referred(ref), v, deep - (ref in self.apart))
+        rules = set(node) - NOTES
+        if not rules:
+            return "true"
+        values = node.get("enum", [node["const"]] if "const" in node else None)
+        types = [node["type"]] if isinstance(node.get("type"), str) else node.get("type", ["string"] if values else [])
+        if not types or (values is not None and ("enum" in node and "const" in node or not all(isinstance(y, str) for y in values))):
+            return None
+        told = [self.sound_of(kind, node, values, v, deep) for kind in types]
+        return None if None in told else f"({' or '.join(told)})"
+
+    def sound_of(self, kind: str, node: dict, values: list[str] | None, v: str, deep: int) -> str | None:
+        """``sound`` for values of one kind."""
+        if values is not None and kind != "string":
+            return None
+        if kind == "object":
+            return self.sound_fields(node, v, deep)
+        if kind == "array":
+            a, y = f"a{next(self.names)}", f"y{next(self.names)}"
+            each = self.sound(node.get("items", True), y, deep)
+            alone = f" and size(array_distinct(transform({a}, {y} -> to_json({y})))) = size({a})" if node.get("uniqueItems") else ""
+            return each and f"exists(array(try_variant_get({v}, '$', 'array<variant>')), {a} -> {a} is not null and forall({a}, {y} -> {each}){alone})"
+        number, value = f"try_variant_get({v}, '$', 'double')", f"try_variant_get({v}, '$', 'string')"
+        more = []
+        if kind in ("integer", "number"):
+            more = [f"{number} {sign} {node[k]}" for k, sign in (("minimum", ">="), ("maximum", "<=")) if k in node]
+        if kind == "string":
+            more = [f"array_contains(array({', '.join(map(text, values))}), {value})"] if values else []
+            more += [f"length({value}) >= {node['minLength']}"] if "minLength" in node else []
+            more += [f"{value} rlike {text(node['pattern'])}"] if "pattern" in node else []
+        return "(" + " and ".join([f"schema_of_variant({v}) {SURE[kind]}", *more]) + ")"
+
+    def sound_fields(self, node: dict, v: str, deep: int) -> str | None:
+        named, rest = node.get("properties", {}), node.get("additionalProperties", True)
+        x, y = f"s{next(self.names)}", f"y{next(self.names)}"
+        whole = f"try_variant_get({v}, '$', 'map<string,variant>')"
+        if not named:
+            each = self.sound(rest, y, deep)
+            return None if node.get("required") else each and f"exists(array({whole}), {x} -> {x} is not null and forall(map_values({x}), {y} -> {each}))"
+        if isinstance(rest, dict):
+            return None
+        kind, told = self.shape(node | {"additionalProperties": True}, x, deep)
+        if rest is False:
+            told = [*told, f"size({whole}) = " + " + ".join(f"if({x}.`{n}` is null, 0, 1)" for n in named)]
+        return None if kind == "variant" or None in told else f"exists(array(try_variant_get({v}, '$', {text(kind)})), {x} -> {' and '.join(told)})"
+
+    def shape(self, node: dict | bool, at: str, deep: int) -> tuple[str, list[str | None]]:
+        """The type as which a value is taken, with its required records and arrays in one go, and what
+        makes ``at``, which is of that type, sound. What is of another kind is null then, so not cleared."""
+        while isinstance(node, dict) and "$ref" in node and (node["$ref"] not in self.apart or deep):
+            deep -= node["$ref"] in self.apart
+            node = self.referred(node["$ref"])
+        kind = node.get("type") if isinstance(node, dict) and not {"enum", "const", "$ref"} & set(node) else None
+        if kind == "array" and not node.get("uniqueItems"):
+            y = f"y{next(self.names)}"
+            of, each = self.shape(node.get("items", True), y, deep)
+            return f"array<{of}>", [f"{at} is not null", None if None in each else f"forall({at}, {y} -> {' and '.join(each)})"]
+        named, required = (node.get("properties", {}), node.get("required", [])) if kind == "object" else ({}, [])
+        strange = set(required) - set(named) or len({n.lower() for n in named}) < len(named) or any("`" in n for n in named)
+        if not named or strange or node.get("additionalProperties", True) is not True:
+            return "variant", [self.sound(node, at, deep)] if not strange else [None]
+        kinds, told = [], [f"{at} is not null"]
+        for n, child in named.items():
+            own = f"{at}.`{n}`"
+            of, each = self.shape(child, own, deep) if n in required else ("variant", [self.sound(child, own, deep)])
+            kinds.append(f"`{n}`:{of}")
+            sound = None if None in each else " and ".join(each)
+            told += [f"{own} is not null"] if of == "variant" and n in required else []
+            told += [sound if n in required else sound and f"({own} is null or {sound})"]
+        return f"struct<{','.join(kinds)}>", told
 
 
 def violations(documents: DataFrame, schema: dict, column: str = "document") -> DataFrame:
