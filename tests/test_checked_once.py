@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import contracts as C
 from dialoom.functions import text as T
-from dialoom.operators import analysis, cleanup, conformance
+from dialoom.operators import analysis, cleanup, conformance, roles
 from dialoom.plans import registry
 
 SPAN = {"start": 0.0, "end": 1.5, "segment_ids": ["a", "b"]}
@@ -108,3 +108,22 @@ def test_texts_without_a_match_are_not_split(spark):
     assert [(r.text, r.n_phone, r.n_custom) for r in out.orderBy("n").collect()] == [
         ("电话 [REDACTED_PHONE_1]", 1, 0), ("", 0, 0), ("[REDACTED_CUSTOM_1]有", 0, 1), ("[REDACTED_PHONE_2] 与 [REDACTED_PHONE_3] [REDACTED_EMAIL_1]", 2, 0),
     ]
+
+
+def test_priors_of_grouped_speakers_equal_those_of_rows(spark):
+    """Speakers are grouped before any window, also where a speaker or a whole conversation has no valid row."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(9), k, float(k), k + 2.0, rng.choice(["speaker_0", "speaker_1", "speaker_unknown"]), "。" if k % 9 == 0 else rng.choice(TEXTS)) for k in range(300)]
+    rows += [(99, 1, 0.0, 1.0, "speaker_0", "。"), (98, 1, 0.0, 1.0, "speaker_0", "。"), (98, 2, 1.0, 2.0, "speaker_1", "我负责系统")]
+    cleaned = cleanup.annotate(spark.createDataFrame(rows, "conv_id bigint, idx int, start double, end double, speaker string, text string")).cache()
+    each = {(r.conv_id, r.speaker): (r.p_interviewer, r.p_candidate) for r in roles.with_priors(cleaned).collect()}
+    got = roles.speaker_priors(cleaned)
+    assert "row_number" not in plan_of(got)
+    assert {(r.conv_id, r.speaker): (r.interviewer, r.candidate) for r in got.collect()} == {k: v for k, v in each.items() if v[0] is not None}
+    told = roles.speaker_summary(cleaned.withColumn("role", F.lit("candidate")))
+    assert {(r.conv_id, r.speaker) for r in told.filter("dominant_role = 'unknown'").collect()} == {k for k, v in each.items() if v[0] is None}
+
+
+def test_events_are_written_once(spark, sf_dir):
+    talks = registry.Talks(spark, sf_dir)
+    assert "Window" not in plan_of(talks.events) and talks.events is talks.events
